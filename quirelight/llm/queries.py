@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import simhash, spm
+from quirelight.llm import pii, secret_scan, sharding, simhash, spm
 from quirelight.llm.common import table
 
 
@@ -17,6 +17,17 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -31,10 +42,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.sentencepiece_round_trip(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_personal_data": op2_personal_data,
         "op4_simhash": op4_simhash,
         "op7_sentencepiece": op7_sentencepiece,
+        "op9_sharding": op9_sharding,
     }
 
 
