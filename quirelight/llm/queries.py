@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import decontam, pii, secret_scan, sharding, simhash, spm
+from quirelight.llm import decontam, lattice_lm, pii, secret_scan, sharding, simhash, spm
 from quirelight.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.sentencepiece_round_trip(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_lattice_scores": op8_lattice_scores,
         "op9_sharding": op9_sharding,
     }
 
