@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import decontam, lattice_lm, pii, secret_scan, sharding, simhash, spm
+from quirelight.llm import decontam, lattice_lm, minhash, pii, secret_scan, sharding, simhash, spm
 from quirelight.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.neighbour_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentencepiece": op7_sentencepiece,
         "op8_lattice_scores": op8_lattice_scores,
         "op9_sharding": op9_sharding,
+        "op10_minhash": op10_minhash,
     }
 
 
