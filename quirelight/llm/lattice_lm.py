@@ -176,8 +176,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 if train:
                     seen.update(found)
                 else:
-                    for word in set(found) - seen.keys():
-                        seen[word] = 0
+                    for word in found:
+                        if word not in seen:
+                            seen[word] = 0
                 if len(seen) >= _FLUSH:
                     yield _columns(word=(list(seen), pa.string()), c=(list(seen.values()), pa.int64()))
                     seen = Counter()

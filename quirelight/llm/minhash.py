@@ -65,11 +65,11 @@ class Hasher:
 
     def _words(self, words: list[str]) -> np.ndarray:
         known = self._known
-        if new := set(words) - known.keys():
-            if len(known) > _MEMO:
-                known.clear()
-                new = set(words)
-            known.update((w, self._hash(w.encode())) for w in new)
+        if len(known) > _MEMO:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = self._hash(word.encode())
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str) -> np.ndarray:

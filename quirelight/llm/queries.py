@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import decontam, lattice_lm, minhash, pii, secret_scan, sharding, simhash, spm
-from quirelight.llm.common import table
+from quirelight.llm import decontam, lattice_lm, minhash, pii, quality, secret_scan, sharding, simhash, spm
+from quirelight.llm.common import crc_fold, table
 
 
 def piece_model() -> str:
@@ -49,6 +49,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.learn(docs, table(spark, sf_dir, "labels"), folds=5)
+    rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    scored = quality.with_scores(rows, machine).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spm.sentencepiece_round_trip(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -75,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_personal_data": op2_personal_data,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
+        "op5_quality": op5_quality,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_lattice_scores": op8_lattice_scores,
         "op9_sharding": op9_sharding,
