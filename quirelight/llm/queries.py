@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.llm import decontam, lattice_lm, minhash, pii, quality, secret_scan, sharding, simhash, spm
+from quirelight.llm import decontam, html_extract, lattice_lm, minhash, pii, quality, secret_scan, sharding, simhash, spm
 from quirelight.llm.common import crc_fold, table
 
 
@@ -57,6 +57,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spm.sentencepiece_round_trip(docs, piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
+        "op6_html_extract": op6_html_extract,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_lattice_scores": op8_lattice_scores,
         "op9_sharding": op9_sharding,
