@@ -25,15 +25,20 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder of spark.checkpoint.dir, which every executor shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of spark.checkpoint.dir, which every executor shares.
 
     Only a session that names no such folder (local tests) gets one of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirelight-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelight-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """An eager checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -19,7 +19,7 @@ def piece_model() -> str:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id").drop("text_hash")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

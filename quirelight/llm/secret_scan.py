@@ -66,13 +66,14 @@ def scan_rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_
         F.col(id_col).alias("id"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
         F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols]).alias("repo"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
         F.col(text_col).cast("string").alias("_text"),
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "owner", "repo", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "candidates"]
+    names = ["id", "owner", "repo", "text_hash", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "candidates"]
     item = pa.struct([("span", pa.string()), ("hash", pa.binary()), ("random", pa.bool_())])
     schema = (
-        f"id {kind}, owner string, repo string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string,"
+        f"id {kind}, owner string, repo string, text_hash bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string,"
         " spans string, candidates array<struct<span: string, hash: binary, random: boolean>>"
     )
 
@@ -89,7 +90,7 @@ def scan_rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_
                 candidates.append(
                     [{"span": f[2], "hash": hashlib.sha256(f[3].encode()).digest()[:16], "random": looks_random(f[3])} for f in found]
                 )
-            columns = [batch.column(c) for c in ("id", "owner", "repo")]
+            columns = [batch.column(c) for c in ("id", "owner", "repo", "text_hash")]
             columns += [pa.array(c, pa.int64()) for c in counts]
             columns += [pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(candidates, pa.list_(item))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -121,6 +122,7 @@ def secret_scan(
     copied: candidates whose value `copied_owners` distinct owners or more hold.
     live: the spans of all other candidates that look random, joined by commas.
     masked: the spans to take out of a text, all but the copied ones.
+    text_hash: xxhash64 of the text, to tell rows of one id apart.
     """
     # a row number of its own ties verdicts to rows, whatever ids repeat or are null
     rows = scan_rows(docs, id_col, text_col, owner_col, repo_cols)
@@ -138,7 +140,8 @@ def secret_scan(
         F.array_join(kept(~F.col("copied")), ",").alias("masked"),
     )  # the lists hold one text's spans
     found = rows.join(verdicts, "row", "left").na.fill(0, ["n_copied", "most_owners", "most_repos"]).na.fill("", ["live", "masked"])
-    return found.select("id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_copied", "most_owners", "most_repos", "live", "masked")
+    columns = ["base_sha256", "spans", "n_copied", "most_owners", "most_repos", "live", "masked", "text_hash"]
+    return found.select("id", *(f"n_{k}" for k in BASE_KINDS), *columns)
 
 
 def mask(text: str, spans: str, sign: str = "[SECRET]") -> str:

@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ _COLUMNS = {
     "decoded": "string",
     "decoded_sha256": "string",
 }
-_ARROW = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
+_ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
 
 def _each_bad_byte(error: UnicodeError) -> tuple[str, int]:
@@ -244,6 +245,11 @@ class PieceTable:
         return raw.removeprefix(b" ").decode("utf-8", "quirelight_bytes")
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+
+
 #: No piece spans these cuts; line feeds are byte pieces where the vocabulary has none of its own.
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -297,7 +303,7 @@ def sentencepiece_round_trip(
                 decoded = pieces.decode(ids) if wants_text else ""
                 for c in outputs:
                     if c == "ids":
-                        made[c].append([int(x) for x in ids.split(",")] if ids else [])
+                        made[c].append(np.fromstring(ids, np.int32, sep=","))
                     elif c == "n_tokens":
                         made[c].append(ids.count(",") + 1 if ids else 0)
                     elif c == "ids_sha256":
@@ -307,7 +313,7 @@ def sentencepiece_round_trip(
                     else:
                         made[c].append(hashlib.sha256(decoded.encode()).hexdigest())
             columns = [batch.column("_id"), *(batch.column(c) for c in keep)]
-            columns += [pa.array(made[c], _ARROW[_COLUMNS[c]]) for c in outputs]
+            columns += [_lists(made[c]) if c == "ids" else pa.array(made[c], _ARROW[_COLUMNS[c]]) for c in outputs]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *keep, *outputs])
 
     return rows.mapInArrow(run, schema)
