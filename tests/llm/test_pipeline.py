@@ -1,0 +1,85 @@
+"""Every stage of the pipeline against a plain version of it, on its own input."""
+
+import re
+from itertools import combinations
+
+import public_tokenizers
+import sentencepiece
+
+import corpus_pipeline
+from quirelight.llm import secret_scan
+from quirelight.llm.simhash import simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) if w]
+
+
+def windows(text, size=10):
+    w = words(text)
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    odd = [(9001, None, "en", "s", None), (9002, "", None, None, 0), (None, "no id here at all", "en", "s", 5), (7, docs.first().text, "en", "s", 1)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    steps, kept = dict(corpus_pipeline.STAGES), {}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark_leaks", "secrets", "encode"]
+    for name, stage in steps.items():
+        before = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        after = [r.asDict() for r in docs.collect()]
+        kept[name] = (before, after)
+        if name != "encode":
+            assert docs.columns == columns
+    before, after = kept["quality"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    left = {r["doc_id"] for r in after}
+    good = [d for d, q in labels.items() if q == 1]
+    assert sum(d in left for d in good) / len(good) > 0.95
+
+    before, after = kept["near_duplicates"]
+    prints = [(simhash(r["text"] or "") & (2**64 - 1), r["doc_id"]) for r in before]
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(prints)), 2):
+        if (prints[i][0] ^ prints[j][0]).bit_count() <= 3:
+            root[find(i)] = find(j)
+    groups = {}
+    for i, (_, doc) in enumerate(prints):
+        groups.setdefault(find(i), []).append(doc)
+    gone = {d for g in groups.values() for d in g if d is not None and d != min(x for x in g if x is not None)}
+    assert sorted(map(str, (r["doc_id"] for r in after))) == sorted(str(r["doc_id"]) for r in before if r["doc_id"] not in gone)
+
+    before, after = kept["benchmark_leaks"]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    known = set().union(*map(windows, items))
+    leaks = {r["doc_id"] for r in before if windows(r["text"]) & known}
+    assert leaks and sorted(map(str, (r["doc_id"] for r in after))) == sorted(str(r["doc_id"]) for r in before if r["doc_id"] not in leaks)
+
+    before, after = kept["secrets"]
+    assert sorted(str(r["doc_id"]) for r in before) == sorted(str(r["doc_id"]) for r in after)
+    text_of = {r["doc_id"]: r for r in after}
+    for r in before:
+        spans = [x[2] for x in secret_scan.scan(r["text"] or "")]
+        new = text_of[r["doc_id"]]["text"]
+        assert new == (secret_scan.mask(r["text"], ",".join(spans)) if spans else r["text"])  # nothing is widely copied here
+        assert not spans or text_of[r["doc_id"]]["n_chars"] == len(new)
+
+    before, after = kept["encode"]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in before}
+    assert len(after) == len(before)
+    for r in after:
+        assert r["ids"] == library.encode(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["ids"])
