@@ -36,11 +36,16 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def first_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of each key, with their place and how many rows stay out."""
+def first_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, with_more: bool = True) -> DataFrame:
+    """The first n rows of each key, with their place and how many rows stay out.
+
+    Without `more`, each task ranks its own rows first and only n of a key go through the shuffle.
+    """
     span = Window.partitionBy(*keys)
     placed = df.withColumn("place", F.row_number().over(span.orderBy(*order)))
-    return placed.withColumn("more", F.greatest(F.lit(0), F.count("*").over(span) - n)).filter(F.col("place") <= n)
+    if with_more:
+        placed = placed.withColumn("more", F.greatest(F.lit(0), F.count("*").over(span) - n))
+    return placed.filter(F.col("place") <= n)
 
 
 def unique_or_null(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -1,23 +1,16 @@
-"""Registry of the library's queries and of the SQL that checks them."""
+"""The queries of the library, each with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quirelight.plans import access, layouts, matching, merges, search, streams, texts, timelines  # noqa: F401  they register their queries
+from quirelight.plans.registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "text_search"
 
-FLAGSHIP = "series_revenue"
 
-
-def series_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"series_revenue": series_revenue}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"series_revenue": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
+    return dict(ORACLE)
