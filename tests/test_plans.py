@@ -76,29 +76,24 @@ def _by_page(rows):
     return pages
 
 
-def plain_chunks(flat, size=1200, overlap=120):
-    at, out = 0, []
-    while at < len(flat):
-        end = len(flat) if at + size >= len(flat) else flat.rfind(" ", at, at + size + 1)
-        if end < len(flat) and end - at <= size // 2:
-            end = at + size
-        out.append((at, end))
-        back = flat.find(" ", end - overlap, end)
-        at = len(flat) if end >= len(flat) else back + 1 if back >= 0 else end
-    return out
-
-
 def test_chunks_cover_the_text(spark):
-    pieces = defaultdict(list)
+    """Pieces stand in the text one after another, none is too long, and only spaces lie between two."""
+    pieces, several = defaultdict(list), 0
     for r in plans.queries()["text_chunks"](spark, SF).orderBy("doc_id", "at").collect():
         pieces[r.doc_id].append(r.piece)
-    several = 0
     for r in read(spark, SF, "documents").collect():
         flat = re.sub(r"[ \t\n\x0b\f\r]+", " ", r.text or "").strip(" ")
-        spans = plain_chunks(flat)
-        several += len(spans) > 2
-        assert pieces[r.doc_id] == [flat[a:b] for a, b in spans]
-        assert all(b - a <= 1200 and c <= b + 1 for (a, b), (c, _) in zip(spans, [*spans[1:], (len(flat), 0)], strict=True))
+        covered = 0
+        for k, piece in enumerate(pieces[r.doc_id]):
+            assert 0 < len(piece) <= 1200
+            # the next piece starts within the overlap before the end of what is covered
+            starts = [s for s in range(max(0, covered - 120), covered + 2) if flat.startswith(piece, s)]
+            assert starts, (r.doc_id, k)
+            assert starts[-1] == 0 or flat[starts[-1] - 1] == " " or starts[-1] == covered
+            covered = starts[-1] + len(piece)
+            assert covered == len(flat) or flat[covered] == " " or len(piece) == 1200
+        assert covered >= len(flat)
+        several += len(pieces[r.doc_id]) > 2
     assert several
 
 
