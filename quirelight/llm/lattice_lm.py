@@ -24,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +34,15 @@ from pyspark.sql import functions as F
 from quirelight.llm.common import crc_fold, cut_lineage
 from quirelight.llm.spm import SPACE, model_bytes
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 #: Distinct words that a task adds up before it hands counts on.
 _FLUSH = 200_000
 #: Words whose lattices are summed together; longer ones than _LONG characters are summed alone.
 _TOGETHER, _LONG = 5000, 100
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased (A-Z) words, cut at \\x20 and \\x09 to \\x0D."""
-    return [w for w in text.translate(_LOWER).translate(_SPACES).split(" ") if w]
+def tokens(text: str) -> list[bytes]:
+    """Lower-cased (A-Z) words in UTF-8, cut at \\x20 and \\x09 to \\x0D, which is how bytes are lower-cased and cut."""
+    return text.encode().lower().split()
 
 
 class Lattice:
@@ -180,13 +178,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
                         if word not in seen:
                             seen[word] = 0
                 if len(seen) >= _FLUSH:
-                    yield _columns(word=(list(seen), pa.string()), c=(list(seen.values()), pa.int64()))
+                    yield _counted(seen)
                     seen = Counter()
-        yield _columns(word=(list(seen), pa.string()), c=(list(seen.values()), pa.int64()))
+        yield _counted(seen)
 
     return rows.select("text", "train").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _counted(seen: Counter) -> pa.RecordBatch:
+    words = pa.array(list(seen), pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+
+
 def _columns(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns.values()], names=list(columns))
 
@@ -243,31 +246,37 @@ def lattice_scores(
     logs, end = learn(counts, proto, train_docs, rounds)
     words = cut_lineage(with_lattice_sums(counts, proto, logs))
     top = words.filter(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(head).collect()  # `head` short words
-    shared = spark.sparkContext.broadcast({r.word: (math.log10(r.c + 0.1), r.p, r.c > 0) for r in top})
+    places = {r.word.encode(): i for i, r in enumerate(top)}
+    about = np.array([(math.log10(r.c + 0.1), r.p, r.c > 0) for r in top], np.float64).reshape(-1, 3)
+    shared = spark.sparkContext.broadcast((places, about))
     base, end_base, end_p, end_known = math.log10(n + 0.1 * (v + 1)), math.log10(train_docs + 0.1), end / math.log(10), int(train_docs > 0)
     kind = docs.schema[id_col].dataType.simpleString()
-    rare_kind = pa.list_(pa.struct([("word", pa.string()), ("uses", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        place, about = shared.value[0].get, shared.value[1]
         for batch in batches:
-            made: tuple[list, ...] = ([], [], [], [], [])
+            sums: list[np.ndarray] = []
+            lengths: list[int] = []
+            ends, rare_words, rare_uses = [0], [], []
             for text in batch.column("text"):
                 uses = Counter(tokens(text.as_py() or ""))
-                base_sum, p_sum, known, rare = end_base, end_p, end_known, []
-                for word, k in uses.items():
-                    found = frequent.get(word)
-                    if found is None:
-                        rare.append({"word": word, "uses": k})
-                    else:
-                        base_sum += k * found[0]
-                        p_sum += k * found[1]
-                        known += k * found[2]
-                for column, value in zip(made, (sum(uses.values()) + 1, known, base_sum, p_sum, rare), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_kind)
-            columns = [batch.column("id"), batch.column("held_out"), *(pa.array(m, t) for m, t in zip(made, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_head", "base_sum", "p_sum", "rare"])
+                at = np.fromiter(map(place, uses, repeat(-1)), np.int64, len(uses))
+                times = np.fromiter(uses.values(), np.int64, len(uses))
+                there = at >= 0
+                sums.append(times[there] @ about[at[there]])
+                lengths.append(int(times.sum()) + 1)
+                rare_words += compress(uses, ~there)
+                rare_uses.append(times[~there])
+                ends.append(len(rare_words))
+            made = np.array(sums).reshape(-1, 3)
+            words_of = pa.array(rare_words, pa.binary()).cast(pa.string())
+            uses_of = pa.array(np.concatenate(rare_uses) if rare_uses else [], pa.int64()).cast(pa.int32())
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words_of, uses_of], names=["word", "uses"]))
+            known = made[:, 2].astype(np.int64) + end_known
+            columns = [pa.array(lengths, pa.int64()), pa.array(known), pa.array(made[:, 0] + end_base), pa.array(made[:, 1] + end_p), rare]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("held_out"), *columns], names=["id", "held_out", "n_tokens", "n_head", "base_sum", "p_sum", "rare"]
+            )
 
     scanned = rows.select("id", "held_out", "text").mapInArrow(
         run, f"id {kind}, held_out boolean, n_tokens bigint, n_head bigint, base_sum double, p_sum double, rare array<struct<word: string, uses: int>>"

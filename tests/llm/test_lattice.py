@@ -36,6 +36,15 @@ def segmentations(lattice, text):
                 yield lattice.logs[ids].sum() + log, (*ids, *rest)
 
 
+def test_tokens_are_cut_at_six_signs_only():
+    import re
+
+    text = "Ab\tC\x0bd\x0cE\rF\nÄÖ\x85g\xa0h\x1ci\u2028j İK  \x00L"
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    assert [w.decode() for w in tokens(text)] == re.findall("[^\x20\x09-\x0d]+", low)
+    assert tokens("") == tokens(" \n") == []
+
+
 def test_sums_and_expected_uses_are_those_of_all_segmentations(lattice):
     words = ["the", "aßt", "🙂x", "running", "x" * 9, "é.", "a☃☃b", "z" * 130]
     got = lattice.log_probabilities(words)
