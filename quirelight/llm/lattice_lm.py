@@ -10,7 +10,7 @@ expected counts over the training words, by forward and backward sums, replace t
 the base model: smoothed counts of whole words.
 
 The words of all texts, with their training counts and lattice sums, are one table that grows with the
-corpus.  The `head` most frequent words, a fixed number, go to every task; the words of a text that are
+corpus.  The most frequent words, `head` at most, go to every task; the words of a text that are
 not among them are joined with the table.
 
 Defined cases: null and empty texts are one end; characters outside the vocabulary are spelled in its
@@ -231,6 +231,22 @@ def with_lattice_sums(words: DataFrame, proto: bytes, logs: np.ndarray | None) -
     return words.select("word", "c").mapInArrow(run, "word string, c bigint, p double")
 
 
+def _frequent(words: DataFrame, head: int) -> list:
+    """The rows of the most frequent words, `head` at most.
+
+    Words are counted by classes of their logarithm, some hundreds, and whole classes are taken from the
+    top; a sorted limit would send the driver `head` rows of every partition.
+    """
+    size = F.floor(F.log2(F.col("c") + F.lit(1)) * 16).cast("int")
+    least, taken = None, 0
+    for r in sorted(words.groupBy(size.alias("class")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        taken += r.n
+        if taken > head:
+            break
+        least = r["class"]
+    return [] if least is None else words.filter(size >= least).collect()
+
+
 def lattice_scores(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, head: int = 100_000, rounds: int = 1
 ) -> DataFrame:
@@ -245,7 +261,7 @@ def lattice_scores(
     n, v = (stats[0] or 0) + train_docs, stats[1] + (1 if train_docs else 0)  # each text has an end
     logs, end = learn(counts, proto, train_docs, rounds)
     words = cut_lineage(with_lattice_sums(counts, proto, logs))
-    top = words.filter(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(head).collect()  # `head` short words
+    top = _frequent(words.filter(F.length("word") <= 64), head)
     places = {r.word.encode(): i for i, r in enumerate(top)}
     about = np.array([(math.log10(r.c + 0.1), r.p, r.c > 0) for r in top], np.float64).reshape(-1, 3)
     shared = spark.sparkContext.broadcast((places, about))

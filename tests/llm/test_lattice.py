@@ -86,3 +86,16 @@ def test_scores(spark, lattice):
             first = sorted((str(r.id), round(r.score, 6)) for r in got)
     assert first == sorted((str(r.id), round(r.score, 6)) for r in got)
     assert lattice_scores(df.limit(0), MODEL).count() == 0
+
+
+def test_frequent_words_are_bounded(spark):
+    from quirelight.llm.lattice_lm import _frequent
+
+    words = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(200)], "word string, c bigint")
+    for head in (0, 1, 7, 50, 1000):
+        found = _frequent(words, head)
+        assert len(found) <= head
+        least = min((r.c for r in found), default=10**9)
+        assert {r.word for r in found} == {f"w{i}" for i in range(200) if 1000 // (i + 1) >= least}
+    assert len(_frequent(words, 1000)) == 200
+    assert _frequent(words.limit(0), 10) == []
