@@ -1,20 +1,22 @@
 """Main text of web pages, with templates deduced from equivalence classes of tokens.
 
 A token is an element at its path, or a text at its path.  Tokens of one host that occur the same
-number of times on the same pages form an equivalence class: what a page template wrote.  Equal
-occurrence vectors are recognised by an exclusive-or of hashes of (page, count), which adds up across
-tasks, so no vector and no host is ever gathered in one place.  Classes of at least two tokens on
-enough pages are valid; a single token is, where it stands inside a valid class that is no rarer.
-The classes nest by their paths into the host's template.  What the template does not hold are slots,
-and the text of the slots that belong to the page's article is extracted.
-
-An explicit article (or main) element is a slot of the template whatever its text, even where pages
-are copies of each other; elsewhere template texts go.  Menus, headers, footers, sidebars, notices,
+number of times on the same distinct pages form an equivalence class: what a page template wrote.
+Equal occurrence vectors are recognised by an exclusive-or of hashes of (page, count), which adds up
+across tasks, so no vector is ever gathered in one place.  Classes of at least two tokens, an element
+among them, are valid on `least` distinct pages, however small a part of the host these are; a single
+token is, where it stands inside a valid class that is no rarer and, being a text, fills a fair share
+of the places of its own element.  The classes nest by their paths into the host's template.  What the
+template does not hold are slots, and the text of the slots that belong to the page's article is
+extracted.
+
+Inside an explicit article (or main) element, only texts of valid classes go, and an article of nothing
+else stays whole; elsewhere all template texts go.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments go by the names of their elements and classes.
 
 Defined cases: null and empty pages have an empty text; pages without a host share the host "";
 unclosed elements end where HTML ends them; a page cut inside a tag or a script loses only that;
-repeated pages are extracted each and count once for each row; ids may be null.
+repeated pages are extracted each and count once for their host; ids may be null.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW}
 
+#: What a token is: an element, a text outside articles (or one that goes by name), or a text of an article.
+ELEMENT, TEXT, ARTICLE_TEXT = 0, 1, 2
 #: Where a block stands: in an article, in a main element, or elsewhere in the page.
 ARTICLE, MAIN, ELSEWHERE = 2, 1, 0
 
@@ -74,7 +78,7 @@ class Page:
     def __init__(self, html: str):
         from xxhash import xxh64_intdigest
 
-        #: (token, token of the element around it) -> occurrences; texts inside an article are left out
+        #: (token, token of the element around it, what it is) -> occurrences
         self.tokens: Counter = Counter()
         #: (where, token, text)
         self.blocks: list[tuple[int, int, str]] = []
@@ -95,8 +99,7 @@ class Page:
         if not text:
             return
         token = self._hash(f"{around}\t{text}")
-        if where == ELSEWHERE or dropped:
-            self.tokens[token, around] += 1
+        self.tokens[token, around, TEXT if where == ELSEWHERE or dropped else ARTICLE_TEXT] += 1
         if not dropped:
             self.blocks.append((where, token, text))
 
@@ -124,7 +127,7 @@ class Page:
         written, names = _names(attributes) if "=" in attributes else ("", frozenset())
         _, around, where, dropped = self._open[-1]
         token = self._hash(f"{around}\t<{name} {written}")
-        self.tokens[token, around] += 1
+        self.tokens[token, around, ELEMENT] += 1
         if name in _VOID:
             return
         if not dropped:
@@ -178,50 +181,63 @@ class Page:
     def main_text(self, template: frozenset[int] | set[int]) -> str:
         """Texts of the article's slots, joined by line feeds in the order of the page."""
         best = max((b[0] for b in self.blocks), default=ELSEWHERE)
-        if best != ELSEWHERE:
-            return "\n".join(text for where, _, text in self.blocks if where == best)
-        return "\n".join(text for _, token, text in self.blocks if token not in template)
+        slots = [text for where, token, text in self.blocks if where == best and token not in template]
+        if best != ELSEWHERE and not slots:
+            slots = [text for where, _, text in self.blocks if where == best]
+        return "\n".join(slots)
 
 
 def nested(tokens: list[dict]) -> list[int]:
-    """The tokens of valid classes and of what nests in them, from (token, around, vector, support) of one host."""
-    by_class: dict[tuple, list[int]] = {}
+    """The tokens of valid classes and of what nests in them, from (token, around, vector, support, kind) of one host."""
+    by_class: dict[tuple, list[dict]] = {}
     for t in tokens:
-        by_class.setdefault((t["vector"], t["support"]), []).append(t["token"])
-    kept = {token: support for (_, support), members in by_class.items() if len(members) > 1 for token in members}
+        by_class.setdefault((t["vector"], t["support"]), []).append(t)
+    valid = [c for c in by_class.values() if len(c) > 1 and any(t.get("kind", ELEMENT) == ELEMENT for t in c)]
+    kept = {t["token"]: t["support"] for c in valid for t in c}
+    rest = [t for t in tokens if t["token"] not in kept and t.get("kind", ELEMENT) != ARTICLE_TEXT]
     while True:
-        more = {t["token"]: t["support"] for t in tokens if t["token"] not in kept and kept.get(t["around"], -1) >= t["support"]}
+        more = {t["token"]: t["support"] for t in rest if t["token"] not in kept and kept.get(t["around"], -1) >= t["support"]}
         if not more:
             return sorted(kept)
         kept |= more
 
 
 def templates(pages: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
-    """(host, template) from (row, host, html): tokens that at least this share of a host's pages, and at least `least`, carry."""
+    """(host, template) from (page, host, html), a page each: texts of the template.
+
+    Classes are on at least `least` pages; a text that makes no class with an element is on that share of
+    the pages of the element around it, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hosts, tokens, around, counts = [], [], [], [], []
-            for row, host, html in zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                for (token, outer), n in Page(html.as_py() or "").tokens.items():
-                    rows.append(row)
-                    hosts.append(host)
-                    tokens.append(token)
-                    around.append(outer)
-                    counts.append(n)
-            columns = [pa.array(rows, pa.int64()), pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (tokens, around, counts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "host", "token", "around", "n"])
-
-    each = pages.select("row", "host", "html").mapInArrow(run, "row bigint, host string, token bigint, around bigint, n bigint")
-    vectors = each.groupBy("host", "token", "around").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(row, n))").alias("vector"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    common = vectors.filter(F.col("support") >= least).join(sizes, "host").filter(F.col("support") >= share * F.col("pages"))
-    # a host has at most (tokens of a page) / share of them
-    lists = common.groupBy("host").agg(F.collect_list(F.struct("token", "around", "vector", "support")).alias("tokens"))
+            rows, hosts, found = [], [], []
+            for page, host, html in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                tokens = Page(html.as_py() or "").tokens
+                rows += [page] * len(tokens)
+                hosts += [host] * len(tokens)
+                found += [(*token, n) for token, n in tokens.items()]
+            numbers = zip(*found, strict=True) if found else [()] * 4
+            columns = [pa.array(rows, pa.int64()), pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "host", "token", "around", "kind", "n"])
+
+    each = pages.select("page", "host", "html").mapInArrow(run, "page bigint, host string, token bigint, around bigint, kind bigint, n bigint")
+    vectors = each.groupBy("host", "token", "around", "kind").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"))
+    common = cut_lineage(vectors.filter(F.col("support") >= least))
+    classes = common.groupBy("host", "vector", "support").agg(((F.count("*") > 1) & (F.count_if(F.col("kind") == ELEMENT) > 0)).alias("valid"))
+    outer = common.filter(F.col("kind") == ELEMENT).select("host", F.col("token").alias("around"), F.col("support").alias("places"))
+    judged = common.join(classes, ["host", "vector", "support"]).join(outer, ["host", "around"], "left")
+    fills = (F.col("kind") == TEXT) & (F.col("support") >= share * F.col("places"))
+    judged = judged.filter(F.col("valid") | (F.col("kind") == ELEMENT) | fills)
+    # of a host: the elements on `least` pages, and the texts that may be of its template
+    lists = judged.groupBy("host").agg(F.collect_list(F.struct("token", "around", "vector", "support", "kind")).alias("tokens"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [nested(t) for t in batch.column("tokens").to_pylist()]
+            made = []
+            for tokens in batch.column("tokens").to_pylist():
+                texts = {t["token"] for t in tokens if t["kind"] != ELEMENT}
+                made.append([t for t in nested(tokens) if t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.list_(pa.int64()))], names=["host", "template"])
 
     return lists.mapInArrow(nest, "host string, template array<bigint>")
@@ -232,9 +248,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     named = pages.select(F.col(id_col).alias("id"), url.alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    # which page a token stands on matters only for telling pages apart
-    numbered = named.withColumn("row", F.xxhash64("id", "url", "html"))
-    found = cut_lineage(templates(numbered, share, least))
+    # copies of a page say nothing about its template, and a null page has no tokens
+    distinct = named.select("host", F.xxhash64("html").alias("page"), "html").dropDuplicates(["host", "page"])
+    found = cut_lineage(templates(distinct, share, least))
     found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
     kind = pages.schema[id_col].dataType.simpleString()
 

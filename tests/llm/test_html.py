@@ -65,3 +65,24 @@ def test_generated_pages(spark):
         want[i] = "\n".join(re.sub(r"\s+", " ", p).strip() for p in paragraphs)
     got = {r.id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_templates_inside_articles(spark):
+    box = '<div class="zz"><p>Read more with us</p></div>'
+    rows, want = [], {}
+    for i in range(60):  # one host, four layouts of a quarter each, none on 30 % of it
+        own = f"Own text {i}"
+        rows.append((i, f"http://four.example/{i}", f'<html><body class="t{i % 4}"><article><h1>{own}</h1>{box}<p>Desk {i % 4}</p><p>{own}</p></article></body></html>'))
+        want[i] = f"{own}\n{own}"
+    for i in range(60, 100):  # no article, layouts of an eighth
+        rows.append((i, f"http://plain.example/{i}", f'<html><body class="t{i % 8}"><div class="top"><p>Paper {i % 8}</p></div><p>Own {i}</p></body></html>'))
+        want[i] = f"Own {i}"
+    for i in range(100, 120):  # equal pages say nothing about a template, nor do twice as many take one away
+        rows.append((i, f"http://plain.example/{i}", "<html><body><div class='u'><p>Same page</p></div></body></html>"))
+        want[i] = "Same page"
+    for i in range(200, 212):
+        text = f'<html><body><div class="top"><p>The site</p></div><p>Own {i}</p></body></html>'
+        rows += [(i, "http://twice.example/", text)] * 2
+        want[i] = f"Own {i}"
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(found) == len(rows) and {r.id: r.text for r in found} == want
