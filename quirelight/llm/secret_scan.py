@@ -31,8 +31,25 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # as AKIA[A-Z0-9]+ of 18 or more: a run ends where it ends
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # as [0-9a-f]+ of 16 or more
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
-_URL = re.compile(r"://[A-Za-z0-9._~-]{1,64}:([^\s:/@]{6,128})@")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+# what follows a BEGIN line without END: headers, then key characters in long pieces and a last short one that is a line
+# of its own or is padded; line ends may be written as \n or \r
+_PEM_GAP = r"(?:\s|\\[nr])"
+_PEM_BODY = re.compile(
+    rf"(?:{_PEM_GAP}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_PEM_GAP}*+(?!-----)[A-Za-z0-9+/]{{16,}}+={{0,2}})*+"
+    rf"(?:{_PEM_GAP}*+[A-Za-z0-9+/]++={{1,2}}|(?:[\x20\t\r]*+(?:\n|\\n|\\r))++[\x20\t]*+[A-Za-z0-9+/]++(?=[\x20\t]*+(?:[\r\n\"'`]|\\[nr]|-----|\Z)))?"
+)
+# neither part can hold the sign that ends it, so each text is read once
+_URL = re.compile(r"://[A-Za-z0-9._~-]++:([^\s:/@]{6,}+)@")
+
+
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of private keys, from the BEGIN line to the END line of the same name, or as far as key characters go."""
+    lines = list(_PEM.finditer(text))
+    for m, after in zip(lines, [*lines[1:], None], strict=True):
+        if m[1] == "BEGIN":
+            closed = after and after[1] == "END" and after[2] == m[2]
+            yield m.start(), after.end() if closed else _PEM_BODY.match(text, m.end()).end()
 
 
 def scan(text: str) -> list[tuple[int, int, str, str]]:
@@ -48,7 +65,7 @@ def scan(text: str) -> list[tuple[int, int, str, str]]:
     if "eyJ" in text:
         found += [(m.start(), 3, f"jwt:{m.start()}:{m.end()}", m[0]) for m in _JWT.finditer(text)]
     if "PRIVATE KEY" in text:
-        found += [(m.start(), 4, f"pem:{m.start()}:{m.end()}", text[m.start() : m.end() + 256]) for m in _PEM.finditer(text)]
+        found += [(start, 4, f"pem:{start}:{end}", text[start:end]) for start, end in _keys(text)]
     if "://" in text:
         found += [(m.start(1), 5, f"url:{m.start(1)}:{m.end(1)}", m[1]) for m in _URL.finditer(text)]
     return sorted(found)

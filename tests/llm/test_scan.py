@@ -1,6 +1,7 @@
 """Secret scan and personal data against plain regular expressions."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -87,6 +88,37 @@ def test_ownership_parts_examples_from_owned_keys(spark):
     assert secret_scan.mask(rows[70][1], got[100].masked) == "x [SECRET]'"
 
 
+KEY = "\n".join("MIIEpAIBAAKCAQEA7x" + "abcdEFGH0123+/" * 3 + str(i) for i in range(9))
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        (f"a -----BEGIN RSA PRIVATE KEY-----\n{KEY}\nab12==\n-----END RSA PRIVATE KEY----- b", "a [SECRET] b"),
+        (f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{KEY}\nAbC1\n\nNow prose.", "[SECRET]\n\nNow prose."),
+        (f"key: \"-----BEGIN PRIVATE KEY-----\\n{KEY}\\nab1=\\n\" and more words", 'key: "[SECRET]\\n" and more words'),
+        (f"-----BEGIN PRIVATE KEY----- {KEY} then prose -----BEGIN EC PRIVATE KEY----- {KEY} -----END EC PRIVATE KEY-----.", "[SECRET] then prose [SECRET]."),
+        ("the line -----BEGIN PRIVATE KEY----- opens a key", "the line [SECRET] opens a key"),
+        (f"git clone https://{'user' * 20}:{'Zx9_k' * 60}@host/x", f"git clone https://{'user' * 20}:[SECRET]@host/x"),
+    ],
+)
+def test_whole_keys_and_long_credentials_are_masked(text, left):
+    spans = [f[2] for f in secret_scan.scan(text) if f[1] > 3]
+    assert secret_scan.mask(text, ",".join(spans)) == left
+
+
+def test_keys_that_begin_alike_are_told_apart():
+    first, second = (f"-----BEGIN PRIVATE KEY-----\n{KEY}\n{x * 40}\n-----END PRIVATE KEY-----" for x in "xy")
+    assert {f[3] for f in secret_scan.scan(f"{first} {second}") if f[1] == 4} == {first, second}
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN PRIVATE KEY-----" * 20000, "-----BEGIN PRIVATE KEY-----" + "\n " * 200000, "://" + "a" * 400000, "://a:" * 80000])
+def test_long_odd_texts_are_read_in_linear_time(text):
+    start = time.process_time()
+    secret_scan.scan(text)
+    assert time.process_time() - start < 5
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "a@b.org or +49 30 1234567", "s", "en", 1), (2, None, "s", "en", 1), (None, "x (at) y (dot) org", "s", "en", 1), (4, "", "s", "en", 1)]
     got = {r.id: r for r in pii.find_personal_data(_docs(spark, rows)).collect()}
