@@ -80,19 +80,31 @@ _SPELLED = re.compile(
     rf"(?<![^\W_])(?:(?:plus|\+){_GAP})?(?:(?:{_WORD}|[0-9]+){_GAP}(?:(?:dot|point|punkt|punto|double){_GAP})?){{4,}}(?:{_WORD}|[0-9]+)(?![^\W_])",
     re.IGNORECASE,
 )
-_LETTERS = re.compile(r"[^\W\d_]+")
-_SPOKEN = frozenset(_DIGIT) | {"dot", "point", "punkt", "punto", "double", "plus"}
-_TWO_SPELLED = re.compile(rf"(?:{_WORD}){_GAP}(?:dot{_GAP})?(?:{_WORD})", re.IGNORECASE)
+_DOTTED = re.compile(r"(?<![^\W_])[0-9]+(?:\s+(?:dot|point|punkt|punto)\s+[0-9]+){3,}(?![^\W_])", re.IGNORECASE)
+_SPOKEN_DOT = re.compile(r"\s+(?:dot|point|punkt|punto)\s+", re.IGNORECASE)
+_DOT_NUMBER = re.compile(r"(?:dot|point|punkt|punto)\s+[0-9]", re.IGNORECASE)
+_WORDS_AND_NUMBERS = re.compile(r"[^\W\d_]+|[0-9]+")
+# what may stand in a run of spelled digits: 1 a number in figures, 2 a digit's word, 3 a word between them
+_ROLE = dict.fromkeys(_DIGIT, 2) | dict.fromkeys(("dot", "point", "punkt", "punto", "double", "plus"), 3)
+_RUN = re.compile(rb"[\1-\3]{5,}")
 _PART = re.compile(rf"({_WORD})|(dot|point|punkt|punto)|(plus)|(double)|([0-9]+)|([\s.,()-]+)|(.)", re.IGNORECASE | re.DOTALL)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:(at|@|arroba)|dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9_%+-]+"
 _WRITTEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+@-])({_NAME}(?:(?:\.|\s+dot\s+){_NAME}){{0,8}})(\s+at\s+|@)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){{0,6}}\s+dot\s+[A-Za-z]{{2,12}})(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+@-])({_NAME}(?:(?:\.|\s+dot\s+){_NAME}){{0,8}})(\s+at\s+|@)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){{0,6}}\s+dot\s+[A-Za-z]{{2,63}})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
 _WRITTEN_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
-_AT_DOMAIN = re.compile(r" at (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,12}\b)")
-_ADDRESS_LIKE = re.compile(r"(?=\S*[0-9._])[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]\Z")
+_AT_DOMAIN = re.compile(r" at (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,63}\b)", re.IGNORECASE)
+_NAME_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\Z")
+# English words after which a site, not the host of an address, is told.
+_NO_NAMES = frozenset(
+    """a about active am an and are article as available be been being bought but buy called came chat check click com come contact details directly document documents
+    documentation download email everything example file files find first for form found free from go guide have he help her here hers him his hosted i if in info
+    information is it item its job just link list listed live located login look looked looking looks mail me mine more news not now of office on online only or order our
+    ours out page pages posted price project published read register report seen section see shop shown sign site source start stay store story text that the them then
+    there these they this those today tools up us version view viewed visit was we website were work worked working works write you your yours""".split()
+)
 
 Span = tuple[int, int, int]
 
@@ -185,10 +197,19 @@ def _digits_of(run: str) -> str:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    # two such words in a row are rare in prose, and quicker found word by word than by the pattern
-    if b"\1\1" not in bytes([w in _SPOKEN for w in _LETTERS.findall(text.lower())]):
+    """Runs of five numbers or more, two of them in words."""
+    # such runs are rare in prose, and quicker found word by word than by the pattern
+    roles = bytes([1 if w[0] in "0123456789" else _ROLE.get(w, 0) for w in _WORDS_AND_NUMBERS.findall(text.lower())])
+    if not any(m[0].count(2) > 1 for m in _RUN.finditer(roles)):
+        return []
+    return [(m.start(), m.end(), _digits_of(m[0])) for m in _SPELLED.finditer(text) if sum(p.lastindex == 1 for p in _PART.finditer(m[0])) > 1]
+
+
+def _dotted(text: str) -> list[tuple[int, int, str]]:
+    """number dot number dot number dot number"""
+    if not _DOT_NUMBER.search(text):
         return []
-    return [(m.start(), m.end(), _digits_of(m[0])) for m in _SPELLED.finditer(text) if _TWO_SPELLED.search(m[0])]
+    return [(m.start(), m.end(), _SPOKEN_DOT.sub(".", m[0])) for m in _DOTTED.finditer(text)]
 
 
 def _bracketed(text: str) -> list[tuple[int, int, str]]:
@@ -203,7 +224,7 @@ def _bracketed(text: str) -> list[tuple[int, int, str]]:
 
 
 def _written(text: str) -> list[tuple[int, int, str]]:
-    """name at host dot tld; and name at host.tld where the name has a digit, dot or underscore in it."""
+    """name at host dot tld; and name at host.tld in any case, where the name is no word such as look or us."""
     edits = []
     if ("dot" in text or "DOT" in text or "Dot" in text) and _WRITTEN_DOT.search(text):
         for m in _WRITTEN.finditer(text):
@@ -212,7 +233,8 @@ def _written(text: str) -> list[tuple[int, int, str]]:
     taken = [(s, e) for s, e, _ in edits]
     for m in _AT_DOMAIN.finditer(text):
         before = text[max(0, m.start() - 64) : m.start()].rsplit(None, 1)
-        if before and _ADDRESS_LIKE.match(before[-1]) and not any(s <= m.start() < e for s, e in taken):
+        name = _NAME_BEFORE.search(before[-1]) if before else None
+        if name and name[0].lower() not in _NO_NAMES and not any(s <= m.start() < e for s, e in taken):
             edits.append((m.start(), m.end(), "@"))
     return sorted(edits)
 
@@ -224,7 +246,7 @@ def deobfuscated(text: str) -> tuple[str, list[Rewrites], bool]:
         if _ODD.search(text):
             plain, swapped = text.translate(_TABLE), True
     steps = []
-    for edit in (lambda t: [(m.start(), m.end(), "") for m in _HIDDEN.finditer(t)] if not t.isascii() else [], _bracketed, _written, _spelled):
+    for edit in (lambda t: [(m.start(), m.end(), "") for m in _HIDDEN.finditer(t)] if not t.isascii() else [], _bracketed, _written, _dotted, _spelled):
         if edits := edit(plain):
             steps.append(Rewrites(plain, edits))
             plain = steps[-1].text

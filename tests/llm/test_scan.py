@@ -73,6 +73,30 @@ def test_clean_texts_get_nothing(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "shown"),
+    [
+        ("host 192 dot 168 dot 17 dot 10 is up", "ip", "192 dot 168 dot 17 dot 10"),
+        ("host 10 punto 0 Punto 0 punto 1.", "ip", "10 punto 0 Punto 0 punto 1"),
+        ("card four 1 one 1 1111 one 1 one 1 1111 ok", "card", "four 1 one 1 1111 one 1 one 1 1111"),
+        ("call plus one 2 three 4 five 6 seven 8 nine 0 today", "phone", "plus one 2 three 4 five 6 seven 8 nine 0"),
+        ("ask alice at example.com now", "email", "alice at example.com"),
+        ("ask (alice at example.com) now", "email", "alice at example.com"),
+        ("ASK JOHN AT EXAMPLE.COM", "email", "JOHN AT EXAMPLE.COM"),
+        ("jane at mail dot example dot internationalsite", "email", "jane at mail dot example dot internationalsite"),
+        ("jane at mail.internationalsite", "email", "jane at mail.internationalsite"),
+    ],
+)
+def test_more_disguises_map_back_to_the_source(text, kind, shown):
+    _, added = pii.find(text)
+    assert (pii.KINDS.index(kind), shown) in [(k, text[s:e]) for s, k, e in added]
+
+
+@pytest.mark.parametrize("text", ["Visit us at example.com", "SEE MORE AT EXAMPLE.COM", "999 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "on 1 2 3 4 5 6 one 7"])
+def test_more_clean_texts_get_nothing(text):
+    assert pii.find(text) == ([], [])
+
+
 def _docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, extra int")
 
