@@ -173,6 +173,16 @@ def equal_sets(left: DataFrame, right: DataFrame, left_id: str, right_id: str, m
     return a.join(b, "_set").select(left_id, right_id)
 
 
+def set_classes(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, class_key, class_size) for each key: the smallest key with the same set of members, and how many have it.
+
+    One row a key, however many are alike.
+    """
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("_set"))
+    classes = sets.groupBy("_set").agg(F.min(key).alias("class_key"), F.count("*").alias("class_size"))
+    return sets.join(classes, "_set").select(key, "class_key", "class_size")
+
+
 def weighted_mode(df: DataFrame, keys: Sequence[str], value: str, weight: Column) -> DataFrame:
     """The value with the largest summed weight in each key; ties go to the smallest value."""
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("weight"))

@@ -46,6 +46,15 @@ def equal_part_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.equal_sets(even, odd, "left_key", "right_key", "l_partkey")
 
 
+@query(
+    """WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS parts FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, min(l_orderkey) OVER (PARTITION BY parts) AS class_key, count(*) OVER (PARTITION BY parts) AS class_size FROM s"""
+)
+def part_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the smallest order of the same set of parts, and how many orders have it."""
+    return R.set_classes(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query()
 def title_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the titles of a brand's parts name each other: equal, beginning alike, or sharing all carrying words."""

@@ -106,6 +106,13 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("k >= 50").withColumn("digit", F.col("k") % 10)
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS digit FROM events")
+def all_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields out of the JSON properties of every event."""
+    found = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return found.withColumn("digit", F.col("k") % 10)
+
+
 @query(
     """SELECT conv_id, count(*) AS n, string_agg(role, '>' ORDER BY turn, role) AS roles, count(*) FILTER (role = 'user') AS n_user, CAST(max(length(text)) AS INTEGER) AS longest FROM conversations GROUP BY conv_id"""
 )

@@ -10,6 +10,7 @@ import pytest
 
 from quirelight import plans
 from quirelight.functions import text as T
+from quirelight.operators import relational as R
 from quirelight.plans import layouts, timelines
 from quirelight.plans.registry import read
 
@@ -151,3 +152,12 @@ def test_entry_smoke(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(plans.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_equal_sets_of_one_parity_and_all_events(spark):
+    rows = [(2, 7), (2, 8), (2, 7), (4, 8), (4, 7), (5, 8), (5, 7), (7, 8), (9, 8), (11, 9)]
+    found = R.set_classes(spark.createDataFrame(rows, "k long, part long"), "k", "part").collect()
+    assert sorted(map(tuple, found)) == [(2, 2, 3), (4, 2, 3), (5, 2, 3), (7, 7, 2), (9, 7, 2), (11, 11, 1)]
+    queries = plans.queries()
+    assert queries["part_set_classes"](spark, SF).count() == read(spark, SF, "lineitem").select("l_orderkey").distinct().count()
+    assert queries["all_event_properties"](spark, SF).count() == read(spark, SF, "events").count() > queries["event_properties"](spark, SF).count()
