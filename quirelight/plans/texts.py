@@ -52,6 +52,19 @@ def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), host.alias("host"), F.substring(text, 1, 80).alias("head"))
 
 
+@query(
+    """SELECT page_id, length(t) AS n_chars, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, t AS text FROM (
+    SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM (
+    SELECT page_id, url, replace(replace(html, '&ndash;', '–'), '&szlig;', 'ß') AS html FROM (
+    SELECT page_id, url, replace(replace(replace(replace(replace(replace(html, '&auml;', 'ä'), '&ouml;', 'ö'), '&uuml;', 'ü'), '&Auml;', 'Ä'), '&Ouml;', 'Ö'), '&Uuml;', 'Ü') AS html FROM pages)))"""
+)
+def stripped_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each page without tags and with common character references read."""
+    text = T.strip_html(F.col("html"))
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    return read(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), host.alias("host"), text.alias("text"))
+
+
 @query(
     """SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS n_links, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<p[\\s>]')) AS n_paragraphs FROM pages"""
 )

@@ -161,3 +161,10 @@ def test_equal_sets_of_one_parity_and_all_events(spark):
     queries = plans.queries()
     assert queries["part_set_classes"](spark, SF).count() == read(spark, SF, "lineitem").select("l_orderkey").distinct().count()
     assert queries["all_event_properties"](spark, SF).count() == read(spark, SF, "events").count() > queries["event_properties"](spark, SF).count()
+
+
+def test_whole_text_of_stripped_pages(spark):
+    whole = {r.page_id: r for r in plans.queries()["stripped_page_texts"](spark, SF).collect()}
+    heads = plans.queries()["stripped_pages"](spark, SF).collect()
+    assert len(heads) == len(whole) and any(len(whole[r.page_id].text) > 80 for r in heads)
+    assert all(whole[r.page_id].text[:80] == r.head and len(whole[r.page_id].text) == r.n_chars for r in heads)
