@@ -66,4 +66,5 @@ def test_proximity_needs_the_rarest_terms_near_each_other(spark):
         spark.createDataFrame([(7, "lorem alpha lorem beta lorem gamma lorem")], "item long, text string"),
         "id", "text", "item", "text", 10,
     )
-    assert sorted((r.id, r["item"]) for r in proximity_matches(index, terms=3, within=5).collect()) == [(1, 7), (3, 7)]
+    found = proximity_matches(index, terms=3, within=5).join(index.docs, "doc").collect()
+    assert sorted((r.id, r["item"]) for r in found) == [(1, 7), (3, 7)]
