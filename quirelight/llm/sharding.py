@@ -1,13 +1,14 @@
 """Sharding by longest processing time: groups that must stay together, largest first, go to the least-loaded shard.
 
 Rows of one text form a group.  What decides a group's shard is its total size alone, so the driver
-needs only how many groups there are of each size class, not the groups.  A class holds the sizes that
-agree in their `digits` leading binary digits: every size below 2**digits has a class of its own, and
-larger ones differ by less than a 2**(1-digits) part.  That bounds what the driver gets to
-2**(digits-1) classes for each doubling of the size, whatever the number of documents.  The classes go
-through the heap from the largest down; a class of many groups is laid level first, which gives the
-counts that pushing its groups one by one would.  Executors then rank the groups of a class and read
-their shard off the counts.
+needs only how many groups there are of each size, not the groups.  Every size below 2**digits counts by
+itself, and so does the size of each of the largest groups, `exact` at most.  Only where there are more
+large groups than that, those next in size go by classes that agree in their `digits` leading binary
+digits, so that the size taken for one is off by less than a 2**(1-digits) part (0.012 %).  That bounds
+what the driver gets to 2**(digits-1) classes for each doubling of the size and `exact` more, whatever
+the number of documents.  The classes go through the heap from the largest down; a class of many groups
+is laid level first, which gives the counts that pushing its groups one by one would.  Executors then
+rank the groups of a class by the digest of their text and read their shard off the counts.
 
 The law is `bytes`: the sizes of the shards come out near equal, as far as single groups allow.
 
@@ -49,6 +50,17 @@ def lay_out(classes: Iterable[tuple[int, int, int]], shards: int) -> dict[int, l
     return taken
 
 
+def _cut(classes: list, exact: int) -> int:
+    """The least class from which on there are `exact` groups at most, from (class, groups) by falling class."""
+    groups, cut = 0, 1 << 62
+    for key, n in classes:
+        groups += n
+        if groups > exact:
+            break
+        cut = key
+    return cut
+
+
 def _level(loads: list[int], size: int, count: int) -> list[int]:
     """What the heap has given out when no shard stands below the highest level that `count` groups of one size reach."""
 
@@ -63,26 +75,28 @@ def _level(loads: list[int], size: int, count: int) -> list[int]:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, digits: int = 14, spread: int = 256
+    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, digits: int = 14, exact: int = 4096
 ) -> DataFrame:
     """(id, size, text_crc32, shard, slot) for every row; no text is shuffled.
 
-    spread: parts into which the ranks of one class and the slots of one shard are dealt, so that a
-    common size or a shard is never one task.
+    The ranks of one class and the slots of one shard are dealt in 256 parts, by the first byte of a
+    digest, so that a common size or a shard is never one task.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(text, 256)).alias("key"),
+        F.sha2(text, 256).alias("key"),
     )
     rows = cut_lineage(rows)
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     low = F.greatest(F.lit(0), F.floor(F.log2("bytes")).cast("int") - (digits - 1))
     step = F.expr("shiftleft(1L, low)")
     groups = groups.withColumn("low", low).withColumn("class", (F.floor(F.col("bytes") / step) * step).cast("long"))
-    groups = cut_lineage(groups.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(spread)).cast("int")).select("key", "bytes", "class", "part"))
+    groups = cut_lineage(groups.select("key", "bytes", "class", F.substring("key", 1, 2).alias("part")))
+    cut = _cut(groups.groupBy("class").count().orderBy(F.desc("class")).collect(), exact)
+    groups = groups.withColumn("class", F.when(F.col("class") >= cut, F.col("bytes")).otherwise(F.col("class")))
 
     parts = groups.groupBy("class", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sizes = parts.groupBy("class").agg(F.sum("n"), F.sum("bytes")).orderBy(F.desc("class")).collect()
@@ -97,16 +111,15 @@ def shard_documents(
     ranked = groups.withColumn("rank", rank).join(starts, ["class", "part"]).join(ends, "class")
     placed = ranked.select("key", F.expr("size(filter(ends, e -> e <= start + rank))").alias("shard"))
 
-    dealt = rows.join(placed, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.lit(spread)).cast("int"))
+    of_id = F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    dealt = rows.join(placed, "key").withColumn("part", of_id)
     dealt = cut_lineage(dealt.select("id", "size", "text_crc32", "shard", "part"))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")) - 1
     return (
         dealt.withColumn("place", place)
-        .join(F.broadcast(starts), ["shard", "part"])  # shards times spread rows at most
+        .join(F.broadcast(starts), ["shard", "part"])  # 256 rows a shard at most
         .select("id", "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
     )
-
-

@@ -32,7 +32,7 @@ def test_groups_stay_together_and_slots_have_no_gaps(spark):
     rng = random.Random(5)
     texts = ["x" * rng.randint(0, 60) for _ in range(300)] + ["hot text"] * 200 + [None, "", "é" * 20000]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "x", 1), (3, texts[3], 1)]
-    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string, shard long"), shards=5, spread=4).collect()
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string, shard long"), shards=5).collect()
     assert len(got) == len(rows)
     by_text, slots, loads = defaultdict(set), defaultdict(list), defaultdict(int)
     for r in got:
