@@ -29,7 +29,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True)
     return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -37,6 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near_items",
     )
 
 
@@ -97,5 +98,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows are looked up as strings, and proximity is judged over all positions.  Rows are told apart by rowid, as ids may repeat.
+OP3_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS row, item_id, {_WORDS} AS w FROM benchmark),
+sizes AS (SELECT DISTINCT CAST(least(len(w), 10) AS BIGINT) AS size FROM b WHERE len(w) > 0),
+bw AS (SELECT item_id, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS start, w FROM (SELECT *, CAST(least(len(w), 10) AS BIGINT) AS size FROM b WHERE len(w) > 0)),
+item_windows AS (SELECT DISTINCT item_id, size, array_to_string(w[start : start + size - 1], ' ') AS gram FROM bw),
+dw AS (SELECT doc, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS start, w FROM d, sizes WHERE len(w) >= size),
+doc_windows AS (SELECT doc, size, start, array_to_string(w[start : start + size - 1], ' ') AS gram FROM dw),
+found AS MATERIALIZED (SELECT doc, size, start, item_id FROM doc_windows JOIN item_windows USING (size, gram)),
+hit AS (SELECT doc, count(DISTINCT pos) AS n_hit FROM (SELECT doc, unnest(range(start, start + size)) AS pos FROM found) GROUP BY doc),
+which AS (SELECT doc, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM found GROUP BY doc),
+bt AS (SELECT DISTINCT row, item_id, unnest(w) AS term FROM b),
+dt AS MATERIALIZED (SELECT doc, term, pos FROM (SELECT doc, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d) WHERE term IN (SELECT term FROM bt)),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+ranked AS (SELECT row, item_id, term, row_number() OVER (PARTITION BY row ORDER BY coalesce(df, 0), term) AS rank FROM bt LEFT JOIN df USING (term)),
+rare AS (SELECT *, count(*) OVER (PARTITION BY row) AS need FROM ranked WHERE rank <= 3),
+placed AS (SELECT doc, row, item_id, need, rank, pos FROM dt JOIN rare USING (term)),
+close AS (SELECT a.doc, a.row, a.item_id, a.need, a.pos, count(DISTINCT b.rank) AS n FROM placed a JOIN placed b ON a.doc = b.doc AND a.row = b.row AND abs(a.pos - b.pos) <= 20 WHERE a.rank = 1 GROUP BY ALL),
+near AS (SELECT doc, count(DISTINCT item_id) AS n_near_items FROM close WHERE n = need GROUP BY doc)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc) LEFT JOIN which USING (doc) LEFT JOIN near USING (doc)
+"""
+
+#: The groups one by one, largest first, each to the shard with the least load, the first of these; crc32 byte by byte with its table.
+OP9_SQL = """
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS crc FROM bits WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, sha256(coalesce(text, '')) AS key FROM documents),
+summed AS (SELECT doc_id, size, key, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+  lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc_table),
+groups AS MATERIALIZED (SELECT key, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY key),
+queue AS MATERIALIZED (SELECT bytes, row_number() OVER (ORDER BY bytes DESC, key) AS n FROM groups),
+laid AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bytes, 0 AS shard, list_transform(range(24), lambda x: CAST(0 AS BIGINT)) AS loads
+  UNION ALL
+  SELECT n, bytes, shard, list_transform(loads, lambda x, i: CASE WHEN i = shard + 1 THEN x + bytes ELSE x END)
+  FROM (SELECT queue.n, queue.bytes, laid.loads, CAST(list_position(laid.loads, list_min(laid.loads)) - 1 AS INTEGER) AS shard FROM laid JOIN queue ON queue.n = laid.n + 1)),
+taken AS (SELECT bytes, shard, row_number() OVER (PARTITION BY bytes ORDER BY shard) AS place FROM laid WHERE n > 0),
+placed AS (SELECT key, shard FROM (SELECT key, bytes, row_number() OVER (PARTITION BY bytes ORDER BY key) AS place FROM groups) JOIN taken USING (bytes, place))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 2), doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM summed JOIN placed USING (key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL, "op9_sharding": OP9_SQL}
