@@ -28,14 +28,25 @@ def crc_fold(key: Column, folds: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of spark.checkpoint.dir, which every executor shares.
 
-    Only a session that names no such folder (local tests) gets one of its own.
+    Only a local session (as in tests) that names no such folder gets one of its own; a cluster has to name one.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelight-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirelight-"))
     return context.getCheckpointDir()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores put to it until df has no such column (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """An eager checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

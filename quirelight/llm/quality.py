@@ -6,12 +6,14 @@ features of a text.  Features are the words of the whole text, hashed; statistic
 numbers and as the bin they fall in; and its lengths as metadata.  Labels, language, source and id
 are never among them.
 
-The machine is fitted on the driver on at most `sample` labelled rows (those with the least hash of
-their id), a bound that does not grow with the corpus; scoring is one pass without a shuffle.
+The machine is fitted on the driver on at most `sample` labelled rows (where there are more, those with
+the least hash of their id, 95 in 100 of `sample` on average), a bound that does not grow with the corpus;
+scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score like any
 other; rows without a label are only scored; of labels that repeat an id the smallest counts; with no
-labelled rows, or of one kind only, all scores are that share of label 1 (0.5 without any).
+labelled rows, or of one kind only, all scores are that share of label 1 (0.5 without any); a text is
+read whole, however long; an empty table gives no rows; a column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import crc_fold
+from quirelight.llm.common import crc_fold, cut_lineage
 
 BUCKETS = 1 << 15
 FACTORS = 8
@@ -165,12 +167,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = 20_000
 ) -> Machine:
-    """Fits on at most `sample` labelled rows outside fold 0."""
+    """Fits on at most `sample` labelled rows outside fold 0.
+
+    The rows are those below a bound on their hash.  The bound lets 95 in 100 of `sample` through on average,
+    seven standard deviations below it at 20,000, and nothing is sorted or sent to the driver for it but a count.
+    """
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), folds) != 0))
     chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # labels of rows that are gone do not use up the sample
-    there = chosen.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    there = cut_lineage(chosen.join(texts.select("id"), "id", "left_semi"))
+    n = there.count()
+    if n > sample:
+        there = there.filter(F.xxhash64("id") < int((0.95 * sample / n - 0.5) * 2**64))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +197,8 @@ def learn(
 
 
 def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of docs and the score of each text, 0 to 1."""
+    """All columns of docs and the score of each text, 0 to 1; a column of that name is replaced."""
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score_col}` double"])
     at = docs.columns.index(text_col)
