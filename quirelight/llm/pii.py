@@ -6,7 +6,8 @@ find is mapped back to code points of the source.  A mapped span is added where
 it and no base span of its kind holds it whole, so texts without disguises get nothing.
 
 Defined cases: null and empty texts have no spans; one that is all digits or all signs is read in
-linear time; repeated rows are searched each; ids may be null.
+linear time, and very long texts are searched whole; repeated rows are searched each; ids may be null; an
+empty table gives no rows; further columns of the table are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,14 +90,10 @@ _ROLE = dict.fromkeys(_DIGIT, 2) | dict.fromkeys(("dot", "point", "punkt", "punt
 _RUN = re.compile(rb"[\1-\3]{5,}")
 _PART = re.compile(rf"({_WORD})|(dot|point|punkt|punto)|(plus)|(double)|([0-9]+)|([\s.,()-]+)|(.)", re.IGNORECASE | re.DOTALL)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:(at|@|arroba)|dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.IGNORECASE)
-_NAME = r"[A-Za-z0-9_%+-]+"
-_WRITTEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+@-])({_NAME}(?:(?:\.|\s+dot\s+){_NAME}){{0,8}})(\s+at\s+|@)([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){{0,6}}\s+dot\s+[A-Za-z]{{2,63}})(?![A-Za-z0-9])",
-    re.IGNORECASE,
-)
+_AT_SIGN = re.compile(r"\s+at\s+|@", re.IGNORECASE)
+_SPOKEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}(?![A-Za-z0-9])", re.IGNORECASE)
 _WRITTEN_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
-_AT_DOMAIN = re.compile(r" at (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,63}\b)", re.IGNORECASE)
-_NAME_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?\Z")
+_AT_DOMAIN = re.compile(r" at (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b)", re.IGNORECASE)
 # English words after which a site, not the host of an address, is told.
 _NO_NAMES = frozenset(
     """a about active am an and are article as available be been being bought but buy called came chat check click com come contact details directly document documents
@@ -223,19 +220,58 @@ def _bracketed(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _name_before(text: str, end: int, low: int, spoken: bool) -> int | None:
+    """Where the name that ends at `end` begins, not before `low`; with `spoken`, parts may be joined by the word dot."""
+    start = end
+    while True:
+        at = start
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == at:
+            return None if at == end else at
+        if not spoken:
+            break
+        gap = start
+        while gap > low and text[gap - 1].isspace():
+            gap -= 1
+        word = gap - 3
+        if gap == start or word <= low or text[word:gap].lower() != "dot" or not text[word - 1].isspace():
+            break
+        while word > low and text[word - 1].isspace():
+            word -= 1
+        if word == low or text[word - 1] not in _LOCAL:
+            break
+        start = word
+    while start < end and text[start] == ".":
+        start += 1
+    return None if start == end or start > 0 and text[start - 1] == "@" else start
+
+
 def _written(text: str) -> list[tuple[int, int, str]]:
-    """name at host dot tld; and name at host.tld in any case, where the name is no word such as look or us."""
-    edits = []
-    if ("dot" in text or "DOT" in text or "Dot" in text) and _WRITTEN_DOT.search(text):
-        for m in _WRITTEN.finditer(text):
-            whole = [_WRITTEN_DOT.sub(".", m[1]), "@", _WRITTEN_DOT.sub(".", m[3])]
-            edits.append((m.start(), m.end(), "".join(whole)))
-    taken = [(s, e) for s, e, _ in edits]
+    """name at host dot tld; and name at host.tld in any case, where the name is no word such as look or us.
+
+    Both begin at the sign and go each way from there, so names and hosts may have any length.
+    """
+    edits, last = [], 0
+    if _WRITTEN_DOT.search(text):
+        for m in _AT_SIGN.finditer(text):
+            domain = _SPOKEN_DOMAIN.match(text, m.end()) if m.start() >= last else None
+            start = _name_before(text, m.start(), last, True) if domain else None
+            if start is not None:
+                whole = [_WRITTEN_DOT.sub(".", text[start : m.start()]), "@", _WRITTEN_DOT.sub(".", domain[0])]
+                edits.append((start, domain.end(), "".join(whole)))
+                last = domain.end()
+    taken, k = list(edits), 0
     for m in _AT_DOMAIN.finditer(text):
-        before = text[max(0, m.start() - 64) : m.start()].rsplit(None, 1)
-        name = _NAME_BEFORE.search(before[-1]) if before else None
-        if name and name[0].lower() not in _NO_NAMES and not any(s <= m.start() < e for s, e in taken):
-            edits.append((m.start(), m.end(), "@"))
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k < len(taken) and taken[k][0] <= m.start():
+            continue
+        start = _name_before(text, m.start(), taken[k - 1][1] if k else 0, False)
+        if start is not None:
+            name = text[start : m.start()]
+            if name[0].isalnum() and name[-1].isalnum() and name.lower() not in _NO_NAMES:
+                edits.append((m.start(), m.end(), "@"))
     return sorted(edits)
 
 

@@ -31,7 +31,7 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # as AKIA[A-Z0-9]+ of 18 or more: a run ends where it ends
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # as [0-9a-f]+ of 16 or more
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 # what follows a BEGIN line without END: headers, then key characters in long pieces and a last short one that is a line
 # of its own or is padded; line ends may be written as \n or \r
 _PEM_GAP = r"(?:\s|\\[nr])"
