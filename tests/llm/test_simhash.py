@@ -5,7 +5,7 @@ import random
 import pytest
 from xxhash import xxh64_intdigest
 
-from quirelight.llm.simhash import near_duplicates
+from quirelight.llm.simhash import near_duplicates, similar_documents
 
 
 def plain_print(text):
@@ -57,3 +57,82 @@ def test_components_are_those_of_all_pairs(spark, tile):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def jaccard_components(rows, size, least):
+    """Components over all pairs of texts."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            same = sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+            if i < j and same and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in sets}
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_similar_documents_are_those_of_all_pairs(spark, tile):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
+    passage = [word() for _ in range(60)]
+    out = [None, "", " \n", "one", "One", "two words", "a b c d e", "a b c d e f"]
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(30, 200))]
+        base = passage + base if k % 2 else base  # a passage that half of all texts hold
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            for _ in range(rng.randint(1, 4)):
+                base[rng.randrange(len(base))] = word()
+            out.append(" ".join(base))
+    rows = list(enumerate(out + out[-2:], 100))
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, node int")
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile).collect()}
+    want = jaccard_components(rows, 5, 0.8)
+    assert found == want
+    assert 5 < len(set(want.values())) < len(want) - 10
+
+
+def test_similar_documents_without_ids_or_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "A b"), (None, "c")], "doc_id long, text string")
+    assert sorted(map(str, ((r.id, r.component) for r in similar_documents(docs).collect()))) == ["(3, 3)", "(None, 3)", "(None, 3)", "(None, None)"]
+    assert similar_documents(docs.limit(0)).count() == 0
+
+
+def test_population_counts_only_skip_what_cannot_link():
+    import numpy as np
+
+    from quirelight.llm.simhash import _forest
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40), rng.integers(0, 1 << 8, 30, dtype=np.uint64)])
+    rng.shuffle(near)
+    for a, b in ((near, None), (near[:70], near[70:])):
+        whole = a if b is None else np.concatenate([a, b])
+        for rows in (7, 1024):
+            root = list(range(len(whole)))
+
+            def top(i, root=root):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in ((int(i), int(j)) for x in _forest(a, b, 3, rows) for i, j in zip(*x, strict=True)):
+                assert (int(whole[i]) ^ int(whole[j])).bit_count() <= 3
+                assert top(i) != top(j)  # a forest
+                root[top(i)] = top(j)
+            for i in range(len(whole)):
+                for j in range(i):
+                    if (int(whole[i]) ^ int(whole[j])).bit_count() <= 3 and (b is None or (j < len(a)) != (i < len(a))):
+                        assert top(i) == top(j)
