@@ -7,16 +7,24 @@ across tasks, so no vector is ever gathered in one place.  Classes of at least t
 among them, are valid on `least` distinct pages, however small a part of the host these are; a single
 token is, where it stands inside a valid class that is no rarer and, being a text, fills a fair share
 of the places of its own element.  The classes nest by their paths into the host's template.  What the
-template does not hold are slots, and the text of the slots that belong to the page's article is
-extracted.
+template does not hold are slots.
 
-Inside an explicit article (or main) element, only texts of valid classes go, and an article of nothing
-else stays whole; elsewhere all template texts go.  Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments go by the names of their elements and classes.
+Which slot holds the article, the template tells too: from the outermost element of a layout, the way goes
+to the element inside it, once on each of its pages, that holds over half of what the slots there hold
+outside links on average over the host's pages, as long as there is one.  Menus, adverts, footers and headers are the
+slots beside that way.  An explicit article element that the way runs through is taken whole, so
+that its title stays.  Inside the slot, texts of the template go; so do elements that HTML or their class
+says are no text of the article (forms, asides, adverts, reader comments), as these vary from page to page
+like the article and no count tells them apart.
+
+Pages that have no such slot (hosts of fewer than `least` distinct pages, or layouts that no element
+dominates) are read by the names of their elements and classes alone: the article, else the main element, else
+the page without what is named as something else.
 
 Defined cases: null and empty pages have an empty text; pages without a host share the host "";
-unclosed elements end where HTML ends them; a page cut inside a tag or a script loses only that;
-repeated pages are extracted each and count once for their host; ids may be null.
+unclosed elements end where HTML ends them; a page cut inside a tag or a script loses only that; pages are
+read whole, however long; repeated pages are extracted each and count once for their host; ids may be
+null; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +40,8 @@ from pyspark.sql import functions as F
 
 from quirelight.llm.common import cut_lineage
 
-#: Template rows up to which templates are broadcast; beyond it, they are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Bytes of templates up to which they are broadcast; beyond it, they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -58,8 +66,10 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 
 #: What a token is: an element, a text outside articles (or one that goes by name), or a text of an article.
 ELEMENT, TEXT, ARTICLE_TEXT = 0, 1, 2
-#: Where a block stands: in an article, in a main element, or elsewhere in the page.
-ARTICLE, MAIN, ELSEWHERE = 2, 1, 0
+#: Where a block stands: in an article, in a main element, elsewhere in the page, or in what goes.
+ARTICLE, MAIN, ELSEWHERE, DROPPED = 2, 1, 0, -1
+#: Traits of elements: the whole page, in an article or main element, holding a title of the first rank.
+FRAME, NAMED, TITLED = 1, 2, 4
 
 
 def _names(attributes: str) -> tuple[str, frozenset[str]]:
@@ -80,13 +90,19 @@ class Page:
 
         #: (token, token of the element around it, what it is) -> occurrences
         self.tokens: Counter = Counter()
-        #: (where, token, text)
-        self.blocks: list[tuple[int, int, str]] = []
+        #: (where, token, text, the elements around it from the outermost: token, and whether it is named as something else than an article)
+        self.blocks: list[tuple[int, int, str, tuple[tuple[int, bool], ...]]] = []
+        #: characters outside links of each text and in each element (0: the page), but for what is named as something else
+        self.chars: Counter = Counter()
+        #: what an element is good for on the way to the article
+        self.traits: dict[int, int] = {}
         self._hash = lambda s: xxh64_intdigest(s.encode()) - (1 << 63)
         self._pieces: list[str] = []
         self._muted: list[str] = []  # open inline elements whose text is dropped, from the first such on
-        # open elements: (name, path token, where, dropped)
-        self._open: list[tuple[str, int, int, bool]] = [("", 0, ELSEWHERE, False)]
+        self._linked = 0  # open links
+        self._plain = 0  # characters of the block outside links
+        # open elements: (name, path token, where, dropped, in or of an element named as something else, of such a one)
+        self._open: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, ELSEWHERE, False, False, False)]
         self._read(html)
         self._flush()
 
@@ -94,18 +110,26 @@ class Page:
         if not self._pieces:
             return
         text = " ".join("".join(self._pieces).split())
-        self._pieces = []
-        _, around, where, dropped = self._open[-1]
+        plain, self._pieces, self._plain = self._plain, [], 0
+        _, around, where, dropped, out, _ = self._open[-1]
         if not text:
             return
         token = self._hash(f"{around}\t{text}")
         self.tokens[token, around, TEXT if where == ELSEWHERE or dropped else ARTICLE_TEXT] += 1
-        if not dropped:
-            self.blocks.append((where, token, text))
+        path = tuple((o[1], o[5]) for o in self._open[1:])
+        if not out:
+            self.chars[0] += plain
+            self.chars[token] += plain
+            for element, _ in path:
+                self.chars[element] += plain
+        self.blocks.append((DROPPED if dropped else where, token, text, path))
 
     def _text(self, text: str) -> None:
         if text and not self._muted:
-            self._pieces.append(unescape(text) if "&" in text else text)
+            text = unescape(text) if "&" in text else text
+            self._pieces.append(text)
+            if not self._linked:
+                self._plain += len(text)
 
     def _close(self, name: str) -> None:
         """Ends the innermost open element of this name and all inside it."""
@@ -113,6 +137,7 @@ class Page:
             if self._open[k][0] == name:
                 self._flush()
                 self._muted.clear()
+                self._linked = 0
                 del self._open[k:]
                 return
 
@@ -125,20 +150,29 @@ class Page:
             self._close(name)
         self._flush()
         written, names = _names(attributes) if "=" in attributes else ("", frozenset())
-        _, around, where, dropped = self._open[-1]
+        _, around, where, dropped, out, _ = self._open[-1]
         token = self._hash(f"{around}\t<{name} {written}")
         self.tokens[token, around, ELEMENT] += 1
         if name in _VOID:
             return
+        named = name in _DROPPED or bool(names & _DROPPED_NAMES) and name not in ("body", "html")
+        out = out or named
         if not dropped:
-            dropped = name in _DROPPED or bool(names & _DROPPED_NAMES) and name not in ("body", "html")
+            dropped = out
             if not dropped and where != ARTICLE:
                 dropped = name == "header" or bool(names & _HEADER_NAMES) and name not in ("body", "html", "article", "main")
         if name == "article":
             where = ARTICLE
         elif name == "main" or names & _MAIN_NAMES and name not in ("body", "html"):
             where = max(where, MAIN)
-        self._open.append((name, token, where, dropped))
+        if name in ("html", "body"):
+            self.traits[token] = FRAME
+        elif where != ELSEWHERE:
+            self.traits[token] = NAMED
+        if name == "h1" and not out:
+            for o in self._open[1:]:
+                self.traits[o[1]] = self.traits.get(o[1], 0) | TITLED
+        self._open.append((name, token, where, dropped, out, named))
 
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
@@ -162,6 +196,8 @@ class Page:
                     self._pieces.append(" ")
                 elif self._muted and self._muted[-1] == name:
                     self._muted.pop()
+                if name == "a":
+                    self._linked = 0
                 continue
             if not m[4]:
                 return  # cut inside a tag
@@ -171,6 +207,8 @@ class Page:
                 at = close.start() if close else end
                 continue
             if name in _INLINE:
+                if name == "a":
+                    self._linked = 1
                 if name == "br" or name == "img":
                     self._pieces.append(" ")
                 elif name not in _VOID and (name in self._muted[:1] or not self._muted and "=" in m[3] and _names(m[3])[1] & _DROPPED_NAMES):
@@ -178,13 +216,22 @@ class Page:
                 continue
             self._start(name, m[3])
 
-    def main_text(self, template: frozenset[int] | set[int]) -> str:
-        """Texts of the article's slots, joined by line feeds in the order of the page."""
-        best = max((b[0] for b in self.blocks), default=ELSEWHERE)
-        slots = [text for where, token, text in self.blocks if where == best and token not in template]
-        if best != ELSEWHERE and not slots:
-            slots = [text for where, _, text in self.blocks if where == best]
-        return "\n".join(slots)
+    def main_text(self, template: frozenset[int] | set[int], slots: frozenset[int] | set[int] = frozenset()) -> str:
+        """Texts of the article, joined by line feeds in the order of the page."""
+        held = []
+        for _, token, text, path in self.blocks if slots else ():
+            at = next((k for k, (element, _) in enumerate(path) if element in slots), None)
+            if at is not None:
+                held.append((token, text, any(named for _, named in path[at + 1 :])))
+        if held:
+            own = [(token, text) for token, text, named in held if not named]
+        else:
+            best = max((b[0] for b in self.blocks), default=DROPPED)
+            own = [(b[1], b[2]) for b in self.blocks if b[0] == best != DROPPED]
+            if best == ELSEWHERE:
+                return "\n".join(text for token, text in own if token not in template)
+        # an article of template texts only stays whole
+        return "\n".join([text for token, text in own if token not in template] or [text for _, text in own])
 
 
 def nested(tokens: list[dict]) -> list[int]:
@@ -202,27 +249,62 @@ def nested(tokens: list[dict]) -> list[int]:
         kept |= more
 
 
+def article_slots(tokens: list[dict], kept: set[int]) -> list[int]:
+    """The elements that the ways to the articles of one host's layouts end in, of the template's tokens."""
+    inside: dict[int, list[dict]] = {}
+    elements = {t["token"]: t for t in tokens if t["kind"] == ELEMENT}
+    fixed: Counter = Counter()  # characters of the template's own texts in each element, on all pages
+    for t in tokens:
+        if t["kind"] == ELEMENT:
+            if t["most"] == 1 and t["token"] in kept:
+                inside.setdefault(t["around"], []).append(t)
+        elif t["token"] in kept:
+            at = t["around"]
+            while at in elements:
+                fixed[at] += t["chars"]
+                at = elements[at]["around"]
+
+    def leads(t: dict) -> bool:
+        """Whether over half of what the element around it varies in is in it, on average over its pages."""
+        around = elements.get(t["around"])
+        beside = fixed[t["around"]] * t["support"] / around["support"] if around else 0
+        return 2 * (t["chars"] - fixed[t["token"]]) > t["around_chars"] - beside
+
+    found, ways = [], [(0, 0, 0)]
+    while ways:
+        at, traits, named = ways.pop()
+        # of a title that the way has, none is left behind
+        on = [t for t in inside.get(at, ()) if t["traits"] & TITLED >= traits & TITLED and leads(t)]
+        ways += [(t["token"], t["traits"], named or (t["traits"] & NAMED and t["token"])) for t in on]
+        if not on and at and not traits & FRAME:
+            found.append(named or at)
+    return sorted(set(found))
+
+
 def templates(pages: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
-    """(host, template) from (page, host, html), a page each: texts of the template.
+    """(host, template, slots) from (page, host, html), a page each: texts of the template, and the elements that hold articles.
 
     Classes are on at least `least` pages; a text that makes no class with an element is on that share of
     the pages of the element around it, too.
     """
 
+    measured = ("token", "around", "kind", "n", "chars", "around_chars", "traits")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hosts, found = [], [], []
             for page, host, html in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                tokens = Page(html.as_py() or "").tokens
-                rows += [page] * len(tokens)
-                hosts += [host] * len(tokens)
-                found += [(*token, n) for token, n in tokens.items()]
-            numbers = zip(*found, strict=True) if found else [()] * 4
+                read = Page(html.as_py() or "")
+                rows += [page] * len(read.tokens)
+                hosts += [host] * len(read.tokens)
+                found += [(*token, n, read.chars[token[0]], read.chars[token[1]], read.traits.get(token[0], 0)) for token, n in read.tokens.items()]
+            numbers = zip(*found, strict=True) if found else [()] * 7
             columns = [pa.array(rows, pa.int64()), pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
-            yield pa.RecordBatch.from_arrays(columns, names=["page", "host", "token", "around", "kind", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "host", *measured])
 
-    each = pages.select("page", "host", "html").mapInArrow(run, "page bigint, host string, token bigint, around bigint, kind bigint, n bigint")
-    vectors = each.groupBy("host", "token", "around", "kind").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"))
+    each = pages.select("page", "host", "html").mapInArrow(run, "page bigint, host string, " + ", ".join(f"{c} bigint" for c in measured))
+    sums = [F.sum("chars").alias("chars"), F.sum("around_chars").alias("around_chars"), F.max("n").alias("most"), F.bit_or("traits").alias("traits")]
+    vectors = each.groupBy("host", "token", "around", "kind").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), *sums)
     common = cut_lineage(vectors.filter(F.col("support") >= least))
     classes = common.groupBy("host", "vector", "support").agg(((F.count("*") > 1) & (F.count_if(F.col("kind") == ELEMENT) > 0)).alias("valid"))
     outer = common.filter(F.col("kind") == ELEMENT).select("host", F.col("token").alias("around"), F.col("support").alias("places"))
@@ -230,17 +312,19 @@ def templates(pages: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame
     fills = (F.col("kind") == TEXT) & (F.col("support") >= share * F.col("places"))
     judged = judged.filter(F.col("valid") | (F.col("kind") == ELEMENT) | fills)
     # of a host: the elements on `least` pages, and the texts that may be of its template
-    lists = judged.groupBy("host").agg(F.collect_list(F.struct("token", "around", "vector", "support", "kind")).alias("tokens"))
+    lists = judged.groupBy("host").agg(F.collect_list(F.struct("token", "around", "vector", "support", "kind", "chars", "around_chars", "most", "traits")).alias("tokens"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, slots = [], []
             for tokens in batch.column("tokens").to_pylist():
-                texts = {t["token"] for t in tokens if t["kind"] != ELEMENT}
-                made.append([t for t in nested(tokens) if t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.list_(pa.int64()))], names=["host", "template"])
+                texts, kept = {t["token"] for t in tokens if t["kind"] != ELEMENT}, nested(tokens)
+                made.append([t for t in kept if t in texts])
+                slots.append(article_slots(tokens, set(kept)))
+            columns = [batch.column("host"), *(pa.array(x, pa.list_(pa.int64())) for x in (made, slots))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "template", "slots"])
 
-    return lists.mapInArrow(nest, "host string, template array<bigint>")
+    return lists.mapInArrow(nest, "host string, template array<bigint>, slots array<bigint>")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.3, least: int = 3) -> DataFrame:
@@ -251,12 +335,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     # copies of a page say nothing about its template, and a null page has no tokens
     distinct = named.select("host", F.xxhash64("html").alias("page"), "html").dropDuplicates(["host", "page"])
     found = cut_lineage(templates(distinct, share, least))
-    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
+    size = found.agg(F.sum(F.octet_length("host") + 8 * (F.size("template") + F.size("slots")) + 64)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h.as_py() or "").main_text(set(t.as_py() or ())) for h, t in zip(batch.column("html"), batch.column("template"), strict=True)]
+            parts = zip(batch.column("html"), batch.column("template"), batch.column("slots"), strict=True)
+            texts = [Page(h.as_py() or "").main_text(set(t.as_py() or ()), set(s.as_py() or ())) for h, t, s in parts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    return named.join(found, "host", "left").select("id", "url", "html", "template").mapInArrow(run, f"id {kind}, url string, text string")
+    return named.join(found, "host", "left").select("id", "url", "html", "template", "slots").mapInArrow(run, f"id {kind}, url string, text string")

@@ -86,3 +86,33 @@ def test_templates_inside_articles(spark):
         want[i] = f"Own {i}"
     found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     assert len(found) == len(rows) and {r.id: r.text for r in found} == want
+
+
+def test_slots_without_names(spark):
+    """Menu, teaser and foot have names that say nothing; only the slots tell them from the article."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        title, own = text(4), [text(rng.randint(12, 40)) for _ in range(rng.randint(1, 6))]
+        menu = "".join(f'<li><a href="/{k}">{text(2)}</a></li>' for k in range(8))
+        body = "".join(f"<p>{p}</p>" for p in own)
+        for host, frame in (("bare", f'<div class="k1"><h1>{title}</h1><div class="k2">{body}</div></div>'), ("named", f"<article><p>{title}</p><div>{body}</div></article>")):
+            html = f'<html><body><div class="k0"><ul>{menu}</ul></div><div class="k3"><p>{text(6)}</p></div>{frame}<div class="k4">{text(5)}</div></body></html>'
+            rows.append((len(rows), f"http://{host}.example/{i}", html, "t", 1))
+            want[len(rows) - 1] = "\n".join([title, *own])
+    rows.append((900, "http://bare.example/again", rows[0][2], "t", 1))  # a copy of a page
+    want[900] = want[0]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, template int").repartition(3)
+    assert {r.id: r.text for r in extract_main_text(df).collect()} == want
+    # without a template, the bare pages hold all
+    assert all(Page(r[2]).main_text(frozenset()) != want[r[0]] for r in rows if "bare" in r[1])
+
+
+def test_a_long_page(spark):
+    own = [f"line {k} of it" for k in range(20_000)]
+    html = "<nav>m</nav><article>" + "".join(f"<p>{t}</p>" for t in own) + "</article>"
+    rows = [(1, "http://x.example/", html), (1, "http://x.example/", html)]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in found] == ["\n".join(own)] * 2
