@@ -135,15 +135,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     if not 0 < labels.sum() < len(labels):
         return machine
     machine.vectors = rng.normal(0, 0.02, (size, FACTORS))
-    made = [machine.row(*r) for r in rows]
+    # all rows' features one after another, and where each row's begin
+    more = 2 * N_STATS
+    ends = np.cumsum([0, *(len(r[0]) + more for r in rows)])
+    all_at, all_x = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    for r, lo, hi in zip(rows, ends[:-1], ends[1:], strict=True):
+        all_at[lo:hi], all_x[lo:hi] = machine.row(*r)
+    del stats
     seen_linear, seen_vectors, seen_bias = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3), 1e-3
     for _ in range(epochs):
-        order = rng.permutation(len(made))
+        order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
-            at = np.concatenate([made[i][0] for i in part])
-            x = np.concatenate([made[i][1] for i in part])
-            sizes = np.array([len(made[i][0]) for i in part])
+            at = np.concatenate([all_at[ends[i] : ends[i + 1]] for i in part])
+            x = np.concatenate([all_x[ends[i] : ends[i + 1]] for i in part]).astype(np.float64)
+            sizes = ends[part + 1] - ends[part]
             starts = np.cumsum(sizes) - sizes
             moved = machine.vectors[at] * x[:, None]
             sums = np.add.reduceat(moved, starts)
@@ -186,14 +192,17 @@ def learn(
         features = Features()
         for batch in batches:
             found = [features.of(t.as_py() or "") for t in batch.column("text")]
-            columns = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in range(3)]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64()))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *columns], names=["id", "label", "at", "weight", "stats"])
 
     joined = texts.join(F.broadcast(there), "id")  # `sample` ids and labels at most
-    made = joined.mapInArrow(run, f"id {kind}, label int, at binary, weight binary, stats binary").dropDuplicates(["id"])
-    rows = sorted(made.collect(), key=lambda r: str(r.id))
-    data = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r.weight, np.float32), np.frombuffer(r.stats, np.float64)) for r in rows]
-    return fit(data, np.array([float(r.label > 0) for r in rows]))
+    made = joined.mapInArrow(run, f"id {kind}, label int, at array<int>, weight array<float>, stats array<double>").dropDuplicates(["id"])
+    held = made.toArrow()  # columns stay as they came; rows are views into them
+    order = sorted(range(held.num_rows), key=[str(i) for i in held.column("id").to_pylist()].__getitem__)
+    data = [tuple(held.column(c)[i].values.to_numpy() for c in ("at", "weight", "stats")) for i in order]
+    labels_of = held.column("label").to_numpy()[order] > 0 if order else np.zeros(0)
+    return fit(data, labels_of.astype(np.float64))
 
 
 def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:

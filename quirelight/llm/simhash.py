@@ -37,6 +37,7 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 #: Hashes whose bits are added up at once, for bounded memory on long texts.
 _BLOCK = 8192
+_MEMO = 300_000
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -88,14 +89,11 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links inside a (b None) or between a and b, as pairs of places in a and b, one after the other.
+def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024, every: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links inside a (b None) or between a and b, as pairs of places in a and b, one after the other; or every link.
 
     Blocks of a meet only those of a or b whose population counts come within the radius.
     """
-    if b is None and len(a) == 2:  # by far the most common
-        near = int(a[0] ^ a[1]).bit_count() <= radius
-        return [(np.array([0]), np.array([1]))] if near else []
     n = len(a) if b is None else len(a) + len(b)
     first = np.argsort(np.bitwise_count(a), kind="stable")
     sorted_a, ones_a = a[first], np.bitwise_count(a)[first].astype(np.int64)
@@ -118,6 +116,9 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024)
         i, j = first[p + at], second[q + lo]
         kept = (i != j) if b is not None else (p + at < q + lo)
         i, j, far = i[kept], j[kept], far[kept]
+        if every:
+            out.append((i, j))
+            continue
         for step in np.unique(far):  # nearest pairs first
             _join(label, i[far == step], j[far == step], out)
     return out
@@ -153,8 +154,11 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048)
     return _compared(nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(masks).alias("mask", "part")), radius, tile)
 
 
-def _compared(members: DataFrame, radius: int, tile: int) -> DataFrame:
-    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, fp); mask and part name the group."""
+def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0) -> DataFrame:
+    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, fp); mask and part name the group.
+
+    Of comparisons of at most `whole` fingerprints, all links come out.
+    """
     spread = members.withColumn("ones", F.bit_count("fp").cast("int"))
     per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("n"))
     cut = F.struct("ones", "n", F.ceil(F.col("n") / tile).cast("int").alias("k"))
@@ -194,12 +198,16 @@ def _compared(members: DataFrame, radius: int, tile: int) -> DataFrame:
             if batch is not None:  # the last cell may go on in the next batch
                 rest, bounds = table.slice(bounds[-2]), bounds[:-1]
             values, found = fp.view(np.uint64), []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo < 2:
-                    continue
+            starts, ends = np.array(bounds[:-1], np.int64), np.array(bounds[1:], np.int64)
+            two = starts[ends - starts == 2]  # by far the most common
+            two = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
+            if len(two):
+                found.append((two, two + 1))
+            more = ends - starts > 2
+            for lo, hi in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
                 cut = lo + int(np.searchsorted(side[lo:hi], 1))
                 first, second = values[lo:cut], values[cut:hi]
-                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius)]
+                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=hi - lo <= whole)]
             if found:
                 pairs = [node[np.concatenate([f[i] for f in found])] for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
@@ -225,14 +233,46 @@ def near_duplicates(
     return prints.join(of_print, "fp", "left").select("id", "fp", "component")
 
 
+class _Shingles:
+    """Hashes of runs of words, mixed from the hashes of the words, which a bounded memo keeps; one a task."""
+
+    def __init__(self, size: int):
+        from xxhash import xxh64_intdigest
+
+        self.size, self._hash, self._known = size, xxh64_intdigest, {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """A hash for every run, repeats included; of the whole sequence where it is shorter; words are cut and lower-cased as in shingle_hashes."""
+        words, known = (text or "").encode().lower().split(), self._known
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(known) > _MEMO:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = self._hash(word)
+        each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = min(self.size, len(each))
+        mixed = np.full(len(each) - n + 1, n, np.uint64)
+        for i in range(n):
+            mixed = (mixed ^ each[i : i + len(mixed)]) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+
 def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
-    """(bucket, n): how many shingles of all texts fall in each of `buckets` buckets of their hash."""
+    """(bucket, n): how many texts' shingles fall in each of `buckets` buckets of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(buckets, np.int64)
+        seen, held, n, hashes = np.zeros(buckets, np.int64), [], 0, _Shingles(shingle)
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(seen, (np.unique(shingle_hashes(text.as_py() or "", shingle)) % np.uint64(buckets)).astype(np.int64), 1)
+                held.append((np.unique(hashes.of(text.as_py())) % np.uint64(buckets)).astype(np.int64))
+                n += len(held[-1])
+                if n > 4 * buckets:
+                    seen += np.bincount(np.concatenate(held), minlength=buckets)
+                    held, n = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=buckets)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["bucket", "n"])
 
@@ -240,7 +280,7 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 18, tile: int = 2048, buckets: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, whole: int = 32, buckets: int = 1 << 17
 ) -> DataFrame:
     """(id, component): component is the smallest id that links reach, its own included; texts link where the Jaccard
     similarity of their shingles is `similarity` or more.
@@ -249,9 +289,9 @@ def similar_documents(
     shingles; those that share one are a group.  The order is from rare to frequent (by counts of `buckets`
     buckets, a table of fixed size), so passages that many texts hold make no large groups.  In a group, pairs
     go on where their SimHash is within the radius, and then the shingles themselves are compared.  At a
-    similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 18 for 1 pair in 500; the mean falls as the
-    similarity rises.  Of pairs that a forest leaves out, because nearer ones join the same texts, none is lost
-    unless those fail the exact check.
+    similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 24 for 3 pairs in a million; the mean falls
+    as the similarity rises.  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
+    of the nearest pairs goes to it, which loses a link only where the nearer pairs that joined its texts fail.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -265,14 +305,15 @@ def similar_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ranks = _Shingles(shingle), shared.value
         for batch in batches:
             keys, prints, prefixes = [], [], []
             for text in batch.column("text"):
-                hashes = shingle_hashes(text.as_py() or "", shingle)
-                own = np.unique(hashes)
+                every = hashes.of(text.as_py())
+                own = np.unique(every)
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest())
-                prints.append(_majority(hashes))
-                order = np.lexsort((own, shared.value[(own % np.uint64(buckets)).astype(np.int64)]))
+                prints.append(_majority(every))
+                order = np.argsort(ranks[(own % np.uint64(buckets)).astype(np.int64)], kind="stable")
                 prefixes.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
             columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "prefix"])
@@ -282,11 +323,12 @@ def similar_documents(
     nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select(F.lit(0).alias("mask"), F.explode("prefix").alias("part"), "node", "fp")
-    pairs = cut_lineage(_compared(members, radius, tile).distinct())
+    pairs = cut_lineage(_compared(members, radius, tile, whole).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Shingles(shingle)
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py() or "", shingle)).view(np.int64) for t in batch.column("text")]
+            found = [np.unique(hashes.of(t.as_py())).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
 
     # a node's shingles are read from a text that has them
