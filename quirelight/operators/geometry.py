@@ -6,6 +6,7 @@ holds a bounded number of boxes) with the geometry as the remaining condition.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +73,26 @@ def gutters(df: DataFrame, page: str, width: float = 2.0, least: int = 4) -> Dat
     return used.withColumn("_next", following).filter(F.col("_next") - F.col("bin") > least).select(page, (F.col("bin") + 1).alias("first_bin"), (F.col("_next") - F.col("bin") - 1).alias("bins"))
 
 
-def column_starts(df: DataFrame, page: str, width: float = 4.0, share: float = 0.03, gap: float = 30.0) -> DataFrame:
-    """(page, start): left edges that many lines share, at least `gap` from the one before (kept or not)."""
-    counts = df.groupBy(page, F.floor(F.col("x0") / width).alias("bin")).agg(F.count("*").alias("n"))
-    common = counts.withColumn("_all", F.sum("n").over(Window.partitionBy(page))).filter(F.col("n") >= F.col("_all") * share)
-    before = F.lag("bin").over(Window.partitionBy(page).orderBy("bin"))
-    return common.filter("true").withColumn("_before", before).filter(F.col("_before").isNull() | ((F.col("bin") - F.col("_before")) * width >= gap)).select(page, (F.col("bin") * width).alias("start"))
+def column_starts(df: DataFrame, page: str, size: str, width: float = 4.0, share: float = 0.03, least: int = 4, gap: float = 30.0, enough: int = 30) -> DataFrame:
+    """(page, start): left edges that many words of the page's body type share, each at least `gap` from the one kept before.
+
+    Body type is within 18 % of the median size.  Pages with fewer than `enough` such words, or with less than
+    two such edges, have none.  The fold runs over a page's bins, which the width of the page bounds.
+    """
+    median = df.filter(F.col(size) > 0).groupBy(page).agg(F.median(size).alias("_body"))
+    body = df.join(median, page).filter(F.abs(F.col(size) - F.col("_body")) < 0.18 * F.col("_body"))
+    counts = body.groupBy(page, F.floor(F.col("x0") / width).alias("bin")).agg(F.count("*").alias("n"))
+    bins = counts.groupBy(page).agg(F.sum("n").alias("_all"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins"))
+    peaks = F.filter("_bins", lambda b: b["n"] >= F.greatest(F.lit(float(least)), F.col("_all") * share))
+    starts = F.transform(peaks, lambda b: b["bin"] * F.lit(width))
+
+    def keep(kept: Column, x: Column) -> Column:
+        near = (F.size(kept) > 0) & (x - F.try_element_at(kept, F.lit(-1)) < gap)
+        return F.when(near, kept).otherwise(F.array_append(kept, x))
+
+    kept = F.aggregate(starts, F.array().cast("array<double>"), keep)
+    found = bins.filter(F.col("_all") >= enough).select(page, kept.alias("_starts")).filter("size(_starts) >= 2")
+    return found.select(page, F.explode("_starts").alias("start"))
 
 
 def grid_spread(df: DataFrame, key: str, cells: int = 4) -> DataFrame:
@@ -127,3 +142,61 @@ def reading_order(df: DataFrame, page: str, wide: float = 0.62, split: float = 0
     marked = marked.withColumn("column_no", F.when(F.col("_wide"), F.lit(-1)).otherwise(count).cast("int"))
     place = F.row_number().over(Window.partitionBy(page).orderBy("column_no", "y0", tie))
     return marked.withColumn("place", place).drop("_jump", "_wide", "_centre")
+
+
+def too_small(source: Column, area: float, side: float, aspect: float, pixels: int) -> Column:
+    """Whether the row's box is no picture: by area, shorter side, ratio of the sides, or a known number of pixels."""
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    short, long = F.least(width, height), F.greatest(width, height)
+    return (short <= 0) | (box_area() < area) | (short < side) | (long / F.greatest(short, F.lit(1e-12)) > aspect) | F.coalesce(source < pixels, F.lit(False))
+
+
+def affine(a: Column | float, b: Column | float, c: Column | float, d: Column | float, e: Column | float, f: Column | float) -> Column:
+    """The map (x, y) -> (a x + c y + e, b x + d y + f)."""
+    given = {"a": a, "b": b, "c": c, "d": d, "e": e, "f": f}
+    return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("double").alias(name) for name, x in given.items()])
+
+
+def affine_product(first: Column, then: Column) -> Column:
+    """One map that does the first and then the other."""
+    a, b, c, d, e, f = (first[k] for k in "abcdef")
+    A, B, C, D, E, G = (then[k] for k in "abcdef")
+    return affine(A * a + C * b, B * a + D * b, A * c + C * d, B * c + D * d, A * e + C * f + E, B * e + D * f + G)
+
+
+def bounds_after(matrix: Column) -> Column:
+    """(left, top, right, bottom) of the row's box after a map."""
+    corners = [(F.col(x), F.col(y)) for x in ("x0", "x1") for y in ("y0", "y1")]
+    across = [matrix["a"] * x + matrix["c"] * y + matrix["e"] for x, y in corners]
+    down = [matrix["b"] * x + matrix["d"] * y + matrix["f"] for x, y in corners]
+    return F.struct(F.least(*across).alias("left"), F.least(*down).alias("top"), F.greatest(*across).alias("right"), F.greatest(*down).alias("bottom"))
+
+
+def first_of_alike(df: DataFrame, id_col: str, group: str, vector: str, bound: float, block: int = 512) -> DataFrame:
+    """(id, kept): a row goes if an earlier one of its group differs by a root mean square below the bound.
+
+    Rows are cut into pieces by their id; every pair of pieces of a group is a cell, and a cell yields only
+    the ids that go.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(vector).alias("e"))
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    cut = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = cells.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "e")
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        e = np.stack(pdf["e"].to_numpy())
+        square = (e * e).sum(axis=1)
+        gone = np.zeros(len(e), bool)
+        for at in range(0, len(e), block):
+            apart = square[at : at + block, None] + square[None, :] - 2 * e[at : at + block] @ e.T
+            earlier = np.arange(len(e))[None, :] < np.arange(at, min(at + block, len(e)))[:, None]
+            near = earlier & (apart < bound * bound * e.shape[1] + 1e-6)
+            for i, j in np.argwhere(near):  # near ones are weighed exactly
+                gone[at + i] |= np.sqrt(((e[at + i] - e[j]) ** 2).sum() / e.shape[1]) < bound
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[gone]})
+
+    out = cells.groupBy("grp", "p", "q").applyInPandas(judge, f"id {kind}").distinct().withColumn("gone", F.lit(True))
+    return rows.select("id").join(out, "id", "left").select(F.col("id").alias(id_col), F.col("gone").isNull().alias("kept"))

@@ -65,13 +65,17 @@ def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS ({_BOXES}), c AS (SELECT page, CAST(floor(x0 / 0.0625) AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY page) AS alle FROM c),
-    k AS (SELECT page, bin, lag(bin) OVER (PARTITION BY page ORDER BY bin) AS before FROM t WHERE n >= alle * 0.1)
-    SELECT page, bin * 0.0625::DOUBLE AS start FROM k WHERE before IS NULL OR (bin - before) * 0.0625::DOUBLE >= 0.125"""
+    f"""WITH w AS (SELECT p_partkey // 400 AS page, x0, p_size FROM ({_BOXES}) JOIN part ON p_partkey = id), m AS (SELECT page, median(p_size) AS body FROM w GROUP BY page), b AS (SELECT w.* FROM w JOIN m USING (page) WHERE abs(p_size - body) < 0.18 * body),
+    c AS (SELECT page, CAST(floor(x0 / 0.03125) AS BIGINT) AS bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY page) AS total FROM c),
+    p AS (SELECT page, list([bin * CAST(0.03125 AS DOUBLE)] ORDER BY bin) AS peaks FROM t WHERE total >= 30 AND n >= greatest(4, total * 0.05) GROUP BY page),
+    k AS (SELECT page, list_reduce(peaks, lambda kept, x: CASE WHEN x[1] - kept[-1] < 0.1 THEN kept ELSE list_concat(kept, x) END) AS starts FROM p)
+    SELECT page, unnest(starts) AS start FROM k WHERE len(starts) >= 2"""
 )
 def column_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left edges that a tenth of a page's boxes share, an eighth of the page apart."""
-    return G.column_starts(boxes(spark, sf_dir), "page", 0.0625, 0.1, 0.125)
+    """Left edges that one in twenty of a page's words in body type share, a tenth of the page from the one kept before. AGG-17"""
+    words = boxes(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    words = words.withColumn("page", F.floor(F.col("id") / 400))
+    return G.column_starts(words, "page", "p_size", 0.03125, 0.05, 4, 0.1)
 
 
 @query(
