@@ -36,14 +36,12 @@ def main_type_of_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_partkey))) AS parts FROM lineitem GROUP BY l_orderkey)
-    SELECT a.k AS left_key, b.k AS right_key FROM s a JOIN s b ON a.parts = b.parts WHERE a.k % 2 = 0 AND b.k % 2 = 1"""
+    SELECT left_key, right_key FROM (SELECT min(k) OVER (PARTITION BY parts) AS left_key, k AS right_key FROM s) WHERE left_key != right_key"""
 )
 def equal_part_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with an even key and ones with an odd key that have the same set of parts."""
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    even = rows.filter("l_orderkey % 2 = 0").withColumnRenamed("l_orderkey", "left_key")
-    odd = rows.filter("l_orderkey % 2 = 1").withColumnRenamed("l_orderkey", "right_key")
-    return R.equal_sets(even, odd, "left_key", "right_key", "l_partkey")
+    """Orders that have the same set of parts as an earlier one, with the first such; a set of n orders gives n - 1 rows. JOIN-31"""
+    classes = R.set_classes(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return classes.filter("class_key != l_orderkey").select(F.col("class_key").alias("left_key"), F.col("l_orderkey").alias("right_key"))
 
 
 @query(
@@ -59,10 +57,15 @@ def part_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the titles of a brand's parts name each other: equal, beginning alike, or sharing all carrying words."""
     names = read(spark, sf_dir, "part").select("p_brand", "p_type", "p_name").distinct()
-    shelf = names.select("p_brand", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct()
-    titles = names.select("p_brand", F.col("p_name").alias("title")).distinct()
-    ranked = titles.join(shelf, "p_brand").withColumn("rank", T.title_rank(F.col("name"), F.col("title")))
-    return ranked.filter("rank > 0").groupBy("p_brand", "title", "rank").agg(F.count("*").alias("n"), F.min("name").alias("first"))
+    shelf = names.select("p_brand", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct().withColumn("n", T.name_forms(F.col("name")))
+    titles = names.select("p_brand", F.col("p_name").alias("title")).distinct().withColumn("t", T.title_forms(F.col("title")))
+    # every rank above 0 needs the title's first word or its first carrying word in the name, so pairs meet on these
+    keys = F.array_distinct(F.array_compact(F.array(F.get(F.split("t.full", " "), 0), F.get("t.words", 0))))
+    asked = titles.select("*", F.explode(keys).alias("word"))
+    offered = shelf.select("*", F.explode(F.array_distinct(F.split("n.plain", " "))).alias("word"))
+    ranked = asked.join(offered, ["p_brand", "word"]).withColumn("rank", T.rank_of_forms(F.col("n"), F.col("t"))).filter("rank > 0")
+    ranked = ranked.groupBy("p_brand", "title", "name").agg(F.max("rank").alias("rank"))  # a pair may meet on two words
+    return ranked.groupBy("p_brand", "title", "rank").agg(F.count("*").alias("n"), F.min("name").alias("first"))
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS n, round(avg(l_discount), 4) AS mean_discount, approx FROM (SELECT *, 0 AS approx FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02') GROUP BY ALL")
