@@ -89,10 +89,10 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024, every: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024, every: bool = False, fits=None) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links inside a (b None) or between a and b, as pairs of places in a and b, one after the other; or every link.
 
-    Blocks of a meet only those of a or b whose population counts come within the radius.
+    Blocks of a meet only those of a or b whose population counts come within the radius.  fits(i, j) tells which pairs may link at all.
     """
     n = len(a) if b is None else len(a) + len(b)
     first = np.argsort(np.bitwise_count(a), kind="stable")
@@ -115,6 +115,8 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024,
         far = apart[p, q]
         i, j = first[p + at], second[q + lo]
         kept = (i != j) if b is not None else (p + at < q + lo)
+        if fits:
+            kept &= fits(i, j)
         i, j, far = i[kept], j[kept], far[kept]
         if every:
             out.append((i, j))
@@ -151,22 +153,23 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048)
     of bits; those that share such a choice are a group.
     """
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(blocks, radius)])
-    return _compared(nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(masks).alias("mask", "part")), radius, tile)
+    return _compared(nodes.select(F.col("fp").alias("node"), F.lit(1).alias("n"), "fp", F.lit(0).cast("bigint").alias("more"), F.posexplode(masks).alias("mask", "part")), radius, tile)
 
 
-def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0) -> DataFrame:
-    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, fp); mask and part name the group.
+def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio: float = 0.0, both: int = 128) -> DataFrame:
+    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, n, fp, more); mask and part name the group.
 
-    Of comparisons of at most `whole` fingerprints, all links come out.
+    Of comparisons of at most `whole` fingerprints, all links come out.  Nodes whose n are further apart
+    than the ratio do not link, nor do those whose fp and more, second fingerprints, differ in more than `both` bits.
     """
     spread = members.withColumn("ones", F.bit_count("fp").cast("int"))
-    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("n"))
-    cut = F.struct("ones", "n", F.ceil(F.col("n") / tile).cast("int").alias("k"))
-    groups = per_count.groupBy("mask", "part").agg(F.sum("n").alias("size"), F.collect_list(cut).alias("cuts"))  # at most 65 entries a list
+    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("rows"))
+    cut = F.struct("ones", "rows", F.ceil(F.col("rows") / tile).cast("int").alias("k"))
+    groups = per_count.groupBy("mask", "part").agg(F.sum("rows").alias("size"), F.collect_list(cut).alias("cuts"))  # at most 65 entries a list
     held = spread.join(groups.filter("size > 1"), ["mask", "part"])
     reach = f"filter(cuts, c -> abs(c.ones - ones) <= {int(radius)})"
-    held = held.filter(F.expr(f"aggregate({reach}, 0L, (sum, c) -> sum + c.n) > 1"))
-    alone = held.filter(F.col("size") <= tile).select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), "node", "fp")
+    held = held.filter(F.expr(f"aggregate({reach}, 0L, (sum, c) -> sum + c.rows) > 1"))
+    alone = held.filter(F.col("size") <= tile).select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), "node", "n", "fp", "more")
     large = held.filter(F.col("size") > tile)
     own = F.expr("filter(cuts, c -> c.ones = ones)[0].k")
     large = large.withColumn("piece", F.pmod(F.xxhash64("node"), own).cast("int"))
@@ -177,7 +180,7 @@ def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0) -> Dat
         F.concat_ws(":", "ones", "piece", "other.ones", "other.piece"),
     ).otherwise(F.concat_ws(":", "other.ones", "other.piece", "ones", "piece"))
     side = (F.struct("ones", "piece") > F.struct("other.ones", "other.piece")).cast("int")
-    large = large.select("mask", "part", name.alias("cell"), side.alias("side"), "node", "fp")
+    large = large.select("mask", "part", name.alias("cell"), side.alias("side"), "node", "n", "fp", "more")
     width = shuffle_width(members.sparkSession)
     cells = alone.unionByName(large).repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
 
@@ -190,26 +193,33 @@ def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0) -> Dat
             if table is None or not table.num_rows:
                 continue
             table = table.combine_chunks()
-            mask, part, fp, node, side = (table.column(c).to_numpy() for c in ("mask", "part", "fp", "node", "side"))
+            mask, part, fp, more, node, n, side = (table.column(c).to_numpy() for c in ("mask", "part", "fp", "more", "node", "n", "side"))
             cell = table.column("cell").dictionary_encode().combine_chunks()
             cell = (cell.chunk(0) if isinstance(cell, pa.ChunkedArray) else cell).indices.to_numpy()
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
             bounds = [0, *new.tolist(), len(fp)]
             if batch is not None:  # the last cell may go on in the next batch
                 rest, bounds = table.slice(bounds[-2]), bounds[:-1]
-            values, found = fp.view(np.uint64), []
+            values, seconds, found = fp.view(np.uint64), more.view(np.uint64), []
+
+            def fit(x: np.ndarray, y: np.ndarray, n=n, values=values, seconds=seconds) -> np.ndarray:
+                apart = np.bitwise_count(values[x] ^ values[y]) + np.bitwise_count(seconds[x] ^ seconds[y])
+                return (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9) & (apart <= both)
+
             starts, ends = np.array(bounds[:-1], np.int64), np.array(bounds[1:], np.int64)
             two = starts[ends - starts == 2]  # by far the most common
-            two = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
+            two = two[(np.bitwise_count(values[two] ^ values[two + 1]) <= radius) & fit(two, two + 1)]
             if len(two):
                 found.append((two, two + 1))
-            more = ends - starts > 2
-            for lo, hi in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+            larger = ends - starts > 2
+            for lo, hi in zip(starts[larger].tolist(), ends[larger].tolist(), strict=True):
                 cut = lo + int(np.searchsorted(side[lo:hi], 1))
                 first, second = values[lo:cut], values[cut:hi]
-                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=hi - lo <= whole)]
+                fits = (lambda i, j, lo=lo: fit(i + lo, j + lo)) if ratio else None
+                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=hi - lo <= whole, fits=fits)]
             if found:
-                pairs = [node[np.concatenate([f[i] for f in found])] for i in (0, 1)]
+                pairs = np.sort(np.stack([node[np.concatenate([f[i] for f in found])] for i in (0, 1)]), axis=0)
+                pairs = np.unique(pairs, axis=1)  # the same texts share several groups
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
 
     return cells.mapInArrow(run, "a bigint, b bigint")
@@ -280,17 +290,18 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, whole: int = 32, buckets: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, both: int = 38, whole: int = 32, buckets: int = 1 << 17
 ) -> DataFrame:
     """(id, component): component is the smallest id that links reach, its own included; texts link where the Jaccard
     similarity of their shingles is `similarity` or more.
 
     Two such texts share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order of all
-    shingles; those that share one are a group.  The order is from rare to frequent (by counts of `buckets`
+    shingles; those that share one are a group.  Their numbers of shingles differ by that ratio at most, too.  The order is from rare to frequent (by counts of `buckets`
     buckets, a table of fixed size), so passages that many texts hold make no large groups.  In a group, pairs
     go on where their SimHash is within the radius, and then the shingles themselves are compared.  At a
     similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 24 for 3 pairs in a million; the mean falls
-    as the similarity rises.  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
+    as the similarity rises.  A second fingerprint of the same shingles has to agree: of both, 128 bits, at most `both`
+    differ (19.4 on average; over 38 in 4 pairs of a million).  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
     of the nearest pairs goes to it, which loses a link only where the nearer pairs that joined its texts fail.
     """
     spark = docs.sparkSession
@@ -307,23 +318,25 @@ def similar_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = _Shingles(shingle), shared.value
         for batch in batches:
-            keys, prints, prefixes = [], [], []
+            keys, prints, seconds, sizes, prefixes = [], [], [], [], []
             for text in batch.column("text"):
                 every = hashes.of(text.as_py())
                 own = np.unique(every)
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest())
                 prints.append(_majority(every))
+                seconds.append(_majority((every ^ (every >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)))
+                sizes.append(len(own))
                 order = np.argsort(ranks[(own % np.uint64(buckets)).astype(np.int64)], kind="stable")
                 prefixes.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "prefix"])
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "more", "n", "prefix"])
 
-    schema = f"id {kind}, text_hash bigint, key binary, fp bigint, prefix array<bigint>"
+    schema = f"id {kind}, text_hash bigint, key binary, fp bigint, more bigint, n int, prefix array<bigint>"
     prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
-    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
+    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("more").alias("more"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = nodes.select(F.lit(0).alias("mask"), F.explode("prefix").alias("part"), "node", "fp")
-    pairs = cut_lineage(_compared(members, radius, tile, whole).distinct())
+    members = nodes.select(F.lit(0).alias("mask"), F.explode("prefix").alias("part"), "node", "n", "fp", "more")
+    pairs = cut_lineage(_compared(members, radius, tile, whole, similarity, both).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Shingles(shingle)
