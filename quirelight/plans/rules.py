@@ -263,7 +263,7 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS day_at FROM orders),
     p AS (SELECT *, regexp_extract(coalesce(number, ''), '^([0-9]{1,2})\s*/\s*((?:19|20)[0-9]{2})$', ['m', 'y']) AS s, nullif(regexp_extract(coalesce(number, '') || ' ' || coalesce(edition, ''), '\b((?:19|20)[0-9]{2})\b', 1), '') AS y FROM i)
     SELECT o_orderkey, CAST(coalesce(nullif(s.y, ''), p.y, CAST(year(day_at) AS VARCHAR)) AS INTEGER) AS year,
-      100000 * coalesce(TRY_CAST(s.m AS INTEGER), CASE WHEN contains(edition, 'März') THEN 3 WHEN contains(edition, 'Juni') THEN 6 END, month(day_at), 0) + coalesce(TRY_CAST(CASE WHEN regexp_full_match(number, '[0-9]+') THEN number END AS INTEGER), 0) AS rank,
+      CAST(100000 * coalesce(TRY_CAST(s.m AS INTEGER), CASE WHEN contains(edition, 'März') THEN 3 WHEN contains(edition, 'Juni') THEN 6 END, month(day_at), 0) + coalesce(TRY_CAST(CASE WHEN regexp_full_match(number, '[0-9]+') THEN number END AS INTEGER), 0) AS INTEGER) AS rank,
       CASE WHEN s.y != '' THEN epoch_ms(make_date(TRY_CAST(s.y AS INTEGER), TRY_CAST(s.m AS INTEGER), 1)) END AS published_ms, CAST(epoch(day_at) AS BIGINT) * 1000 AS at_ms FROM p"""
 )
 def issue_places(spark: SparkSession, sf_dir: str) -> DataFrame:

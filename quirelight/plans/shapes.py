@@ -103,19 +103,19 @@ def frames_that_do_not_recur(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS ({_BOXES}) SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(id, (y1 - y0, -y0, -id)) AS title, count(DISTINCT (round_even(least(1, x0), 1), round_even(least(1, y0), 1))) AS regions, list_sort(list(id)) AS frames FROM b GROUP BY page"""
+    f"""WITH b AS ({_BOXES}) SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_max(id, (y1 - y0, -y0, -id)) AS title, count(DISTINCT (round_even(least(1, x0), 1), round_even(least(1, y0), 1))) AS regions, array_to_string(list_sort(list(id)), ',') AS frames FROM b GROUP BY page"""
 )
 def page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box round a page's frames, the largest as its title (of equals the topmost), distinct regions clamped to the page, and the frames. AGG-37, AGG-41, AGG-46, AGG-48, GEO-03"""
     clamped = [F.bround(F.least(F.lit(1.0), F.col(c)), 1) for c in ("x0", "y0")]
     return boxes(spark, sf_dir).groupBy("page").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max_by("id", F.struct(F.col("y1") - F.col("y0"), -F.col("y0"), -F.col("id"))).alias("title"), F.count_distinct(F.struct(*clamped)).alias("regions"), F.array_sort(F.collect_list("id")).alias("frames")
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max_by("id", F.struct(F.col("y1") - F.col("y0"), -F.col("y0"), -F.col("id"))).alias("title"), F.count_distinct(F.struct(*clamped)).alias("regions"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("frames")
     )
 
 
 @query(
     """WITH a AS (SELECT l_orderkey AS article, sum(CASE WHEN l_returnflag != 'N' THEN CAST(l_extendedprice AS BIGINT) % 400 END) AS body, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS first, count(DISTINCT l_suppkey) AS pages FROM lineitem GROUP BY l_orderkey)
-    SELECT article, greatest(0.05, round(1.0 - CASE WHEN coalesce(body, 0) < 280 THEN 0.35 ELSE 0 END - CASE WHEN first != 'A' THEN 0.25 ELSE 0 END - CASE WHEN pages > 6 THEN 0.15 ELSE 0 END - CASE WHEN first = 'R' THEN 0.2 ELSE 0 END, 2)) AS confidence FROM a"""
+    SELECT article, greatest(CAST(0.05 AS DOUBLE), round(CAST(1.0 AS DOUBLE) - CASE WHEN coalesce(body, 0) < 280 THEN 0.35 ELSE 0 END - CASE WHEN first != 'A' THEN 0.25 ELSE 0 END - CASE WHEN pages > 6 THEN 0.15 ELSE 0 END - CASE WHEN first = 'R' THEN 0.2 ELSE 0 END, 2)) AS confidence FROM a"""
 )
 def article_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure an article is: less for little text, no heading in front, many pages, or a start in small letters. AGG-36"""

@@ -350,13 +350,13 @@ def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS ({_SUBS}), due AS (SELECT * FROM s WHERE NOT revoked AND valid_until > TIMESTAMP '{_NOW}' AND valid_until <= TIMESTAMP '{_NOW}' + INTERVAL 30 DAY), rule AS (SELECT publication, 'Brand#' || (1 + CAST(publication[7:] AS INTEGER) % 25) AS partner FROM (SELECT DISTINCT p_brand AS publication FROM part))
+    f"""WITH s AS ({_SUBS}), due AS (SELECT * FROM s WHERE NOT revoked AND valid_until > TIMESTAMP '{_NOW}' AND valid_until <= TIMESTAMP '{_NOW}' + INTERVAL 300 DAY), rule AS (SELECT publication, 'Brand#' || (1 + CAST(publication[7:] AS INTEGER) % 25) AS partner FROM (SELECT DISTINCT p_brand AS publication FROM part))
     SELECT reader, publication, partner, (SELECT min(p_partkey) FROM part WHERE p_brand = partner AND p_type = 'STANDARD' AND p_size % 2 = 0) AS plan FROM due JOIN rule USING (publication)
     WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey = reader AND p_brand = partner)"""
 )
 def due_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscriptions that renew within 30 days and whose reader has nothing of the partner publication, with the plan that fits by three attributes. JOIN-34, JOIN-36"""
-    due = subscriptions(spark, sf_dir).filter(~F.col("revoked") & (F.col("valid_until") > _day()) & (F.col("valid_until") <= _day() + F.make_dt_interval(F.lit(30))))
+    """Subscriptions that renew within 300 days and whose reader has nothing of the partner publication, with the plan that fits by three attributes. JOIN-34, JOIN-36"""
+    due = subscriptions(spark, sf_dir).filter(~F.col("revoked") & (F.col("valid_until") > _day()) & (F.col("valid_until") <= _day() + F.make_dt_interval(F.lit(300))))
     part = read(spark, sf_dir, "part")
     rule = part.select(F.col("p_brand").alias("publication")).distinct().withColumn("partner", F.concat(F.lit("Brand#"), (1 + F.substring("publication", 7, 9).cast("int") % 25).cast("string")))
     plans = part.filter("p_type = 'STANDARD' AND p_size % 2 = 0").groupBy(F.col("p_brand").alias("partner")).agg(F.min("p_partkey").alias("plan"))
