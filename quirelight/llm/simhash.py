@@ -301,7 +301,7 @@ def similar_documents(
     go on where their SimHash is within the radius, and then the shingles themselves are compared.  At a
     similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 24 for 3 pairs in a million; the mean falls
     as the similarity rises.  A second fingerprint of the same shingles has to agree: of both, 128 bits, at most `both`
-    differ (19.4 on average; over 38 in 4 pairs of a million).  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
+    differ (19.4 on average; over 38 in 9 pairs of a million).  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
     of the nearest pairs goes to it, which loses a link only where the nearer pairs that joined its texts fail.
     """
     spark = docs.sparkSession
