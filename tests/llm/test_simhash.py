@@ -81,8 +81,8 @@ def jaccard_components(rows, size, least):
     return {i: top(i) for i in sets}
 
 
-@pytest.mark.parametrize("tile", [3, 2048])
-def test_similar_documents_are_those_of_all_pairs(spark, tile):
+@pytest.mark.parametrize(("tile", "whole"), [(3, 32), (2048, 32), (2048, 1)])
+def test_similar_documents_are_those_of_all_pairs(spark, tile, whole):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
     passage = [word() for _ in range(60)]
@@ -97,12 +97,28 @@ def test_similar_documents_are_those_of_all_pairs(spark, tile):
             out.append(" ".join(base))
     rows = list(enumerate(out + out[-2:], 100))
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, node int")
-    found = {r.id: r.component for r in similar_documents(docs, tile=tile).collect()}
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=whole).collect()}
     want = jaccard_components(rows, 5, 0.8)
     assert found == want
     assert 5 < len(set(want.values())) < len(want) - 10
 
 
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_links_behind_nearer_pairs_that_fail(spark, tile):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(90)]
+    out = []
+    for _ in range(140):  # one large group, with similarities on both sides of 0.8
+        text = list(base)
+        for at in rng.sample(range(20, 90, 5), rng.randint(1, 4)):
+            text[at] = rng.choice("xyz")
+        out.append(" ".join(text))
+    rows = list(enumerate(out))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=1, most=1).collect()}
+    assert found == jaccard_components(rows, 5, 0.8)
+
+
 def test_similar_documents_without_ids_or_rows(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "A b"), (None, "c")], "doc_id long, text string")
     assert sorted(map(str, ((r.id, r.component) for r in similar_documents(docs).collect()))) == ["(3, 3)", "(None, 3)", "(None, 3)", "(None, None)"]
