@@ -38,6 +38,8 @@ _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 #: Hashes whose bits are added up at once, for bounded memory on long texts.
 _BLOCK = 8192
 _MEMO = 300_000
+#: Shingles a side that a comparison of whole sets holds on average.
+_CELL = 1 << 19
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -156,61 +158,22 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048)
     return _compared(nodes.select(F.col("fp").alias("node"), F.lit(1).alias("n"), "fp", F.lit(0).cast("bigint").alias("more"), F.posexplode(masks).alias("mask", "part")), radius, tile)
 
 
-def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio: float = 0.0, both: int = 128, most: int = 0) -> DataFrame:
+def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio: float = 0.0, both: int = 128) -> DataFrame:
     """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, n, fp, more); mask and part name the group.
 
     Of comparisons of at most `whole` fingerprints, all links come out.  Nodes whose n are further apart
     than the ratio do not link, nor do those whose fp and more, second fingerprints, differ in more than `both` bits.
-
-    With `most`, members carry a root as well, and a comparison gives links between different roots, not a forest of them:
-    the nearest, at most `most` for each of its fingerprints.  Where there are more, a row without nodes names the group in a
-    third column, part.
     """
-    rooted = ["root"] if most else []
-    spread = members.withColumn("ones", F.bit_count("fp").cast("int"))
-    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("rows"))
-    cut = F.struct("ones", "rows", F.ceil(F.col("rows") / tile).cast("int").alias("k"))
-    groups = per_count.groupBy("mask", "part").agg(F.sum("rows").alias("size"), F.collect_list(cut).alias("cuts"))  # at most 65 entries a list
-    held = spread.join(groups.filter("size > 1"), ["mask", "part"])
-    reach = f"filter(cuts, c -> abs(c.ones - ones) <= {int(radius)})"
-    held = held.filter(F.expr(f"aggregate({reach}, 0L, (sum, c) -> sum + c.rows) > 1"))
-    alone = held.filter(F.col("size") <= tile).select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), "node", "n", "fp", "more", *rooted)
-    large = held.filter(F.col("size") > tile)
-    own = F.expr("filter(cuts, c -> c.ones = ones)[0].k")
-    large = large.withColumn("piece", F.pmod(F.xxhash64("node"), own).cast("int"))
-    partners = F.expr(f"flatten(transform({reach}, c -> transform(sequence(0, c.k - 1), p -> struct(c.ones AS ones, p AS piece))))")
-    large = large.withColumn("other", F.explode(partners))
-    name: Column = F.when(
-        F.struct("ones", "piece") <= F.struct("other.ones", "other.piece"),
-        F.concat_ws(":", "ones", "piece", "other.ones", "other.piece"),
-    ).otherwise(F.concat_ws(":", "other.ones", "other.piece", "ones", "piece"))
-    side = (F.struct("ones", "piece") > F.struct("other.ones", "other.piece")).cast("int")
-    large = large.select("mask", "part", name.alias("cell"), side.alias("side"), "node", "n", "fp", "more", *rooted)
-    width = shuffle_width(members.sparkSession)
-    cells = alone.unionByName(large).repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
+    cells = _cells(members, radius, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in _then_none(batches):
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            if rest is not None:
-                table = rest if table is None else pa.concat_tables([rest, table])
-            if table is None or not table.num_rows:
-                continue
-            table = table.combine_chunks()
-            mask, part, fp, more, node, n, side = (table.column(c).to_numpy() for c in ("mask", "part", "fp", "more", "node", "n", "side"))
-            cell = table.column("cell").dictionary_encode().combine_chunks()
-            cell = (cell.chunk(0) if isinstance(cell, pa.ChunkedArray) else cell).indices.to_numpy()
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
-            bounds = [0, *new.tolist(), len(fp)]
-            if batch is not None:  # the last cell may go on in the next batch
-                rest, bounds = table.slice(bounds[-2]), bounds[:-1]
-            values, seconds, found, longer = fp.view(np.uint64), more.view(np.uint64), [], set()
-            root = table.column("root").to_numpy() if most else node
-
-            def fit(x: np.ndarray, y: np.ndarray, n=n, values=values, seconds=seconds, root=root) -> np.ndarray:
+        for table, bounds in _whole_cells(batches):
+            fp, more, node, n, side = (table.column(c).to_numpy() for c in ("fp", "more", "node", "n", "side"))
+            values, seconds, found = fp.view(np.uint64), more.view(np.uint64), []
+
+            def fit(x: np.ndarray, y: np.ndarray, n=n, values=values, seconds=seconds) -> np.ndarray:
                 apart = np.bitwise_count(values[x] ^ values[y]) + np.bitwise_count(seconds[x] ^ seconds[y])
-                return (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9) & (apart <= both) & (root[x] != root[y])
+                return (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9) & (apart <= both)
 
             starts, ends = np.array(bounds[:-1], np.int64), np.array(bounds[1:], np.int64)
             two = starts[ends - starts == 2]  # by far the most common
@@ -222,24 +185,107 @@ def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio:
                 cut = lo + int(np.searchsorted(side[lo:hi], 1))
                 first, second = values[lo:cut], values[cut:hi]
                 fits = (lambda i, j, lo=lo: fit(i + lo, j + lo)) if ratio else None
-                every = bool(most) or hi - lo <= whole
-                some = [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=every, fits=fits)]
-                if most and sum(len(i) for i, _ in some) > most * (hi - lo):
-                    i, j = (np.concatenate(x) for x in zip(*some, strict=True))
-                    near = np.argsort(np.bitwise_count(values[i] ^ values[j]), kind="stable")[: most * (hi - lo)]
-                    some = [(i[near], j[near])]
-                    longer.add(int(part[lo]))
-                found += some
+                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=hi - lo <= whole, fits=fits)]
             if found:
                 pairs = np.sort(np.stack([node[np.concatenate([f[i] for f in found])] for i in (0, 1)]), axis=0)
                 pairs = np.unique(pairs, axis=1)  # the same texts share several groups
-                columns = [pa.array(x, pa.int64()) for x in pairs]
-                if most:
-                    columns = [pa.concat_arrays([c, pa.nulls(len(longer), pa.int64())]) for c in columns]
-                    columns.append(pa.concat_arrays([pa.nulls(len(pairs[0]), pa.int64()), pa.array(sorted(longer), pa.int64())]))
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "part"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
 
-    return cells.mapInArrow(run, "a bigint, b bigint" + ", part bigint" * bool(most))
+
+def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = None) -> DataFrame:
+    """The members, once for every comparison (mask, part, cell, and side 0 or 1 of it) that they take part in, sorted by these.
+
+    A comparison holds at most `tile` members a side, or as many as bring a load of 1 on average.
+    """
+    columns = [c for c in members.columns if c not in ("mask", "part")]
+    load = F.lit(1.0 / tile) if load is None else F.greatest(load, F.lit(1.0 / tile))
+    spread = members.withColumn("ones", F.bit_count("fp").cast("int"))
+    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("rows"), F.sum(load).alias("load"))
+    cut = F.struct("ones", "rows", F.ceil("load").cast("int").alias("k"))
+    # at most 65 entries a list
+    groups = per_count.groupBy("mask", "part").agg(F.sum("rows").alias("size"), F.sum("load").alias("load"), F.collect_list(cut).alias("cuts"))
+    held = spread.join(groups.filter("size > 1"), ["mask", "part"])
+    reach = f"filter(cuts, c -> abs(c.ones - ones) <= {int(radius)})"
+    held = held.filter(F.expr(f"aggregate({reach}, 0L, (sum, c) -> sum + c.rows) > 1"))
+    alone = held.filter("load <= 1").select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), *columns)
+    own = F.expr("filter(cuts, c -> c.ones = ones)[0].k")
+    large = held.filter("load > 1").withColumn("piece", F.pmod(F.xxhash64("node"), own).cast("int"))
+    partners = F.expr(f"flatten(transform({reach}, c -> transform(sequence(0, c.k - 1), p -> struct(c.ones AS ones, p AS piece))))")
+    large = large.withColumn("other", F.explode(partners))
+    name: Column = F.when(
+        F.struct("ones", "piece") <= F.struct("other.ones", "other.piece"),
+        F.concat_ws(":", "ones", "piece", "other.ones", "other.piece"),
+    ).otherwise(F.concat_ws(":", "other.ones", "other.piece", "ones", "piece"))
+    side = (F.struct("ones", "piece") > F.struct("other.ones", "other.piece")).cast("int")
+    large = large.select("mask", "part", name.alias("cell"), side.alias("side"), *columns)
+    width = shuffle_width(members.sparkSession)
+    return alone.unionByName(large).repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows of whole comparisons, and the places where each begins, with the end."""
+    rest: pa.Table | None = None
+    for batch in _then_none(batches):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = rest if table is None else pa.concat_tables([rest, table])
+        if table is None or not table.num_rows:
+            continue
+        table = table.combine_chunks()
+        mask, part = (table.column(c).to_numpy() for c in ("mask", "part"))
+        cell = table.column("cell").dictionary_encode().combine_chunks()
+        cell = (cell.chunk(0) if isinstance(cell, pa.ChunkedArray) else cell).indices.to_numpy()
+        new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
+        bounds = [0, *new.tolist(), table.num_rows]
+        if batch is not None:  # the last cell may go on in the next batch
+            rest, bounds = table.slice(bounds[-2]), bounds[:-1]
+        yield table, bounds
+
+
+def _like_sets(members: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
+    """(a, b): nodes whose links join all of a group whose sets are alike, from (mask, part, node, root, n, fp, own); nodes of one root are joined already.
+
+    Inside a comparison, lists of who has each shingle give the size of the intersection of one set with all others.
+    """
+    cells = _cells(members, radius, tile, F.col("n") / _CELL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_cells(batches):
+            node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+            own, out = table.column("own").combine_chunks(), []
+            own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+            ends, shingles = own.offsets.to_numpy(), own.values.to_numpy()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                _, first, of_root = np.unique(root[lo:hi], return_index=True, return_inverse=True)
+                if len(first) > 1:
+                    at = ends[lo : hi + 1].astype(np.int64)
+                    found = _like(shingles[at[0] : at[-1]], at - at[0], first[of_root], int(np.count_nonzero(side[lo:hi] == 0)), similarity)
+                    out += [(i + lo, j + lo) for i, j in found]
+            if out:
+                pairs = np.sort(np.stack([node[np.concatenate([x[k] for x in out])] for k in (0, 1)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(pairs, axis=1)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def _like(shingles: np.ndarray, at: np.ndarray, label: np.ndarray, rows: int, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join sets by their similarity where their labels differ: set i is shingles[at[i]:at[i+1]]; the first `rows` sets meet all."""
+    sizes, out = np.diff(at), []
+    _, ids = np.unique(shingles, return_inverse=True)
+    who = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(ids, kind="stable")]
+    count = np.bincount(ids)
+    start = np.cumsum(count) - count
+    for i in range(rows):
+        mine = ids[at[i] : at[i + 1]]
+        each = count[mine]
+        lists = np.repeat(start[mine] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        common = np.bincount(who[lists], minlength=len(sizes))
+        j = np.flatnonzero((common >= similarity * (sizes[i] + sizes - common) - 1e-9) & (label != label[i]))
+        if len(j):
+            _join(label, np.full(len(j), i), j, out)
+    return out
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -307,7 +353,7 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, both: int = 38, whole: int = 32, most: int = 4, buckets: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, both: int = 38, whole: int = 32, buckets: int = 1 << 17
 ) -> DataFrame:
     """(id, component): component is the smallest id that links reach, its own included; texts link where the Jaccard
     similarity of their shingles is `similarity` or more.
@@ -319,8 +365,8 @@ def similar_documents(
     similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 24 for 3 pairs in a million; the mean falls
     as the similarity rises.  A second fingerprint of the same shingles has to agree: of both, 128 bits, at most `both`
     differ (19.4 on average; over 38 in 9 pairs of a million).  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
-    of the nearest pairs goes to it.  Where a pair of the forest fails, its groups are compared again, now only between texts in
-    different components: the `most` nearest pairs for each text, then four times as many, until none is left to check.
+    of the nearest pairs goes to it.  Where a pair of the forest fails, the whole sets of shingles are compared in its groups, of
+    all texts that are in different components by then, in tiles that are bounded by their shingles too; so no link is lost there.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -362,34 +408,25 @@ def similar_documents(
             found = [np.unique(hashes.of(t.as_py())).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those whose texts share enough shingles; a node's are read from a text that has them."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-        texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").dropDuplicates(["node"])
-        own = cut_lineage(texts.select("node", "text").mapInArrow(sets, "node bigint, own array<bigint>"))
-        two = pairs.join(own.withColumnsRenamed({"node": "a", "own": "one"}), "a").join(own.withColumnsRenamed({"node": "b", "own": "two"}), "b")
-        common = F.size(F.array_intersect("one", "two"))
-        return cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """(node, own): the shingles of the nodes, each read from a text that has them."""
+        texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted.join(nodes.select("node", "text_hash"), "node"), "text_hash")
+        return cut_lineage(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node bigint, own array<bigint>"))
 
-    alike = confirmed(pairs)
+    own = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    two = pairs.join(own.withColumnsRenamed({"node": "a", "own": "one"}), "a").join(own.withColumnsRenamed({"node": "b", "own": "two"}), "b")
+    common = F.size(F.array_intersect("one", "two"))
+    alike = cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
     roots = component_roots(alike)
     prefix = {x: nodes.select(F.col("node").alias(x), F.col("prefix").alias(f"of_{x}")) for x in "ab"}
     failed = pairs.join(alike, ["a", "b"], "left_anti").join(prefix["a"], "a").join(prefix["b"], "b")
-    unsure = cut_lineage(failed.select(F.explode(F.array_intersect("of_a", "of_b")).alias("part")).distinct())
-    while True:
-        again = members.join(unsure, "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        again = cut_lineage(again)
-        mixed = again.groupBy("part").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = mixed.filter((F.col("size") > whole) & (F.col("low") < F.col("high"))).select("part")
-        found = cut_lineage(_compared(again.join(mixed, "part"), radius, tile, 0, similarity, both, most))
-        fresh = cut_lineage(found.filter("part IS NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            alike, pairs = alike.unionByName(confirmed(fresh)), pairs.unionByName(fresh)
-            roots = component_roots(alike)
-        unsure = found.filter("part IS NOT NULL").select("part").distinct()
-        if unsure.isEmpty():
-            break
-        most *= 4
+    unsure = failed.select(F.explode(F.array_intersect("of_a", "of_b")).alias("part")).distinct()
+    again = members.join(unsure, "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = cut_lineage(again)
+    mixed = again.groupBy("part").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    again = again.join(mixed.filter((F.col("size") > whole) & (F.col("low") < F.col("high"))).select("part"), "part")
+    behind = _like_sets(again.join(with_sets(again.select("node").distinct()), "node").drop("more"), radius, tile, similarity)
+    roots = component_roots(alike.unionByName(behind))
     joined = nodes.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     return prints.select("id", "key").join(joined.join(least, "root").select("key", "component"), "key").select("id", "component")

@@ -115,7 +115,7 @@ def test_links_behind_nearer_pairs_that_fail(spark, tile):
         out.append(" ".join(text))
     rows = list(enumerate(out))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=1, most=1).collect()}
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=1).collect()}
     assert found == jaccard_components(rows, 5, 0.8)
 
 
