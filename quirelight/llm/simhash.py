@@ -399,7 +399,11 @@ def similar_documents(
     prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
     nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("more").alias("more"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = nodes.select(F.lit(0).alias("mask"), F.explode("prefix").alias("part"), "node", "n", "fp", "more")
+    # most shingles are in one text only; the others are a small part, which is kept
+    members = nodes.select(F.explode("prefix").alias("part"), "node")
+    several = members.groupBy("part").agg(F.count("*").alias("size")).filter("size > 1")
+    shared_parts = cut_lineage(members.join(several.select("part"), "part", "left_semi"))
+    members = shared_parts.select(F.lit(0).alias("mask"), "part", "node").join(nodes.select("node", "n", "fp", "more"), "node")
     pairs = cut_lineage(_compared(members, radius, tile, whole, similarity, both).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,9 +422,8 @@ def similar_documents(
     common = F.size(F.array_intersect("one", "two"))
     alike = cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
     roots = component_roots(alike)
-    prefix = {x: nodes.select(F.col("node").alias(x), F.col("prefix").alias(f"of_{x}")) for x in "ab"}
-    failed = pairs.join(alike, ["a", "b"], "left_anti").join(prefix["a"], "a").join(prefix["b"], "b")
-    unsure = failed.select(F.explode(F.array_intersect("of_a", "of_b")).alias("part")).distinct()
+    failed = pairs.join(alike, ["a", "b"], "left_anti").join(shared_parts.withColumnRenamed("node", "a"), "a")
+    unsure = failed.join(shared_parts.withColumnRenamed("node", "b"), ["b", "part"]).select("part").distinct()
     again = members.join(unsure, "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = cut_lineage(again)
     mixed = again.groupBy("part").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
