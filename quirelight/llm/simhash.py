@@ -194,10 +194,11 @@ def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = None) -> DataFrame:
+def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = None, carried: DataFrame | None = None) -> DataFrame:
     """The members, once for every comparison (mask, part, cell, and side 0 or 1 of it) that they take part in, sorted by these.
 
     A comparison holds at most `tile` members a side, or as many as bring a load of 1 on average.
+    What is carried, by node, joins them last, so it is shuffled once.
     """
     columns = [c for c in members.columns if c not in ("mask", "part")]
     load = F.lit(1.0 / tile) if load is None else F.greatest(load, F.lit(1.0 / tile))
@@ -221,7 +222,10 @@ def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = Non
     side = (F.struct("ones", "piece") > F.struct("other.ones", "other.piece")).cast("int")
     large = large.select("mask", "part", name.alias("cell"), side.alias("side"), *columns)
     width = shuffle_width(members.sparkSession)
-    return alone.unionByName(large).repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
+    cells = alone.unionByName(large)
+    if carried is not None:
+        cells = cut_lineage(cells).join(carried, "node")
+    return cells.repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -244,12 +248,12 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield table, bounds
 
 
-def _like_sets(members: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
-    """(a, b): nodes whose links join all of a group whose sets are alike, from (mask, part, node, root, n, fp, own); nodes of one root are joined already.
+def _like_sets(members: DataFrame, sets: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
+    """(a, b): nodes whose links join all of a group whose sets are alike, from (mask, part, node, root, n, fp) and (node, own); nodes of one root are joined already.
 
     Inside a comparison, lists of who has each shingle give the size of the intersection of one set with all others.
     """
-    cells = _cells(members, radius, tile, F.col("n") / _CELL)
+    cells = _cells(members, radius, tile, F.col("n") / _CELL, sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_cells(batches):
@@ -427,9 +431,9 @@ def similar_documents(
     again = members.join(unsure, "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = cut_lineage(again)
     mixed = again.groupBy("part").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    again = again.join(mixed.filter((F.col("size") > whole) & (F.col("low") < F.col("high"))).select("part"), "part")
-    behind = _like_sets(again.join(with_sets(again.select("node").distinct()), "node").drop("more"), radius, tile, similarity)
-    roots = component_roots(alike.unionByName(behind))
+    again = cut_lineage(again.join(mixed.filter((F.col("size") > whole) & (F.col("low") < F.col("high"))).select("part"), "part"))
+    behind = _like_sets(again.drop("more"), with_sets(again.select("node").distinct()), radius, tile, similarity)
+    roots = component_roots(alike.unionByName(cut_lineage(behind)))
     joined = nodes.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     return prints.select("id", "key").join(joined.join(least, "root").select("key", "component"), "key").select("id", "component")
