@@ -9,8 +9,8 @@ radius are skipped, as they can't hold a link.  Each comparison returns a spanni
 nearest pairs first, never all pairs; components join the forests.
 
 near_duplicates links fingerprints within a radius; equal fingerprints are one node, so copies cost
-nothing.  similar_documents links texts by the Jaccard similarity of their shingles; SimHash screens the
-pairs there, and an exact check confirms them.
+nothing.  similar_documents links texts by the Jaccard similarity of their distinct shingles; SimHash and bitmaps of
+the shingles screen the pairs there, and an exact check confirms them.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other (in similar_documents
 they are equal to each other and like no other text); texts are read whole, however long; rows with a null
@@ -40,6 +40,10 @@ _BLOCK = 8192
 _MEMO = 300_000
 #: Shingles a side that a comparison of whole sets holds on average.
 _CELL = 1 << 19
+#: Words of 64 bits in the bitmap of a text's shingles.
+_BITMAP = 16
+#: Bytes of wanted nodes up to which they are broadcast; beyond it, they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -91,10 +95,10 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024, every: bool = False, fits=None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links inside a (b None) or between a and b, as pairs of places in a and b, one after the other; or every link.
+def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links inside a (b None) or between a and b, as pairs of places in a and b, one after the other.
 
-    Blocks of a meet only those of a or b whose population counts come within the radius.  fits(i, j) tells which pairs may link at all.
+    Blocks of a meet only those of a or b whose population counts come within the radius.
     """
     n = len(a) if b is None else len(a) + len(b)
     first = np.argsort(np.bitwise_count(a), kind="stable")
@@ -117,12 +121,7 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 1024,
         far = apart[p, q]
         i, j = first[p + at], second[q + lo]
         kept = (i != j) if b is not None else (p + at < q + lo)
-        if fits:
-            kept &= fits(i, j)
         i, j, far = i[kept], j[kept], far[kept]
-        if every:
-            out.append((i, j))
-            continue
         for step in np.unique(far):  # nearest pairs first
             _join(label, i[far == step], j[far == step], out)
     return out
@@ -155,37 +154,27 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048)
     of bits; those that share such a choice are a group.
     """
     masks = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(blocks, radius)])
-    return _compared(nodes.select(F.col("fp").alias("node"), F.lit(1).alias("n"), "fp", F.lit(0).cast("bigint").alias("more"), F.posexplode(masks).alias("mask", "part")), radius, tile)
-
+    return _compared(nodes.select(F.col("fp").alias("node"), "fp", F.posexplode(masks).alias("mask", "part")), radius, tile)
 
-def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio: float = 0.0, both: int = 128) -> DataFrame:
-    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, n, fp, more); mask and part name the group.
 
-    Of comparisons of at most `whole` fingerprints, all links come out.  Nodes whose n are further apart
-    than the ratio do not link, nor do those whose fp and more, second fingerprints, differ in more than `both` bits.
-    """
+def _compared(members: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(a, b): nodes whose links join all fingerprints within the radius in each group, from (mask, part, node, fp); mask and part name the group."""
     cells = _cells(members, radius, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_cells(batches):
-            fp, more, node, n, side = (table.column(c).to_numpy() for c in ("fp", "more", "node", "n", "side"))
-            values, seconds, found = fp.view(np.uint64), more.view(np.uint64), []
-
-            def fit(x: np.ndarray, y: np.ndarray, n=n, values=values, seconds=seconds) -> np.ndarray:
-                apart = np.bitwise_count(values[x] ^ values[y]) + np.bitwise_count(seconds[x] ^ seconds[y])
-                return (np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9) & (apart <= both)
-
+            fp, node, side = (table.column(c).to_numpy() for c in ("fp", "node", "side"))
+            values, found = fp.view(np.uint64), []
             starts, ends = np.array(bounds[:-1], np.int64), np.array(bounds[1:], np.int64)
             two = starts[ends - starts == 2]  # by far the most common
-            two = two[(np.bitwise_count(values[two] ^ values[two + 1]) <= radius) & fit(two, two + 1)]
+            two = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
             if len(two):
                 found.append((two, two + 1))
             larger = ends - starts > 2
             for lo, hi in zip(starts[larger].tolist(), ends[larger].tolist(), strict=True):
                 cut = lo + int(np.searchsorted(side[lo:hi], 1))
                 first, second = values[lo:cut], values[cut:hi]
-                fits = (lambda i, j, lo=lo: fit(i + lo, j + lo)) if ratio else None
-                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius, every=hi - lo <= whole, fits=fits)]
+                found += [(i + lo, j + lo) for i, j in _forest(first, second if len(second) else None, radius)]
             if found:
                 pairs = np.sort(np.stack([node[np.concatenate([f[i] for f in found])] for i in (0, 1)]), axis=0)
                 pairs = np.unique(pairs, axis=1)  # the same texts share several groups
@@ -194,25 +183,20 @@ def _compared(members: DataFrame, radius: int, tile: int, whole: int = 0, ratio:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = None, carried: DataFrame | None = None) -> DataFrame:
-    """The members, once for every comparison (mask, part, cell, and side 0 or 1 of it) that they take part in, sorted by these.
-
-    A comparison holds at most `tile` members a side, or as many as bring a load of 1 on average.
-    What is carried, by node, joins them last, so it is shuffled once.
-    """
+def _cells(members: DataFrame, radius: int, tile: int) -> DataFrame:
+    """The members, once for every comparison (mask, part, cell, and side 0 or 1 of it) that they take part in, sorted by these; it holds at most `tile` members a side on average."""
     columns = [c for c in members.columns if c not in ("mask", "part")]
-    load = F.lit(1.0 / tile) if load is None else F.greatest(load, F.lit(1.0 / tile))
     spread = members.withColumn("ones", F.bit_count("fp").cast("int"))
-    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("rows"), F.sum(load).alias("load"))
-    cut = F.struct("ones", "rows", F.ceil("load").cast("int").alias("k"))
+    per_count = spread.groupBy("mask", "part", "ones").agg(F.count("*").alias("rows"))
+    cut = F.struct("ones", "rows", F.ceil(F.col("rows") / tile).cast("int").alias("k"))
     # at most 65 entries a list
-    groups = per_count.groupBy("mask", "part").agg(F.sum("rows").alias("size"), F.sum("load").alias("load"), F.collect_list(cut).alias("cuts"))
+    groups = per_count.groupBy("mask", "part").agg(F.sum("rows").alias("size"), F.collect_list(cut).alias("cuts"))
     held = spread.join(groups.filter("size > 1"), ["mask", "part"])
     reach = f"filter(cuts, c -> abs(c.ones - ones) <= {int(radius)})"
     held = held.filter(F.expr(f"aggregate({reach}, 0L, (sum, c) -> sum + c.rows) > 1"))
-    alone = held.filter("load <= 1").select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), *columns)
+    alone = held.filter(F.col("size") <= tile).select("mask", "part", F.lit("").alias("cell"), F.lit(0).alias("side"), *columns)
     own = F.expr("filter(cuts, c -> c.ones = ones)[0].k")
-    large = held.filter("load > 1").withColumn("piece", F.pmod(F.xxhash64("node"), own).cast("int"))
+    large = held.filter(F.col("size") > tile).withColumn("piece", F.pmod(F.xxhash64("node"), own).cast("int"))
     partners = F.expr(f"flatten(transform({reach}, c -> transform(sequence(0, c.k - 1), p -> struct(c.ones AS ones, p AS piece))))")
     large = large.withColumn("other", F.explode(partners))
     name: Column = F.when(
@@ -221,14 +205,10 @@ def _cells(members: DataFrame, radius: int, tile: int, load: Column | None = Non
     ).otherwise(F.concat_ws(":", "other.ones", "other.piece", "ones", "piece"))
     side = (F.struct("ones", "piece") > F.struct("other.ones", "other.piece")).cast("int")
     large = large.select("mask", "part", name.alias("cell"), side.alias("side"), *columns)
-    width = shuffle_width(members.sparkSession)
-    cells = alone.unionByName(large)
-    if carried is not None:
-        cells = cut_lineage(cells).join(carried, "node")
-    return cells.repartition(width, "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
+    return alone.unionByName(large).repartition(shuffle_width(members.sparkSession), "mask", "part", "cell").sortWithinPartitions("mask", "part", "cell", "side")
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+def _whole_cells(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("mask", "part", "cell")) -> Iterator[tuple[pa.Table, list[int]]]:
     """Rows of whole comparisons, and the places where each begins, with the end."""
     rest: pa.Table | None = None
     for batch in _then_none(batches):
@@ -238,26 +218,100 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         if table is None or not table.num_rows:
             continue
         table = table.combine_chunks()
-        mask, part = (table.column(c).to_numpy() for c in ("mask", "part"))
-        cell = table.column("cell").dictionary_encode().combine_chunks()
-        cell = (cell.chunk(0) if isinstance(cell, pa.ChunkedArray) else cell).indices.to_numpy()
-        new = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
-        bounds = [0, *new.tolist(), table.num_rows]
+        new = np.zeros(table.num_rows - 1, bool)
+        for name in names:
+            own = table.column(name)
+            if pa.types.is_string(own.type):
+                own = own.dictionary_encode().combine_chunks()
+                own = (own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).indices
+            own = own.to_numpy()
+            new |= own[1:] != own[:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
         if batch is not None:  # the last cell may go on in the next batch
             rest, bounds = table.slice(bounds[-2]), bounds[:-1]
         yield table, bounds
 
 
-def _like_sets(members: DataFrame, sets: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
-    """(a, b): nodes whose links join all of a group whose sets are alike, from (mask, part, node, root, n, fp) and (node, own); nodes of one root are joined already.
+def _against_others(members: DataFrame, load: Column) -> DataFrame:
+    """(part, cell, one, other, ...): the members, from (part, node, root, ...), dealt to comparisons in which those of other roots than a part's most frequent one meet all of it.
+
+    The rest of a part is joined already, so it need not meet itself.  A comparison has a load of about 1 a side; a part within
+    that is one comparison, and its rows are there once.  In larger ones, rows are there once for every piece of the other side.
+    """
+    per_root = members.groupBy("part", "root").agg(F.sum(load).alias("load"), F.count("*").alias("rows"))
+    parts = per_root.groupBy("part").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.sum("load").alias("all"), F.max_by("load", F.struct("rows", "root")).alias("joined"), F.count("*").alias("roots"))
+    parts = parts.filter("roots > 1").withColumns({"k": F.ceil("all").cast("int"), "k_one": F.ceil(F.greatest(F.col("all") - F.col("joined"), F.lit(1e-9))).cast("int")})
+    held = members.join(parts.select("part", "most", "k", "k_one"), "part").withColumn("one", F.col("root") != F.col("most"))
+    columns = members.columns
+    alone = held.filter("k = 1").select(*columns, F.lit(0).alias("cell"), "one", F.lit(True).alias("other"))
+    large = held.filter("k > 1").withColumns({"i": F.pmod(F.xxhash64("node"), F.col("k_one")).cast("int"), "j": F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")).cast("int")})
+    ones = large.filter("one").select(*columns, F.explode(F.expr("transform(sequence(0, k - 1), x -> i * k + x)")).alias("cell"), "one", F.lit(False).alias("other"))
+    others = large.select(*columns, F.explode(F.expr("transform(sequence(0, k_one - 1), x -> x * k + j)")).alias("cell"), F.lit(False).alias("one"), F.lit(True).alias("other"))
+    return alone.unionByName(ones).unionByName(others)
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition(shuffle_width(cells.sparkSession), "part", "cell").sortWithinPartitions("part", "cell", F.desc("one"))
+
+
+def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, dense: int) -> DataFrame:
+    """(a, b, part): nodes of different roots in a part, from (part, node, root, n, fp, bits), that may be alike; or only part, where a comparison has over `dense` such pairs a member."""
+    cells = _dealt(_against_others(members, F.lit(1.0 / tile)))
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_cells(batches, ("part", "cell")):
+            node, root, n, part = (table.column(c).to_numpy() for c in ("node", "root", "n", "part"))
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            one, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("one", "other"))
+            found, full = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                first, second = lo + np.flatnonzero(one[lo:hi]), lo + np.flatnonzero(other[lo:hi])
+                second = second[np.argsort(n[second], kind="stable")]
+                first, sizes, own, count = first[np.argsort(n[first], kind="stable")], n[second], [], 0
+                for at in range(0, len(first), 512):
+                    block = first[at : at + 512]
+                    # sets that differ more in size are not alike
+                    a, b = np.searchsorted(sizes, [math.ceil(similarity * n[block[0]] - 1e-9), math.floor(n[block[-1]] / similarity + 1e-9) + 1])
+                    i, j = np.nonzero(np.bitwise_count(fp[block][:, None] ^ fp[second[a:b]][None, :]) <= radius)
+                    i, j = block[i], second[a:b][j]
+                    apart = root[i] != root[j]
+                    i, j = i[apart], j[apart]
+                    # every shingle that only one of them has changes one bit at most
+                    odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    near = odd <= share * (n[i] + n[j]) + 1e-9
+                    own.append((i[near], j[near]))
+                    count += int(near.sum())
+                    if count > dense * (hi - lo):
+                        break
+                if count > dense * (hi - lo):
+                    full.append(int(part[lo]))
+                else:
+                    found += own
+            if found or full:
+                pairs = np.zeros((2, 0), np.int64)
+                if found:
+                    pairs = np.sort(np.stack([node[np.concatenate([x[k] for x in found])] for k in (0, 1)]), axis=0)
+                    pairs = np.unique(pairs, axis=1)
+                none = [None] * len(full)
+                columns = [pa.array([*x.tolist(), *none], pa.int64()) for x in pairs] + [pa.array([None] * pairs.shape[1] + full, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "part"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint, part bigint")
+
+
+def _like_sets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes whose links join all of a part whose sets are alike, from (part, node, root, n) and (node, own); nodes of one root are joined already.
 
     Inside a comparison, lists of who has each shingle give the size of the intersection of one set with all others.
     """
-    cells = _cells(members, radius, tile, F.col("n") / _CELL, sets)
+    cells = _dealt(cut_lineage(_against_others(members, F.greatest(F.col("n") / _CELL, F.lit(1.0 / 2048)))).join(sets, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _whole_cells(batches):
-            node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        for table, bounds in _whole_cells(batches, ("part", "cell")):
+            node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+            one = table.column("one").to_numpy(zero_copy_only=False)
             own, out = table.column("own").combine_chunks(), []
             own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
             ends, shingles = own.offsets.to_numpy(), own.values.to_numpy()
@@ -265,7 +319,7 @@ def _like_sets(members: DataFrame, sets: DataFrame, radius: int, tile: int, simi
                 _, first, of_root = np.unique(root[lo:hi], return_index=True, return_inverse=True)
                 if len(first) > 1:
                     at = ends[lo : hi + 1].astype(np.int64)
-                    found = _like(shingles[at[0] : at[-1]], at - at[0], first[of_root], int(np.count_nonzero(side[lo:hi] == 0)), similarity)
+                    found = _like(shingles[at[0] : at[-1]], at - at[0], first[of_root], int(np.count_nonzero(one[lo:hi])), similarity)
                     out += [(i + lo, j + lo) for i, j in found]
             if out:
                 pairs = np.sort(np.stack([node[np.concatenate([x[k] for x in out])] for k in (0, 1)]), axis=0)
@@ -356,21 +410,31 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def _bitmap(own: np.ndarray, words: int = _BITMAP) -> np.ndarray:
+    """64 * words bits: whether an odd number of shingles fell on each."""
+    mixed = (own ^ (own >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    odd = np.bincount((mixed >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, tile: int = 2048, both: int = 38, whole: int = 32, buckets: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 32, tile: int = 2048, dense: int = 8, buckets: int = 1 << 17
 ) -> DataFrame:
     """(id, component): component is the smallest id that links reach, its own included; texts link where the Jaccard
-    similarity of their shingles is `similarity` or more.
+    similarity of their distinct shingles is `similarity` or more.
 
     Two such texts share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order of all
-    shingles; those that share one are a group.  Their numbers of shingles differ by that ratio at most, too.  The order is from rare to frequent (by counts of `buckets`
-    buckets, a table of fixed size), so passages that many texts hold make no large groups.  In a group, pairs
-    go on where their SimHash is within the radius, and then the shingles themselves are compared.  At a
-    similarity of 0.8, 64 bits differ in 9.7 places on average, and in over 24 for 3 pairs in a million; the mean falls
-    as the similarity rises.  A second fingerprint of the same shingles has to agree: of both, 128 bits, at most `both`
-    differ (19.4 on average; over 38 in 9 pairs of a million).  Groups of up to `whole` texts give all such pairs to the exact check; of larger ones, a forest
-    of the nearest pairs goes to it.  Where a pair of the forest fails, the whole sets of shingles are compared in its groups, of
-    all texts that are in different components by then, in tiles that are bounded by their shingles too; so no link is lost there.
+    shingles; those that share one are a part.  The order is from rare to frequent (by counts of `buckets`
+    buckets, a table of fixed size), so passages that many texts hold make no large parts; of parts with the same members, one is kept.
+
+    A pair can be alike only if its numbers of shingles differ by no more than that ratio, if the SimHashes of its distinct shingles are within the radius, and if
+    the bitmaps of their shingles differ in no more bits than shingles may be in one text only.  Size and bitmaps lose no pair.  SimHash bits of a pair of similarity 0.8 differ each with
+    a probability of at most 0.1875 (texts of five shingles; 0.162 for longer ones), independently, so over 32 of 64 differ in at most 4 of 10**9 such pairs.
+
+    First every text meets three others, those that it shares most parts with among the least of each part in three random orders, and
+    components of the links that the exact check confirms are joined.  That leaves few parts with several components; there,
+    the texts outside a part's largest component meet all of it in tiles, and the pairs that may be alike go to the exact check.  Where these are over `dense` a text,
+    whole sets of shingles are compared inside the tiles instead, which are bounded by their shingles too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -386,29 +450,30 @@ def similar_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = _Shingles(shingle), shared.value
         for batch in batches:
-            keys, prints, seconds, sizes, prefixes = [], [], [], [], []
+            keys, prints, bitmaps, sizes, prefixes = [], [], [], [], []
             for text in batch.column("text"):
-                every = hashes.of(text.as_py())
-                own = np.unique(every)
+                own = np.unique(hashes.of(text.as_py()))
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest())
-                prints.append(_majority(every))
-                seconds.append(_majority((every ^ (every >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)))
+                prints.append(_majority(own))
+                bitmaps.append(_bitmap(own))
                 sizes.append(len(own))
                 order = np.argsort(ranks[(own % np.uint64(buckets)).astype(np.int64)], kind="stable")
                 prefixes.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "more", "n", "prefix"])
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "bits", "n", "prefix"])
 
-    schema = f"id {kind}, text_hash bigint, key binary, fp bigint, more bigint, n int, prefix array<bigint>"
+    schema = f"id {kind}, text_hash bigint, key binary, fp bigint, bits array<bigint>, n int, prefix array<bigint>"
     prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
-    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.any_value("fp").alias("fp"), F.any_value("more").alias("more"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    same = [F.any_value(c).alias(c) for c in ("fp", "bits", "n", "prefix")]
+    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), *same)
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    # most shingles are in one text only; the others are a small part, which is kept
+    # most shingles are in one text only; the others are a small share, and many of those have the same members
     members = nodes.select(F.explode("prefix").alias("part"), "node")
-    several = members.groupBy("part").agg(F.count("*").alias("size")).filter("size > 1")
-    shared_parts = cut_lineage(members.join(several.select("part"), "part", "left_semi"))
-    members = shared_parts.select(F.lit(0).alias("mask"), "part", "node").join(nodes.select("node", "n", "fp", "more"), "node")
-    pairs = cut_lineage(_compared(members, radius, tile, whole, similarity, both).distinct())
+    digests = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"digest_{k}") for k in (0, 1)]
+    several = members.groupBy("part").agg(F.count("*").alias("size"), *digests).filter("size > 1")
+    several = several.groupBy("size", "digest_0", "digest_1").agg(F.min("part").alias("part"))
+    parts = cut_lineage(members.join(several.select("part"), "part", "left_semi"))
+    facts = nodes.select("node", "n", "fp", "bits")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Shingles(shingle)
@@ -418,22 +483,41 @@ def similar_documents(
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         """(node, own): the shingles of the nodes, each read from a text that has them."""
-        texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted.join(nodes.select("node", "text_hash"), "node"), "text_hash")
-        return cut_lineage(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node bigint, own array<bigint>"))
-
-    own = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    two = pairs.join(own.withColumnsRenamed({"node": "a", "own": "one"}), "a").join(own.withColumnsRenamed({"node": "b", "own": "two"}), "b")
-    common = F.size(F.array_intersect("one", "two"))
-    alike = cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
-    roots = component_roots(alike)
-    failed = pairs.join(alike, ["a", "b"], "left_anti").join(shared_parts.withColumnRenamed("node", "a"), "a")
-    unsure = failed.join(shared_parts.withColumnRenamed("node", "b"), ["b", "part"]).select("part").distinct()
-    again = members.join(unsure, "part").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    again = cut_lineage(again)
-    mixed = again.groupBy("part").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    again = cut_lineage(again.join(mixed.filter((F.col("size") > whole) & (F.col("low") < F.col("high"))).select("part"), "part"))
-    behind = _like_sets(again.drop("more"), with_sets(again.select("node").distinct()), radius, tile, similarity)
-    roots = component_roots(alike.unionByName(cut_lineage(behind)))
-    joined = nodes.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.select("id", "key").join(joined.join(least, "root").select("key", "component"), "key").select("id", "component")
+        wanted = cut_lineage(wanted.distinct().join(nodes.select("node", "text_hash"), "node"))
+        wanted = F.broadcast(wanted) if wanted.count() * 32 <= BROADCAST_BYTES else wanted
+        texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash")
+        return cut_lineage(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(sets, "node bigint, own array<bigint>"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are alike."""
+        own = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        two = pairs.join(own.withColumnsRenamed({"node": "b", "own": "two"}), "b").join(own.withColumnsRenamed({"node": "a", "own": "one"}), "a")
+        common = F.size(F.array_intersect("one", "two"))
+        return cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
+
+    def with_roots(links: DataFrame) -> DataFrame:
+        """(part, node, root) of the parts whose members are of several components."""
+        found = parts.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = found.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return cut_lineage(found.join(mixed.select("part"), "part", "left_semi").select("part", "node", "root"))
+
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("node")))["node"].alias(f"p{k}") for k in range(3)]
+    met = parts.join(parts.groupBy("part").agg(*least), "part").select("node", F.posexplode(F.array("p0", "p1", "p2")).alias("order", "other")).filter("node != other")
+    most = met.groupBy("node", "order", "other").agg(F.count("*").alias("times")).groupBy("node", "order").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
+    pairs = most.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in facts.columns]), side)
+    odd = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    fits = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius)
+    fits = fits & (odd <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-9)
+    alike = confirmed(cut_lineage(pairs.filter(fits).select("a", "b")))
+    left = with_roots(alike)
+    found = cut_lineage(_survivors(left.join(facts, "node"), radius, tile, similarity, dense))
+    alike = cut_lineage(alike.unionByName(confirmed(found.filter("part IS NULL").select("a", "b").distinct())))
+    dense_parts = cut_lineage(found.filter("part IS NOT NULL").select("part").distinct())
+    if not dense_parts.isEmpty():
+        left = with_roots(alike).join(dense_parts, "part", "left_semi")
+        alike = cut_lineage(alike.unionByName(_like_sets(left.join(facts.select("node", "n"), "node"), with_sets(left.select("node")), similarity)))
+    joined = nodes.select("key", "node", "least").join(component_roots(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return prints.select("id", "key").join(joined.join(smallest, "root").select("key", "component"), "key").select("id", "component")

@@ -81,8 +81,8 @@ def jaccard_components(rows, size, least):
     return {i: top(i) for i in sets}
 
 
-@pytest.mark.parametrize(("tile", "whole"), [(3, 32), (2048, 32), (2048, 1)])
-def test_similar_documents_are_those_of_all_pairs(spark, tile, whole):
+@pytest.mark.parametrize(("tile", "dense"), [(3, 8), (2048, 8), (2048, 0)])
+def test_similar_documents_are_those_of_all_pairs(spark, tile, dense):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
     passage = [word() for _ in range(60)]
@@ -97,7 +97,7 @@ def test_similar_documents_are_those_of_all_pairs(spark, tile, whole):
             out.append(" ".join(base))
     rows = list(enumerate(out + out[-2:], 100))
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, node int")
-    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=whole).collect()}
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile, dense=dense).collect()}
     want = jaccard_components(rows, 5, 0.8)
     assert found == want
     assert 5 < len(set(want.values())) < len(want) - 10
@@ -115,7 +115,34 @@ def test_links_behind_nearer_pairs_that_fail(spark, tile):
         out.append(" ".join(text))
     rows = list(enumerate(out))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.id: r.component for r in similar_documents(docs, tile=tile, whole=1).collect()}
+    found = {r.id: r.component for r in similar_documents(docs, tile=tile, dense=0).collect()}
+    assert found == jaccard_components(rows, 5, 0.8)
+
+
+def test_repeated_lines_do_not_hide_similar_texts(spark):
+    """Links go by distinct runs, so what a text repeats has no more weight than once."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = " ".join(word() for _ in range(300))
+    out = [base, base + " foo" * 1500, base + " bar" * 1500]
+    for _ in range(60):
+        shared = [word() for _ in range(200)]
+        for _ in range(2):
+            line = " ".join(word() for _ in range(8))
+            out.append(" ".join([*shared, *[line] * 40]))
+    rows = list(enumerate(out))
+    found = {r.id: r.component for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 0, 2: 0} | {i: i - (i + 1) % 2 for i in range(3, 123)}
+
+
+def test_one_text_and_many_chains(spark):
+    """Components that only a way over many links joins, in one part."""
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for step in range(0, 60, 2):
+        out.append(" ".join([*(f"v{k}" for k in range(step)), *base[step:]]))
+    rows = list(enumerate(out))
+    found = {r.id: r.component for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), tile=4).collect()}
     assert found == jaccard_components(rows, 5, 0.8)
 
 
