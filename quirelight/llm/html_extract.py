@@ -90,8 +90,10 @@ class Page:
 
         #: (token, token of the element around it, what it is) -> occurrences
         self.tokens: Counter = Counter()
-        #: (where, token, text, the elements around it from the outermost: token, and whether it is named as something else than an article)
-        self.blocks: list[tuple[int, int, str, tuple[tuple[int, bool], ...]]] = []
+        #: (where, token, text, number of the element around it)
+        self.blocks: list[tuple[int, int, str, int]] = []
+        #: of every element that text can be in, by number, parents first (0: the page): token, number of the parent, and whether it is named as something else than an article
+        self.elements: list[tuple[int, int, bool]] = [(0, -1, False)]
         #: characters outside links of each text and in each element (0: the page), but for what is named as something else
         self.chars: Counter = Counter()
         #: what an element is good for on the way to the article
@@ -101,28 +103,43 @@ class Page:
         self._muted: list[str] = []  # open inline elements whose text is dropped, from the first such on
         self._linked = 0  # open links
         self._plain = 0  # characters of the block outside links
-        # open elements: (name, path token, where, dropped, in or of an element named as something else, of such a one)
-        self._open: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, ELSEWHERE, False, False, False)]
+        self._own: Counter = Counter()  # such characters of the blocks right in an element, by number
+        self._titled: set[int] = set()  # elements right around a title of the first rank
+        # open elements: (name, number, where, dropped, in or of an element named as something else)
+        self._open: list[tuple[str, int, int, bool, bool]] = [("", 0, ELSEWHERE, False, False)]
+        self._names: Counter = Counter()  # of the open elements
         self._read(html)
         self._flush()
+        self._sum_up()
+
+    def _sum_up(self) -> None:
+        """What is in an element is in those around it, too: children come after their parents."""
+        for k in range(len(self.elements) - 1, -1, -1):
+            token, parent, _ = self.elements[k]
+            if own := self._own[k]:
+                self.chars[token] += own
+            if k in self._titled:
+                if k:
+                    self.traits[token] = self.traits.get(token, 0) | TITLED
+                self._titled.add(parent)
+            if parent >= 0 and own:
+                self._own[parent] += own
 
     def _flush(self) -> None:
         if not self._pieces:
             return
         text = " ".join("".join(self._pieces).split())
         plain, self._pieces, self._plain = self._plain, [], 0
-        _, around, where, dropped, out, _ = self._open[-1]
+        _, number, where, dropped, out = self._open[-1]
         if not text:
             return
+        around = self.elements[number][0]
         token = self._hash(f"{around}\t{text}")
         self.tokens[token, around, TEXT if where == ELSEWHERE or dropped else ARTICLE_TEXT] += 1
-        path = tuple((o[1], o[5]) for o in self._open[1:])
         if not out:
-            self.chars[0] += plain
             self.chars[token] += plain
-            for element, _ in path:
-                self.chars[element] += plain
-        self.blocks.append((DROPPED if dropped else where, token, text, path))
+            self._own[number] += plain
+        self.blocks.append((DROPPED if dropped else where, token, text, number))
 
     def _text(self, text: str) -> None:
         if text and not self._muted:
@@ -133,12 +150,15 @@ class Page:
 
     def _close(self, name: str) -> None:
         """Ends the innermost open element of this name and all inside it."""
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] == name:
-                self._flush()
-                self._muted.clear()
-                self._linked = 0
-                del self._open[k:]
+        if not self._names[name]:
+            return
+        self._flush()
+        self._muted.clear()
+        self._linked = 0
+        while True:
+            last = self._open.pop()[0]
+            self._names[last] -= 1
+            if last == name:
                 return
 
     def _start(self, name: str, attributes: str) -> None:
@@ -150,7 +170,8 @@ class Page:
             self._close(name)
         self._flush()
         written, names = _names(attributes) if "=" in attributes else ("", frozenset())
-        _, around, where, dropped, out, _ = self._open[-1]
+        _, number, where, dropped, out = self._open[-1]
+        around = self.elements[number][0]
         token = self._hash(f"{around}\t<{name} {written}")
         self.tokens[token, around, ELEMENT] += 1
         if name in _VOID:
@@ -170,9 +191,10 @@ class Page:
         elif where != ELSEWHERE:
             self.traits[token] = NAMED
         if name == "h1" and not out:
-            for o in self._open[1:]:
-                self.traits[o[1]] = self.traits.get(o[1], 0) | TITLED
-        self._open.append((name, token, where, dropped, out, named))
+            self._titled.add(number)
+        self._open.append((name, len(self.elements), where, dropped, out))
+        self._names[name] += 1
+        self.elements.append((token, number, named))
 
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
@@ -189,7 +211,7 @@ class Page:
             name = name.lower()
             if m[1]:
                 if name not in _INLINE:
-                    if name == "p" and not any(o[0] == "p" for o in self._open):
+                    if name == "p" and not self._names["p"]:
                         self._flush()
                     self._close(name)
                 elif name == "br":
@@ -219,10 +241,14 @@ class Page:
     def main_text(self, template: frozenset[int] | set[int], slots: frozenset[int] | set[int] = frozenset()) -> str:
         """Texts of the article, joined by line feeds in the order of the page."""
         held = []
-        for _, token, text, path in self.blocks if slots else ():
-            at = next((k for k, (element, _) in enumerate(path) if element in slots), None)
-            if at is not None:
-                held.append((token, text, any(named for _, named in path[at + 1 :])))
+        if slots:
+            # of each element: whether it is in a slot, and whether one inside the slot around it is named as something else
+            inside, out = [], []
+            for token, parent, named in self.elements:
+                in_slot = parent >= 0 and inside[parent]
+                inside.append(in_slot or token in slots)
+                out.append(in_slot and (out[parent] or named))
+            held = [(token, text, out[number]) for _, token, text, number in self.blocks if inside[number]]
         if held:
             own = [(token, text) for token, text, named in held if not named]
         else:
@@ -241,12 +267,29 @@ def nested(tokens: list[dict]) -> list[int]:
         by_class.setdefault((t["vector"], t["support"]), []).append(t)
     valid = [c for c in by_class.values() if len(c) > 1 and any(t.get("kind", ELEMENT) == ELEMENT for t in c)]
     kept = {t["token"]: t["support"] for c in valid for t in c}
-    rest = [t for t in tokens if t["token"] not in kept and t.get("kind", ELEMENT) != ARTICLE_TEXT]
-    while True:
-        more = {t["token"]: t["support"] for t in rest if t["token"] not in kept and kept.get(t["around"], -1) >= t["support"]}
-        if not more:
-            return sorted(kept)
-        kept |= more
+    inside: dict[int, list[dict]] = {}
+    for t in tokens:
+        if t["token"] not in kept and t.get("kind", ELEMENT) != ARTICLE_TEXT:
+            inside.setdefault(t["around"], []).append(t)
+    ways = list(kept)
+    while ways:
+        around = ways.pop()
+        for t in inside.get(around, ()):
+            if t["token"] not in kept and kept[around] >= t["support"]:
+                kept[t["token"]] = t["support"]
+                ways.append(t["token"])
+    return sorted(kept)
+
+
+def _inner_first(elements: dict[int, dict]) -> list[int]:
+    """The elements, those inside another before it."""
+    inside: dict[int, list[int]] = {}
+    for token, t in elements.items():
+        inside.setdefault(t["around"], []).append(token)
+    order = [token for token, t in elements.items() if t["around"] not in elements]
+    for token in order:  # grows as it goes
+        order += inside.get(token, ())
+    return order[::-1]
 
 
 def article_slots(tokens: list[dict], kept: set[int]) -> list[int]:
@@ -259,10 +302,10 @@ def article_slots(tokens: list[dict], kept: set[int]) -> list[int]:
             if t["most"] == 1 and t["token"] in kept:
                 inside.setdefault(t["around"], []).append(t)
         elif t["token"] in kept:
-            at = t["around"]
-            while at in elements:
-                fixed[at] += t["chars"]
-                at = elements[at]["around"]
+            fixed[t["around"]] += t["chars"]
+    for token in _inner_first(elements):
+        if (around := elements[token]["around"]) in elements:
+            fixed[around] += fixed[token]
 
     def leads(t: dict) -> bool:
         """Whether over half of what the element around it varies in is in it, on average over its pages."""

@@ -60,19 +60,8 @@ def _one_to_one() -> dict[int, str]:
     return found
 
 
-def _ranges(codes: dict[int, str]) -> str:
-    """The code points as ranges of a character class."""
-    out: list[list[int]] = []
-    for code in sorted(codes):
-        if out and out[-1][1] == code - 1:
-            out[-1][1] = code
-        else:
-            out.append([code, code])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
-
-
 _TABLE = _one_to_one()
-_ODD = re.compile(f"[{_ranges(_TABLE)}]")
+_ODD = frozenset(map(chr, _TABLE))
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _DIGIT = {word: str(i) for words in _DIGIT_WORDS.values() for i, word in enumerate(words.split())} | {"oh": "0"}
 _WORD = "|".join(sorted(_DIGIT, key=len, reverse=True))
@@ -82,17 +71,20 @@ _SPELLED = re.compile(
     re.IGNORECASE,
 )
 _DOTTED = re.compile(r"(?<![^\W_])[0-9]+(?:\s+(?:dot|point|punkt|punto)\s+[0-9]+){3,}(?![^\W_])", re.IGNORECASE)
-_SPOKEN_DOT = re.compile(r"\s+(?:dot|point|punkt|punto)\s+", re.IGNORECASE)
+# no space stands before the spaces, so a long run of them is read once
+_SPOKEN_DOT = re.compile(r"(?<!\s)\s++(?:dot|point|punkt|punto)\s+", re.IGNORECASE)
+_SPOKEN = ("dot", "point", "punkt", "punto")
 _DOT_NUMBER = re.compile(r"(?:dot|point|punkt|punto)\s+[0-9]", re.IGNORECASE)
 _WORDS_AND_NUMBERS = re.compile(r"[^\W\d_]+|[0-9]+")
 # what may stand in a run of spelled digits: 1 a number in figures, 2 a digit's word, 3 a word between them
 _ROLE = dict.fromkeys(_DIGIT, 2) | dict.fromkeys(("dot", "point", "punkt", "punto", "double", "plus"), 3)
 _RUN = re.compile(rb"[\1-\3]{5,}")
+_THREE = re.compile(rb"[\1-\3]{3}")
 _PART = re.compile(rf"({_WORD})|(dot|point|punkt|punto)|(plus)|(double)|([0-9]+)|([\s.,()-]+)|(.)", re.IGNORECASE | re.DOTALL)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:(at|@|arroba)|dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.IGNORECASE)
-_AT_SIGN = re.compile(r"\s+at\s+|@", re.IGNORECASE)
+_AT_SIGN = re.compile(r"(?<!\s)\s++at\s+|@", re.IGNORECASE)
 _SPOKEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}(?![A-Za-z0-9])", re.IGNORECASE)
-_WRITTEN_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+_WRITTEN_DOT = re.compile(r"(?<!\s)\s++dot\s+", re.IGNORECASE)
 _AT_DOMAIN = re.compile(r" at (?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b)", re.IGNORECASE)
 # English words after which a site, not the host of an address, is told.
 _NO_NAMES = frozenset(
@@ -195,7 +187,12 @@ def _digits_of(run: str) -> str:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Runs of five numbers or more, two of them in words."""
-    # such runs are rare in prose, and quicker found word by word than by the pattern
+    # such runs are rare in prose: other signs may touch the first and the last number of one, but three stand free inside it
+    bare = text.lower()
+    for sign in ".,()-":
+        bare = bare.replace(sign, " ")
+    if not _THREE.search(bytes([_ROLE.get(w, 0) or w.isdigit() for w in bare.split()])):
+        return []
     roles = bytes([1 if w[0] in "0123456789" else _ROLE.get(w, 0) for w in _WORDS_AND_NUMBERS.findall(text.lower())])
     if not any(m[0].count(2) > 1 for m in _RUN.finditer(roles)):
         return []
@@ -204,7 +201,8 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def _dotted(text: str) -> list[tuple[int, int, str]]:
     """number dot number dot number dot number"""
-    if not _DOT_NUMBER.search(text):
+    low = text.lower()
+    if not any(word in low for word in _SPOKEN) or not _DOT_NUMBER.search(text):
         return []
     return [(m.start(), m.end(), _SPOKEN_DOT.sub(".", m[0])) for m in _DOTTED.finditer(text)]
 
@@ -253,7 +251,7 @@ def _written(text: str) -> list[tuple[int, int, str]]:
     Both begin at the sign and go each way from there, so names and hosts may have any length.
     """
     edits, last = [], 0
-    if _WRITTEN_DOT.search(text):
+    if "dot" in text.lower() and _WRITTEN_DOT.search(text):
         for m in _AT_SIGN.finditer(text):
             domain = _SPOKEN_DOMAIN.match(text, m.end()) if m.start() >= last else None
             start = _name_before(text, m.start(), last, True) if domain else None
@@ -279,7 +277,7 @@ def deobfuscated(text: str) -> tuple[str, list[Rewrites], bool]:
     """The normalised text, the steps that lead back, and whether letters were swapped in place."""
     plain, swapped = text, False
     if not text.isascii():
-        if _ODD.search(text):
+        if not _ODD.isdisjoint(text):
             plain, swapped = text.translate(_TABLE), True
     steps = []
     for edit in (lambda t: [(m.start(), m.end(), "") for m in _HIDDEN.finditer(t)] if not t.isascii() else [], _bracketed, _written, _dotted, _spelled):

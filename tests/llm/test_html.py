@@ -3,10 +3,11 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
-from quirelight.llm.html_extract import Page, extract_main_text, nested
+from quirelight.llm.html_extract import Page, article_slots, extract_main_text, nested
 
 
 @pytest.mark.parametrize(
@@ -116,3 +117,17 @@ def test_a_long_page(spark):
     rows = [(1, "http://x.example/", html), (1, "http://x.example/", html)]
     found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in found] == ["\n".join(own)] * 2
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    began = time.perf_counter()
+    for raw in ("<div>x" * 100_000, "<div><h1>x" * 50_000, "<div>" * 100_000 + "</p></span></b>" * 30_000, "<p>a</div>" * 100_000):
+        page = Page(raw)
+        page.main_text(set(), {page.elements[-1][0]})
+    assert time.perf_counter() - began < 20
+    tokens = [{"token": k + 1, "around": k, "vector": 7, "support": 3, "kind": 0, "chars": 5, "around_chars": 6, "most": 1, "traits": 0} for k in range(30_000)]
+    tokens += [{**t, "token": -t["token"], "around": t["token"], "kind": 1, "vector": 100 + t["token"]} for t in tokens]
+    kept = set(nested(tokens))
+    assert len(kept) == 60_000
+    article_slots(tokens, kept)
+    assert time.perf_counter() - began < 30

@@ -148,3 +148,10 @@ def test_personal_data_rows(spark):
     got = {r.id: r for r in pii.find_personal_data(_docs(spark, rows)).collect()}
     assert (got[1].spans, got[1].n_phone, got[2].spans, got[None].spans, got[None].n_added) == ("email:0:7,phone:11:25", 1, "", "email:0:18", 1)
     assert pii.find_personal_data(_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text", [" ", "\n", "a @ ", "1 ", "x at ", " dot ", "(", "a.b@", "+1 ", "@"])
+def test_personal_data_in_linear_time(text):
+    began = time.perf_counter()
+    pii.find(text * (1_000_000 // len(text)))
+    assert time.perf_counter() - began < 10
