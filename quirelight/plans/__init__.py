@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelight.plans import assembly, access, layouts, matching, merges, rules, search, shapes, shelves, streams, tables, texts, timelines  # noqa: F401  they register their queries
+from quirelight.plans import access, assembly, contents, layouts, matching, merges, rules, search, shapes, shelves, streams, tables, texts, timelines  # noqa: F401  they register their queries
 from quirelight.plans.registry import ORACLE, QUERIES, Query
 
 FLAGSHIP = "text_search"

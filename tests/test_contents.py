@@ -1,0 +1,193 @@
+"""Contents pages, lines and tables against plain loops."""
+
+import re
+import unicodedata
+from collections import defaultdict
+
+import pytest
+
+from quirelight import plans
+from quirelight.operators import contents as C
+from quirelight.plans.contents import entries_and_items
+from quirelight.plans.registry import read
+
+SF = "/root/testdata/sf0.001"
+
+
+def letters(text):
+    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+
+
+def bare(text, number):
+    """Without the number at either end, or None."""
+    words = text.split()
+    if number is None or not words or str(number) not in (words[0], words[-1]):
+        return None
+    return " ".join(words[1:] if words[0] == str(number) else words[:-1])
+
+
+class Seg:
+    def __init__(self, items):
+        self.items = items
+        self.text = " ".join(i["text"].strip() for i in items)
+        self.x0, self.y0 = min(i["x0"] for i in items), min(i["y0"] for i in items)
+        self.x1, self.y1 = max(i["x1"] for i in items), max(i["y1"] for i in items)
+        digits = self.text.replace(" ", "")
+        self.number = int(digits) if digits.isdigit() else None
+        words = [i for i in items if not i["text"].strip().isdigit()] or items
+        self.text_x0, self.text_y1 = min(i["x0"] for i in words), max(i["y1"] for i in words)
+        self.high = max(i["y1"] - i["y0"] for i in words)
+
+
+def laps(a, b):
+    return min(a.y1, b.y1) - max(a.y0, b.y0)
+
+
+def apart(a, b):
+    return max(0.0, a.x0 - b.x1, b.x0 - a.x1)
+
+
+def segs_of(items):
+    lines, numbers = [], []
+    for it in sorted(items, key=lambda i: (i["y0"], i["x0"], i["id"])):
+        if it["text"].strip().isdigit():
+            numbers.append([it])
+            continue
+        mid = (it["y0"] + it["y1"]) / 2
+        for line in lines[:-9:-1]:
+            head = line[0]
+            if head["y0"] <= mid <= head["y1"] and it["y0"] <= (head["y0"] + head["y1"]) / 2 <= it["y1"]:
+                line.append(it)
+                break
+        else:
+            lines.append([it])
+    out = []
+    for line in lines:
+        pieces = []
+        for it in sorted(line, key=lambda i: i["x0"]):
+            if pieces and it["x0"] - max(i["x1"] for i in pieces[-1]) <= 0.025:
+                pieces[-1].append(it)
+            else:
+                pieces.append([it])
+        out += pieces
+    return sorted(map(Seg, out + numbers), key=lambda s: (s.y0, s.x0))
+
+
+def below(cur, segs):
+    edges = [cur.text_x0, cur.x0] + [s.x0 for s in segs if s is not cur and s.number is not None and laps(s, cur) >= 0.3 * (s.y1 - s.y0) and apart(s, cur) <= 0.08]
+    under = [s for s in segs if s is not cur and s.number is None and s.y0 >= cur.text_y1 - 0.3 * cur.high and any(abs(s.text_x0 - e) <= 0.02 for e in edges)]
+    best = min(under, key=lambda s: s.y0, default=None)
+    return best if best and best.y0 - cur.text_y1 <= 0.6 * max(cur.high, best.high, 0.004) else None
+
+
+def follow(cur, got, want, most, segs, number):
+    lines = []
+    while got != want and len(lines) < most:
+        cur = below(cur, segs)
+        fits = [r for r in ([letters(x) for x in (bare(cur.text, number), cur.text) if x] if cur else []) if r and want.startswith(got + r)]
+        if not fits:
+            break
+        got += fits[0]
+        lines.append(cur)
+    return lines, got
+
+
+def place(entries, items):
+    pages, held, out = defaultdict(list), set(), {}
+    for i in items:
+        pages[i["page"]].append(i)
+    segs = {p: segs_of(x) for p, x in pages.items()}
+    for e in sorted(entries, key=lambda e: e["entry"]):
+        if e["page"] not in segs:
+            out[e["entry"]] = ["no text", e["page"], e["x0"], e["y0"], e["x1"], e["y1"]]
+            continue
+        own, want, number = segs[e["page"]], letters(e["label"]), e["printed"]
+        hits = []
+        for s in own:
+            for reading in (bare(s.text, number), s.text) if s.number is None and want else ():
+                if reading and letters(reading) and want.startswith(letters(reading)):
+                    more, got = follow(s, letters(reading), want, 3, own, number)
+                    if got == want:
+                        hits.append([s, *more])
+                        break
+        beside, details = None, []
+        if hits:
+            lines = min(hits, key=lambda h: abs(h[0].text_x0 - e["x0"]) + abs(h[0].y0 - e["y0"]))
+            if all(bare(s.text, number) is None for s in lines):
+                frame = Seg([{"text": "", "x0": min(s.x0 for s in lines), "y0": min(s.y0 for s in lines), "x1": max(s.x1 for s in lines), "y1": max(s.y1 for s in lines)}])
+                near = [s for s in own if s.number == number and laps(s, frame) >= 0.3 * (s.y1 - s.y0) and apart(s, frame) <= 0.35]
+                beside = min(near, key=lambda s: apart(s, frame), default=None)
+            want_more = letters(e["details"])
+            details = follow(lines[-1], "", want_more, 6, own, None)[0] if want_more else []
+            how = "title"
+        else:
+            free = [s for s in own if s.number == number and id(s) not in held]
+            inline = [s for s in own if s.number is None and id(s) not in held and bare(s.text, number)]
+            lines = None
+            if len(free) + len(inline) == 1:
+                if inline:
+                    lines = inline
+                else:
+                    sides = [s for s in own if s.number is None and laps(s, free[0]) >= 0.3 * min(s.y1 - s.y0, free[0].y1 - free[0].y0) and apart(s, free[0]) <= 0.35]
+                    if sides:
+                        lines, beside = [min(sides, key=lambda s: apart(s, free[0]))], free[0]
+            if not lines:
+                out[e["entry"]] = ["none", e["page"], None, None, None, None]
+                continue
+            how = "number"
+        held.add(id(beside or lines[0]))
+        parts = [*lines, *details, *([beside] if beside else [])]
+        out[e["entry"]] = [how, e["page"], max(0.0, min(s.x0 for s in parts) - 0.004), max(0.0, min(s.y0 for s in parts) - 0.003), min(1.0, max(s.x1 for s in parts) + 0.004), min(1.0, max(s.y1 for s in parts) + 0.003)]
+    by_page = defaultdict(list)
+    for k, row in out.items():
+        if row[2] is not None:
+            by_page[row[1]].append((row[3], row[2], k))
+    for keys in by_page.values():
+        order = [out[k] for *_, k in sorted(keys)]
+        for i, a in enumerate(order):
+            for b in order[i + 1 :]:
+                wide, lap = min(a[4] - a[2], b[4] - b[2]), a[5] - b[3]
+                if wide > 0 and min(a[4], b[4]) - max(a[2], b[2]) >= 0.5 * wide and 0 < lap <= 0.5 * min(a[5] - a[3], b[5] - b[3]):
+                    a[5] = b[3] = (a[5] + b[3]) / 2
+    return out
+
+
+def told(how, page, *box):
+    return (how, page, *(None if x is None else round(x, 5) for x in box))
+
+
+def test_entries_are_placed_as_by_loops(spark):
+    entries, items = entries_and_items(read(spark, SF, "documents"))
+    expected = place([r.asDict() for r in entries.collect()], [r.asDict() for r in items.collect()])
+    found = plans.queries()["placed_entries"](spark, SF).collect()
+    assert {r.entry: told(r.how, r.page, r.x0, r.y0, r.x1, r.y1) for r in found} == {k: told(*row) for k, row in expected.items()}
+    assert {row[0] for row in expected.values()} == {"title", "number", "none", "no text"}
+    sums = plans.queries()["contents_balance"](spark, SF).collect()
+    assert all(r.entries == r.by_title + r.by_number + r.unplaced + r.no_text for r in sums)
+    assert sum(r.entries for r in sums) == len(expected)
+
+
+def test_one_number_for_several_entries(spark):
+    """What an earlier entry holds is not there for a later one; two places with one number place nobody."""
+    kind = "page long, id long, text string, x0 double, y0 double, x1 double, y1 double"
+    line = lambda n, text, x, y: (1, n, text, x, y, x + 0.02 * len(text), y + 0.015)
+    items = [line(0, "7 Erster Titel", 0.1, 0.1), line(1, "7 Zweiter", 0.1, 0.3), line(2, "9", 0.1, 0.5), line(3, "Neben", 0.2, 0.5), line(4, "12", 0.1, 0.7), line(5, "12 doppelt", 0.1, 0.9)]
+    entries = [(1, 1, "Erster Titel", "", 7), (2, 1, "anders", "", 7), (3, 1, "noch anders", "", 7), (4, 1, "weiter", "", 9), (5, 1, "zwei", "", 12)]
+    rows = [dict(zip(("page", "id", "text", "x0", "y0", "x1", "y1"), i, strict=True)) for i in items]
+    asked = [dict(zip(("entry", "page", "label", "details", "printed"), e, strict=True)) | {"x0": 0.1, "y0": 0.1, "x1": 0.2, "y1": 0.2} for e in entries]
+    expected = place(asked, rows)
+    frame = spark.createDataFrame([tuple(e.values()) for e in asked], "entry long, page long, label string, details string, printed int, x0 double, y0 double, x1 double, y1 double")
+    found = C.placed_entries(frame, spark.createDataFrame(items, kind)).collect()
+    assert {r.entry: told(r.how, r.page, r.x0, r.y0, r.x1, r.y1) for r in found} == {k: told(*row) for k, row in expected.items()}
+    assert [expected[k][0] for k in range(1, 6)] == ["title", "number", "none", "number", "none"]
+
+
+@pytest.mark.parametrize(("text", "number", "rest"), [("5", 5, ""), ("5 a b", 5, "a b"), ("a  b 5", 5, "a b"), ("55 a", 5, None), ("a", None, None)])
+def test_numbers_at_the_ends(spark, text, number, rest):
+    df = spark.createDataFrame([(text, number)], "t string, n int")
+    assert df.select(C.without_number(df["t"], df["n"])).first()[0] == rest
+
+
+def test_printed_letters(spark):
+    df = spark.createDataFrame([("Straße: “Ein ﬁnales” Kino-\nDrama 2!",)], "t string")
+    assert df.select(C.letters(df["t"])).first()[0] == "strasseeinfinaleskinodrama2" == re.sub(r"\W", "", "strasseeinfinaleskinodrama2")
