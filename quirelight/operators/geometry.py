@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirelight.sources.folders import cut_lineage
+
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -172,31 +174,53 @@ def bounds_after(matrix: Column) -> Column:
     return F.struct(F.least(*across).alias("left"), F.least(*down).alias("top"), F.greatest(*across).alias("right"), F.greatest(*down).alias("bottom"))
 
 
-def first_of_alike(df: DataFrame, id_col: str, group: str, vector: str, bound: float, block: int = 512) -> DataFrame:
-    """(id, kept): a row goes if an earlier one of its group differs by a root mean square below the bound.
+def first_of_alike(df: DataFrame, id_col: str, group: str, vector: str, bound: float, shape: str, leeway: float, block: int = 512) -> DataFrame:
+    """(id, first): of a group's rows in the order of their ids, a row goes to the first one that was kept and is like it; kept rows have no `first`.
 
-    Rows are cut into pieces by their id; every pair of pieces of a group is a cell, and a cell yields only
-    the ids that go.
+    Two rows are alike if the root mean square of their vectors' difference is below the bound and their shapes differ by no more than that share of the larger.
+    Being like a row that went itself counts for nothing, so verdicts come in rounds: a row stays once no earlier row like it may still stay, and goes once one does.
+    Rows with equal vectors and shapes are one, that of the first.  The others are cut into pieces by their id; every pair of pieces of a group is a cell, and a
+    cell yields the pairs that are alike.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(vector).alias("e"))
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
-    cut = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(vector).alias("e"), F.col(shape).alias("shape"))
+    same = cut_lineage(rows.groupBy("grp", "e", "shape").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    sizes = same.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    cut = same.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "e")
+    cells = cells.select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "e", "shape")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        e = np.stack(pdf["e"].to_numpy())
+        e, shapes, ids = np.stack(pdf["e"].to_numpy()), pdf["shape"].to_numpy(), pdf["id"].to_numpy()
         square = (e * e).sum(axis=1)
-        gone = np.zeros(len(e), bool)
+        out = []
         for at in range(0, len(e), block):
             apart = square[at : at + block, None] + square[None, :] - 2 * e[at : at + block] @ e.T
             earlier = np.arange(len(e))[None, :] < np.arange(at, min(at + block, len(e)))[:, None]
             near = earlier & (apart < bound * bound * e.shape[1] + 1e-6)
-            for i, j in np.argwhere(near):  # near ones are weighed exactly
-                gone[at + i] |= np.sqrt(((e[at + i] - e[j]) ** 2).sum() / e.shape[1]) < bound
-        return pd.DataFrame({"id": pdf["id"].to_numpy()[gone]})
-
-    out = cells.groupBy("grp", "p", "q").applyInPandas(judge, f"id {kind}").distinct().withColumn("gone", F.lit(True))
-    return rows.select("id").join(out, "id", "left").select(F.col("id").alias(id_col), F.col("gone").isNull().alias("kept"))
+            near &= np.abs(shapes[at : at + block, None] - shapes[None, :]) <= leeway * np.maximum(shapes[at : at + block, None], shapes[None, :])
+            i, j = np.nonzero(near)  # near ones are weighed exactly
+            close = np.sqrt(((e[at + i] - e[j]) ** 2).sum(axis=1) / e.shape[1]) < bound
+            out.append(np.stack([ids[at + i[close]], ids[j[close]]]))
+        pairs = np.concatenate(out, axis=1)
+        return pd.DataFrame({"id": pairs[0], "earlier": pairs[1]})
+
+    pairs = cut_lineage(cells.groupBy("grp", "p", "q").applyInPandas(judge, f"id {kind}, earlier {kind}").distinct())
+    stays = same.select("id").join(pairs, "id", "left_anti")  # those without an earlier one like them
+    gone, left = None, pairs
+    while not left.isEmpty():
+        stays = cut_lineage(stays)
+        new = left.join(stays.select(F.col("id").alias("earlier")), "earlier", "left_semi").groupBy("id").agg(F.min("earlier").alias("first"))
+        gone = cut_lineage(new if gone is None else gone.unionByName(new))
+        # a row that went keeps no other from staying
+        left = left.join(gone.select("id"), "id", "left_anti").join(gone.select(F.col("id").alias("earlier")), "earlier", "left_anti")
+        left = cut_lineage(left)
+        decided = stays.select("id").unionByName(gone.select("id"))
+        stays = stays.unionByName(same.select("id").join(decided, "id", "left_anti").join(left.select("id"), "id", "left_anti"))
+    # the first kept one like a row, not the first that was found
+    if gone is not None:
+        gone = pairs.join(gone.select("id"), "id", "left_semi").join(stays.select(F.col("id").alias("earlier")), "earlier", "left_semi").groupBy("id").agg(F.min("earlier").alias("first"))
+    copies = rows.join(same.withColumnRenamed("id", "_one"), ["grp", "e", "shape"]).select("id", "_one")
+    firsts = copies.join(gone.withColumnRenamed("id", "_one"), "_one", "left") if gone is not None else copies.withColumn("first", F.lit(None).cast(kind))
+    return firsts.select(F.col("id").alias(id_col), F.coalesce("first", F.when(F.col("id") != F.col("_one"), F.col("_one"))).alias("first"))

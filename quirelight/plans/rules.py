@@ -19,15 +19,15 @@ def _pick(key: Column, *choices: Column | str) -> Column:
 
 
 @query(
-    r"""WITH a AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '  ' || c_name || '@Shop.Example ' WHEN 1 THEN 'a@b.c' WHEN 2 THEN replace(c_name, '#', '.') || '@mail.example.org'
+    r"""WITH a AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN chr(9) || ' ' || c_name || '@Shop.Example' || chr(10) WHEN 1 THEN 'a@b.c' WHEN 2 THEN replace(c_name, '#', '.') || '@mail.example.org'
       WHEN 3 THEN 'two words@x.example' WHEN 4 THEN repeat('x', 250) || '@y.example' END AS typed FROM customer)
-    SELECT c_custkey, lower(trim(coalesce(typed, ''))) AS address,
-      length(coalesce(trim(typed), '')) BETWEEN 6 AND 254 AND regexp_full_match(lower(trim(coalesce(typed, ''))), '[^\s@<>()",;:\\\[\]]+@[^\s@<>()",;:\\\[\]]+\.[a-z]{2,}') AS plausible FROM a"""
+    SELECT c_custkey, lower(trim(coalesce(typed, ''), ' ' || chr(9) || chr(10))) AS address,
+      length(coalesce(trim(typed, ' ' || chr(9) || chr(10)), '')) BETWEEN 6 AND 254 AND regexp_full_match(lower(trim(coalesce(typed, ''), ' ' || chr(9) || chr(10))), '[^\s@<>()",;:\\\[\]]+@[^\s@<>()",;:\\\[\]]+\.[a-z]{2,}') AS plausible FROM a"""
 )
 def plausible_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as typed, in their normal form, and whether a letter could reach them. FLT-10, TXT-41"""
     name = F.col("c_name")
-    typed = _pick(F.col("c_custkey"), F.concat(F.lit("  "), name, F.lit("@Shop.Example ")), "a@b.c", F.concat(F.replace(name, F.lit("#"), F.lit(".")), F.lit("@mail.example.org")), "two words@x.example", "x" * 250 + "@y.example", F.lit(None).cast("string"))
+    typed = _pick(F.col("c_custkey"), F.concat(F.lit("\t "), name, F.lit("@Shop.Example\n")), "a@b.c", F.concat(F.replace(name, F.lit("#"), F.lit(".")), F.lit("@mail.example.org")), "two words@x.example", "x" * 250 + "@y.example", F.lit(None).cast("string"))
     address = T.normal_email(typed)
     return read(spark, sf_dir, "customer").select("c_custkey", address.alias("address"), S.is_plausible_address(address).alias("plausible"))
 
@@ -90,8 +90,8 @@ def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x != '') AS lines FROM documents),
     q AS (SELECT doc_id, list_transform(lines, lambda x: array_to_string(string_split(x, ' ')[1:12], ' ')) AS queries FROM l),
-    k AS (SELECT doc_id, list_filter(queries, lambda x: length(regexp_replace(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy').replace('ß', 'ss'), '[^a-z0-9]', '', 'g')) >= 6
-      AND (len(regexp_extract_all(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy').replace('ß', 'ss'), '[a-z0-9]+')) >= 2 OR length(regexp_replace(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy').replace('ß', 'ss'), '[^a-z0-9]', '', 'g')) >= 8)) AS good FROM q)
+    k AS (SELECT doc_id, list_filter(queries, lambda x: length(regexp_replace(strip_accents(lower(x)).replace('ß', 'ss'), '[^a-z0-9]', '', 'g')) >= 6
+      AND (len(regexp_extract_all(strip_accents(lower(x)).replace('ß', 'ss'), '[a-z0-9]+')) >= 2 OR length(regexp_replace(strip_accents(lower(x)).replace('ß', 'ss'), '[^a-z0-9]', '', 'g')) >= 8)) AS good FROM q)
     SELECT doc_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(good), lambda x: {'at': list_position(good, x), 'q': x}))[1:6], lambda x: x.q), '|'), '') AS queries FROM k WHERE good IS NOT NULL"""
 )
 def line_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +174,9 @@ def marked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Bestellung: nur 1.234,50 € frei Haus' WHEN 1 THEN 'EUR ' || p_size || ',–' WHEN 2 THEN p_size || ',95 Euro, Art. 10' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 3 THEN 'kostenlos' ELSE p_size || ' €' END AS text FROM part),
-    m AS (SELECT p_partkey, regexp_extract(text, '(?:€|EUR)\s*([0-9.]+),([0-9][0-9]|[-–])', ['e', 'c']) AS a, regexp_extract(text, '([0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+),([0-9][0-9]|[-–])\s*(?:€|EUR|Euro)', ['e', 'c']) AS b FROM t),
+    r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Bestellung: nur 1.234,50 € frei Haus' WHEN 1 THEN 'EUR ' || p_size || ',–' WHEN 2 THEN p_size || ',95 Euro, Art. 10' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 3 THEN 'kostenlos'
+      WHEN 4 THEN 'geb., t ' || p_size || ',80' WHEN 5 THEN 'statt 1234,50 € € ' || p_size || ',—' WHEN 6 THEN 'mit ' || p_size || ',50  € und ' || p_size || ',-EUR' ELSE p_size || ' €' END AS text FROM part),
+    m AS (SELECT p_partkey, regexp_extract(text, '(?:€|EUR|(?:^|[^A-Za-zÄÖÜäöüß])t)\s?(\d{1,3}(?:\.\d{3})*),(\d{2}|[–—-])', ['e', 'c']) AS a, regexp_extract(text, '(\d{1,3}(?:\.\d{3})*),(\d{2}|[–—-])\s?(?:€|EUR)', ['e', 'c']) AS b FROM t),
     p AS (SELECT p_partkey, CASE WHEN a.e != '' THEN a ELSE b END AS p FROM m)
     SELECT p_partkey, CASE WHEN p.e != '' THEN CAST(replace(p.e, '.', '') AS BIGINT) * 100 + coalesce(TRY_CAST(p.c AS BIGINT), 0) END AS cents FROM p"""
 )
@@ -183,19 +184,22 @@ def printed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first price of a text in its printed form, in cents. TXT-18"""
     size = F.col("p_size").cast("string")
     article = F.concat(size, F.lit(",95 Euro, Art. 10"), F.lpad(size, 3, "0"))
-    text = _pick(F.col("p_partkey"), "Bestellung: nur 1.234,50 € frei Haus", F.concat(F.lit("EUR "), size, F.lit(",–")), article, "kostenlos", F.concat(size, F.lit(" €")))
+    typeset = F.concat(F.lit("geb., t "), size, F.lit(",80"))
+    two = F.concat(F.lit("statt 1234,50 € € "), size, F.lit(",—"))
+    wide = F.concat(F.lit("mit "), size, F.lit(",50  € und "), size, F.lit(",-EUR"))
+    text = _pick(F.col("p_partkey"), "Bestellung: nur 1.234,50 € frei Haus", F.concat(F.lit("EUR "), size, F.lit(",–")), article, "kostenlos", typeset, two, wide, F.concat(size, F.lit(" €")))
     return read(spark, sf_dir, "part").select("p_partkey", T.price_cents(text).alias("cents"))
 
 
 @query(
-    r"""WITH s AS (SELECT p_partkey, left(regexp_replace(regexp_replace(translate(lower(p_brand || ' Größe É ' || p_name), 'éàçñô', 'eacno').replace('ä', 'ae').replace('ö', 'oe').replace('ü', 'ue').replace('ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80) AS slug,
+    r"""WITH s AS (SELECT p_partkey, left(regexp_replace(regexp_replace(strip_accents(lower(p_brand || ' Größe É Žižek Čapek ' || p_name).replace('ä', 'ae').replace('ö', 'oe').replace('ü', 'ue').replace('ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80) AS slug,
       left(regexp_replace(regexp_replace(upper('ü' || replace(p_brand, '#', '-') || p_type).replace('Ü', 'UE'), '[^A-Z0-9-]+', '', 'g'), '^-+|-+$', '', 'g'), 20) AS code, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 100 || '/20' || p_size % 10 + 10 END AS number FROM part)
     SELECT p_partkey, slug, code, code || '-' || coalesce(nullif(regexp_replace(regexp_replace(upper(coalesce(number, '')), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), right('00000' || p_partkey, 6)) || '-DIGITAL' AS sku FROM s"""
 )
 def shop_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs, codes of series and article numbers that are made of names; without a number, of the end of the id. TXT-38, TXT-39, TXT-40"""
     key = F.col("p_partkey")
-    slug = S.long_slug(F.concat_ws(" ", "p_brand", F.lit("Größe É"), "p_name"))
+    slug = S.long_slug(F.concat_ws(" ", "p_brand", F.lit("Größe É Žižek Čapek"), "p_name"))
     code = S.series_code(F.concat(F.lit("ü"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.col("p_type")))
     number = F.when(key % 3 > 0, F.concat((key % 100).cast("string"), F.lit("/20"), (F.col("p_size") % 10 + 10).cast("string")))
     tail = F.right(F.concat(F.lit("00000"), key.cast("string")), F.lit(6))
@@ -285,7 +289,7 @@ def issue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH l AS (SELECT item_id, (item_id % 90) || ' ' || upper(left(text, 1)) || ' ' || lower(text[2:60]) AS line FROM benchmark)
     SELECT item_id, CASE WHEN regexp_matches(line, '^([0-9]{1,3}\s+)?[A-ZÄÖÜ]\s+[a-zäöüß]') THEN regexp_replace(line, '^([0-9]{1,3}\s+)?([A-ZÄÖÜ])\s+', '\2') ELSE line END AS glued,
-      regexp_replace(translate(lower(line), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^a-z0-9]+', '', 'g') AS compared FROM l"""
+      regexp_replace(strip_accents(lower(line)), '[^a-z0-9]+', '', 'g') AS compared FROM l"""
 )
 def dropcap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their initial put back to its word, and the form in which they are compared. TXT-02, TXT-04"""

@@ -60,18 +60,25 @@ def frames_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS ({_BOXES}), c AS (SELECT * FROM b WHERE id % 4 = 0), p AS (SELECT * FROM b WHERE id % 4 != 0),
-    m AS (SELECT c.page, c.id AS caption, p.id AS picture, c.y0 - p.y1 AS gap FROM c JOIN p ON c.page = p.page AND c.y0 >= p.y1 AND c.y0 - p.y1 <= 0.15 AND least(c.x1, p.x1) > greatest(c.x0, p.x0)),
-    n AS (SELECT *, row_number() OVER (PARTITION BY page, caption ORDER BY gap, picture) AS k FROM m), f AS (SELECT *, row_number() OVER (PARTITION BY page, picture ORDER BY gap, caption) AS j FROM n WHERE k = 1)
-    SELECT page, caption, picture FROM f WHERE j = 1"""
+    f"""WITH b AS (SELECT b.*, CASE WHEN id % 28 = 0 THEN 'Foto: ' ELSE '' END || p_name AS text FROM ({_BOXES}) b JOIN part ON id = p_partkey), c AS (SELECT * FROM b WHERE id % 4 = 0), p AS (SELECT * FROM b WHERE id % 4 != 0),
+    m AS (SELECT c.page, c.id AS caption, c.text, p.id AS picture, c.y0 - p.y1 AS gap FROM c JOIN p ON c.page = p.page AND c.y0 - p.y1 BETWEEN -0.012 AND 0.055 AND least(c.x1, p.x1) - greatest(c.x0, p.x0) >= 0.5 * greatest(p.x1 - p.x0, 1e-6) AND c.x1 - c.x0 <= 1.6 * greatest(p.x1 - p.x0, 1e-6)),
+    n AS (SELECT page, caption, text, min(picture) AS met, arg_min(picture, (gap, picture)) AS picture FROM m GROUP BY ALL)
+    SELECT page, picture, arg_min(caption, (met, caption)) AS caption, left(arg_min(text, (met, caption)), 400) AS text FROM n WHERE NOT regexp_matches(lower(trim(text)), '^(fotos?|bild|grafik):') GROUP BY page, picture"""
 )
 def captions_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions and the nearest picture above them in their column; of several, a picture takes the nearest. JOIN-19"""
+    """Captions under pictures: close below, under at least half of the picture's width and no wider than 1.6 times it.
+
+    A caption goes to the nearest such picture; of several, a picture has the one that met a picture first; lines that name a photographer are no captions. JOIN-19
+    """
+    name = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a_id"), F.concat(F.when(F.col("p_partkey") % 28 == 0, "Foto: ").otherwise(""), F.col("p_name")).alias("text"))
     own = boxes(spark, sf_dir)
     pairs = G.box_pairs(own.filter("id % 4 = 0"), own.filter("id % 4 != 0"), "page", "id").withColumn("gap", F.col("a_y0") - F.col("b_y1"))
-    near = pairs.filter((F.col("gap") >= 0) & (F.col("gap") <= 0.15) & (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")))
-    picked = near.groupBy("page", F.col("a_id").alias("caption")).agg(F.min(F.struct("gap", "b_id")).alias("best")).select("page", "caption", "best.gap", F.col("best.b_id").alias("picture"))
-    return picked.groupBy("page", "picture").agg(F.min(F.struct("gap", "caption")).alias("best")).select("page", "best.caption", "picture")
+    wide = F.greatest(F.col("b_x1") - F.col("b_x0"), F.lit(1e-6))
+    fits = F.col("gap").between(-0.012, 0.055) & (F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0") >= 0.5 * wide) & (F.col("a_x1") - F.col("a_x0") <= 1.6 * wide)
+    met = pairs.filter(fits).groupBy("page", "a_id").agg(F.min("b_id").alias("met"), F.min_by("b_id", F.struct("gap", "b_id")).alias("picture")).join(name, "a_id")
+    told = met.filter(~F.regexp_like(F.lower(F.trim("text")), F.lit("^(fotos?|bild|grafik):")))
+    best = told.groupBy("page", "picture").agg(F.min(F.struct("met", F.col("a_id").alias("caption"), "text")).alias("best"))
+    return best.select("page", "picture", "best.caption", F.left("best.text", F.lit(400)).alias("text"))
 
 
 @query(
@@ -90,15 +97,15 @@ def line_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH b AS (SELECT id // 200 AS book, page, round(x0, 2) AS x0, round(y0, 2) AS y0, round(x1, 2) AS x1, round(y1, 2) AS y1, id FROM ({_BOXES})), p AS (SELECT book, count(DISTINCT page) AS n_pages FROM b GROUP BY book),
-    r AS (SELECT book, x0, y0, x1, y1, count(DISTINCT page) AS pages FROM b GROUP BY ALL) SELECT b.id, b.book FROM b JOIN p USING (book) JOIN r USING (book, x0, y0, x1, y1) WHERE pages < greatest(3, n_pages * 0.25)"""
+    r AS (SELECT book, x0, y0, x1, y1, count(DISTINCT page) AS pages FROM b GROUP BY ALL) SELECT b.id, b.book FROM b JOIN p USING (book) JOIN r USING (book, x0, y0, x1, y1) WHERE pages < greatest(4, CAST(floor(n_pages * 0.25) AS BIGINT))"""
 )
 def frames_that_do_not_recur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames but for those that stand in the same place on a quarter of the pages, three at least. AGG-15"""
+    """Frames but for those that stand in the same place on a quarter of the pages, rounded down, and on four at least. AGG-15"""
     rounded = [F.round(c, 2).alias(c) for c in G.BOX]
     frames = boxes(spark, sf_dir).select("id", F.floor(F.col("id") / 200).alias("book"), "page", *rounded)
     pages = frames.groupBy("book").agg(F.count_distinct("page").alias("n_pages"))
     places = frames.groupBy("book", *G.BOX).agg(F.count_distinct("page").alias("pages")).join(pages, "book")
-    recurring = places.filter(F.col("pages") >= F.greatest(F.lit(3.0), F.col("n_pages") * 0.25))
+    recurring = places.filter(F.col("pages") >= F.greatest(F.lit(4), F.floor(F.col("n_pages") * 0.25)))
     return frames.join(recurring, ["book", *G.BOX], "left_anti").select("id", "book")
 
 
@@ -230,14 +237,19 @@ def transformed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: pow(a.e[i]::DOUBLE - b.e[i]::DOUBLE, 2))) / len(a.e)) AS rms FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
-    SELECT vec_id, NOT EXISTS (SELECT 1 FROM p WHERE b_id = vec_id AND rms < 0.1) AS kept FROM v"""
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, 1 + CAST(vec_id % 3 AS DOUBLE) * 0.02 AS aspect, CASE WHEN vec_id % 4 > 0 THEN 'caption ' || vec_id END AS caption, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+    walk AS (SELECT label, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS first, [struct_pack(id := CAST(NULL AS BIGINT), e := CAST([] AS DOUBLE[]), aspect := CAST(0 AS DOUBLE))][2:] AS kept FROM v GROUP BY label
+      UNION ALL SELECT label, k, vec_id, first, CASE WHEN first IS NULL THEN list_append(kept, struct_pack(id := vec_id, e := e, aspect := aspect)) ELSE kept END FROM
+      (SELECT v.label, v.k, v.vec_id, v.e, v.aspect, w.kept, list_filter(w.kept, lambda x: abs(x.aspect - v.aspect) <= 0.03 * greatest(x.aspect, v.aspect) AND list_distance(x.e, v.e) / sqrt(len(v.e)) < 0.1)[1].id AS first FROM walk w JOIN v ON v.label = w.label AND v.k = w.k + 1)),
+    j AS (SELECT walk.vec_id, first, caption FROM walk JOIN v USING (vec_id)), more AS (SELECT first, arg_min(caption, vec_id) FILTER (caption IS NOT NULL) AS caption FROM j WHERE first IS NOT NULL GROUP BY first)
+    SELECT j.vec_id, j.first IS NULL AS kept, CASE WHEN j.first IS NULL THEN coalesce(j.caption, more.caption) END AS caption FROM j LEFT JOIN more ON more.first = j.vec_id"""
 )
 def first_of_alike_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the pictures of an article that hardly differ (root mean square below a bound), the first stays. GEO-22, SET-11
-
-    Vectors of an article are compared in blocks with matrix products, and only the verdicts leave the task:
-    blocks of earlier pictures meet each block of later ones, so that no article is one task.
-    """
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    return G.first_of_alike(vectors, "vec_id", "label", "e", 0.1)
+    """The pictures of an article without those that hardly differ from one kept before, in shape and by the root mean square of their fingerprints; what these were captioned goes to the kept one. GEO-22, SET-11"""
+    key = F.col("vec_id")
+    rows = read(spark, sf_dir, "embeddings").select(key, "label", F.col("embedding").cast("array<double>").alias("e"), (1 + (key % 3).cast("double") * 0.02).alias("aspect"), F.when(key % 4 > 0, F.concat(F.lit("caption "), key.cast("string"))).alias("caption"))
+    alike = G.first_of_alike(rows, "vec_id", "label", "e", 0.1, "aspect", 0.03)
+    joined = rows.join(alike, "vec_id")
+    more = joined.filter("first IS NOT NULL AND caption IS NOT NULL").groupBy(F.col("first").alias("vec_id")).agg(F.min_by("caption", "vec_id").alias("more"))
+    kept = F.col("first").isNull()
+    return joined.join(more, "vec_id", "left").select("vec_id", kept.alias("kept"), F.when(kept, F.coalesce("caption", "more")).alias("caption"))

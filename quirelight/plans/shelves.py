@@ -84,14 +84,15 @@ def readable_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH i AS ({_ISSUES}), g AS (SELECT DISTINCT reader, issue FROM ({_GRANTS})), p AS (SELECT user_id AS reader, CAST(json_extract(props, '$.k') AS BIGINT) AS issue, max(ts) AS read_at, arg_max(value, (ts, event_id)) AS page FROM events WHERE event_type = 'view' GROUP BY ALL)
+    f"""WITH i AS ({_ISSUES}), s AS ({_SUBS}), g AS (SELECT reader, issue FROM ({_GRANTS}) WHERE coalesce(valid_from <= TIMESTAMP '{_NOW}', true) AND coalesce(valid_until > TIMESTAMP '{_NOW}', true) AND reader % 500 != 0
+      UNION SELECT reader, issue FROM s JOIN i USING (publication) WHERE valid_from <= TIMESTAMP '{_NOW}' AND valid_until > TIMESTAMP '{_NOW}' AND NOT revoked AND published AND included AND reader % 500 != 0), p AS (SELECT user_id AS reader, CAST(json_extract(props, '$.k') AS BIGINT) AS issue, max(ts) AS read_at, arg_max(value, (ts, event_id)) AS page FROM events WHERE event_type = 'view' GROUP BY ALL)
     SELECT g.reader, g.issue, title, read_at, page, row_number() OVER (PARTITION BY g.reader ORDER BY read_at DESC NULLS LAST, g.issue) AS place FROM g JOIN i ON i.issue = g.issue AND published LEFT JOIN p ON p.reader = g.reader AND p.issue = g.issue"""
 )
 def own_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published issues that a reader has, those last read first. JOIN-03, SRC-02"""
+    """The published issues that a reader may read by now, by a valid grant or a running subscription, those last read first; editors, who may read all, have no shelf. JOIN-03, SRC-02"""
     seen = read(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("reader"), F.get_json_object("props", "$.k").cast("long").alias("issue"), "ts", "event_id", "value")
     seen = seen.groupBy("reader", "issue").agg(F.max("ts").alias("read_at"), F.max_by("value", F.struct("ts", "event_id")).alias("page"))
-    held = grants(spark, sf_dir).select("reader", "issue").distinct().join(issues(spark, sf_dir).filter("published").select("issue", "title"), "issue").join(seen, ["reader", "issue"], "left")
+    held = readable_issues(spark, sf_dir).filter("issue IS NOT NULL").join(issues(spark, sf_dir).filter("published").select("issue", "title"), "issue").join(seen, ["reader", "issue"], "left")
     place = F.row_number().over(Window.partitionBy("reader").orderBy(F.desc_nulls_last("read_at"), "issue"))
     return held.select("reader", "issue", "title", "read_at", "page", place.cast("long").alias("place"))
 
