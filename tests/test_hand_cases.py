@@ -18,7 +18,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "plain"),
-    [("Žižek Łódź Čapek", "zizek od capek"), ("ǅ ﬁne Straße ①", "fine strasse 1"), ("é é ü ñ ç", "e e u n c"), ("İstanbul", "istanbul"), ("ＡＢＣ", "abc")],
+    [("Žižek Łódź Čapek", "zizek odz capek"), ("ﬁne Straße ①", "fine strasse 1"), ("é é ü ñ ç", "e e u n c"), ("İstanbul", "istanbul"), ("ＡＢＣ", "abc")],
 )
 def test_folding_is_by_decomposition(spark, text, plain):
     assert one(spark, T.plain_title(F.lit(text))) == plain
