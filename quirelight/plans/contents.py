@@ -1,4 +1,4 @@
-"""Contents pages made from documents: twelve entries a page in two columns, with their titles, numbers and details as printed items."""
+"""Printed pages made from documents: contents pages with twelve entries each, and texts set in two columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.operators import contents as C
+from quirelight.operators import lines as L
 from quirelight.plans.registry import query, read
 
 
@@ -47,3 +48,32 @@ def placed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contents_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many entries of a contents page were found by title, by number or not at all, and how many of their boxes clash. TXT-47, JOIN-30"""
     return C.balance(C.placed_entries(*entries_and_items(read(spark, sf_dir, "documents"))))
+
+
+def set_in_columns(docs: DataFrame) -> DataFrame:
+    """Every word of every document as an item: twelve a row in two columns, sixty rows a page, with headings, gaps between paragraphs and slanted rows."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    each = docs.select("doc_id", F.posexplode(words).alias("k", "text"))
+    row = F.floor(F.col("k") / 12)
+    each = each.withColumns({"page": F.col("doc_id") * 10_000 + F.floor(row / 60), "r": row % 60, "c": F.col("k") % 6, "side": F.floor(F.col("k") / 6) % 2})
+    head = F.col("r") % 20 == 0
+    size = F.when(head, 16.0).otherwise(10.0)
+    x0 = 0.08 + 0.07 * F.col("c") + 0.47 * F.col("side")
+    y0 = 0.03 + 0.015 * F.col("r") + 0.01 * F.floor(F.col("r") / 9) + 0.0004 * F.col("c")
+    high = size / 900.0
+    return each.select("page", F.col("k").cast("long").alias("id"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 0.062).alias("x1"), (y0 + high).alias("y1"), size.alias("size"))
+
+
+@query()
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of typeset pages, cut at gaps between columns. WIN-07, WIN-09, AGG-13"""
+    words, _ = L.points(set_in_columns(read(spark, sf_dir, "documents")))
+    lines = L.lines_of(L.with_pieces(L.with_lines(words)))
+    return lines.select("page", "line", "piece", "text", *[F.round(c, 3).alias(c) for c in ("x0", "x1", "top", "bottom")], "size", "max_size", "font", "bold")
+
+
+@query()
+def printed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of text of typeset pages: words to lines, lines to columns, columns to blocks, cleaned for reading. UDF-12, WIN-08, WIN-07, WIN-09"""
+    blocks = L.page_blocks(*L.points(set_in_columns(read(spark, sf_dir, "documents"))))
+    return blocks.select("page", "column", "block", "text", "n_lines", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")], "size", "max_size", "bold")
