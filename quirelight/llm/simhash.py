@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirelight.llm.common import cut_lineage, shuffle_width
 from quirelight.llm.components import component_roots
@@ -40,9 +41,9 @@ _BLOCK = 8192
 _MEMO = 300_000
 #: Shingles a side that a comparison of whole sets holds on average.
 _CELL = 1 << 19
-#: Words of 64 bits in the bitmap of a text's shingles.
+#: Words of 64 bits in the bitmap of a text's shingles, at least.
 _BITMAP = 16
-#: Bytes of wanted nodes up to which they are broadcast; beyond it, they are joined by a shuffle.
+#: Bytes of wanted rows up to which they are broadcast; beyond it, they are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -263,7 +264,7 @@ def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, de
         for table, bounds in _whole_cells(batches, ("part", "cell")):
             node, root, n, part = (table.column(c).to_numpy() for c in ("node", "root", "n", "part"))
             fp = table.column("fp").to_numpy().view(np.uint64)
-            bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            bits = table.column("bits").combine_chunks()
             one, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("one", "other"))
             found, full = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -276,11 +277,10 @@ def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, de
                     a, b = np.searchsorted(sizes, [math.ceil(similarity * n[block[0]] - 1e-9), math.floor(n[block[-1]] / similarity + 1e-9) + 1])
                     i, j = np.nonzero(np.bitwise_count(fp[block][:, None] ^ fp[second[a:b]][None, :]) <= radius)
                     i, j = block[i], second[a:b][j]
-                    apart = root[i] != root[j]
+                    apart = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
                     i, j = i[apart], j[apart]
                     # every shingle that only one of them has changes one bit at most
-                    odd = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                    near = odd <= share * (n[i] + n[j]) + 1e-9
+                    near = _odd_bits(bits, i, j) <= share * (n[i] + n[j]) + 1e-9
                     own.append((i[near], j[near]))
                     count += int(near.sum())
                     if count > dense * (hi - lo):
@@ -301,25 +301,26 @@ def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, de
     return cells.mapInArrow(run, "a bigint, b bigint, part bigint")
 
 
-def _like_sets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): nodes whose links join all of a part whose sets are alike, from (part, node, root, n) and (node, own); nodes of one root are joined already.
+def _like_sets(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): nodes whose links join all of a part whose sets are alike, from (part, node, root, n) and (node, text); nodes of one root are joined already.
 
-    Inside a comparison, lists of who has each shingle give the size of the intersection of one set with all others.
+    Inside a comparison, lists of who has each shingle give the size of the intersection of one set with all others.  Texts are carried, as they are
+    smaller than their shingles.
     """
-    cells = _dealt(cut_lineage(_against_others(members, F.greatest(F.col("n") / _CELL, F.lit(1.0 / 2048)))).join(sets, "node"))
+    cells = _dealt(cut_lineage(_against_others(members, F.greatest(F.col("n") / _CELL, F.lit(1.0 / 2048)))).join(texts, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Shingles(shingle)
         for table, bounds in _whole_cells(batches, ("part", "cell")):
             node, root = (table.column(c).to_numpy() for c in ("node", "root"))
             one = table.column("one").to_numpy(zero_copy_only=False)
-            own, out = table.column("own").combine_chunks(), []
-            own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
-            ends, shingles = own.offsets.to_numpy(), own.values.to_numpy()
+            text, out = table.column("text"), []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 _, first, of_root = np.unique(root[lo:hi], return_index=True, return_inverse=True)
                 if len(first) > 1:
-                    at = ends[lo : hi + 1].astype(np.int64)
-                    found = _like(shingles[at[0] : at[-1]], at - at[0], first[of_root], int(np.count_nonzero(one[lo:hi])), similarity)
+                    own = [np.unique(hashes.of(text[k].as_py())) for k in range(lo, hi)]
+                    at = np.cumsum([0, *map(len, own)])
+                    found = _like(np.concatenate(own), at, first[of_root], int(np.count_nonzero(one[lo:hi])), similarity)
                     out += [(i + lo, j + lo) for i, j in found]
             if out:
                 pairs = np.sort(np.stack([node[np.concatenate([x[k] for x in out])] for k in (0, 1)]), axis=0)
@@ -328,6 +329,31 @@ def _like_sets(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
+def _alike_in_stars(rays: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs of a star's centre with its rays whose sets of shingles are alike, from (star, centre, node, text); a star's text of the centre comes once.
+
+    A star is read as a stream, its centre first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, star, middle, heart = _Shingles(shingle), None, None, None
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for key, centre, node, text in zip(*(batch.column(c).to_pylist() for c in ("star", "centre", "node")), batch.column("text"), strict=True):
+                if centre:
+                    star, middle, heart = key, node, np.unique(hashes.of(text.as_py()))
+                elif star == key:
+                    own = np.unique(hashes.of(text.as_py()))
+                    common = len(own) + len(heart) - len(np.union1d(own, heart))
+                    if common >= similarity * (len(own) + len(heart) - common) - 1e-9:
+                        out[0].append(min(node, middle))
+                        out[1].append(max(node, middle))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    dealt = rays.repartition(shuffle_width(rays.sparkSession), "star").sortWithinPartitions("star", F.desc("centre"), "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def _like(shingles: np.ndarray, at: np.ndarray, label: np.ndarray, rows: int, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join sets by their similarity where their labels differ: set i is shingles[at[i]:at[i+1]]; the first `rows` sets meet all."""
     sizes, out = np.diff(at), []
@@ -410,13 +436,35 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(own: np.ndarray, words: int = _BITMAP) -> np.ndarray:
-    """64 * words bits: whether an odd number of shingles fell on each."""
+def _bitmap(own: np.ndarray, least: int = _BITMAP) -> np.ndarray:
+    """Whether an odd number of shingles fell on each bit; at least as many bits as shingles, and a power of two."""
+    words = max(least, 1 << max(0, (len(own) - 1) // 64).bit_length())
     mixed = (own ^ (own >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     odd = np.bincount((mixed >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _odd_bits(bits: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of rows i and j differ; a longer one is folded first, which gives the bitmap of that length."""
+    bits = bits.combine_chunks() if isinstance(bits, pa.ChunkedArray) else bits
+    flat, ends = bits.values.to_numpy().view(np.uint64), bits.offsets.to_numpy().astype(np.int64)
+    words = np.diff(ends)
+    found, width = np.zeros(len(i), np.int64), np.minimum(words[i], words[j])
+    for w in np.unique(width):
+        pairs = np.flatnonzero(width == w)
+        rows, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        folded = np.empty((len(rows), w), np.uint64)
+        same = words[rows] == w
+        folded[same] = flat[ends[rows[same]][:, None] + np.arange(w)]
+        for k in np.flatnonzero(~same):
+            folded[k] = np.bitwise_xor.reduce(flat[ends[rows[k]] : ends[rows[k] + 1]].reshape(-1, w), axis=0)
+        for lo in range(0, len(pairs), 65536):
+            part = slice(lo, lo + 65536)
+            one, two = at[: len(pairs)][part], at[len(pairs) :][part]
+            found[pairs[part]] = np.bitwise_count(folded[one] ^ folded[two]).sum(axis=1, dtype=np.int64)
+    return found
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 32, tile: int = 2048, dense: int = 8, buckets: int = 1 << 17
 ) -> DataFrame:
@@ -431,14 +479,14 @@ def similar_documents(
     the bitmaps of their shingles differ in no more bits than shingles may be in one text only.  Size and bitmaps lose no pair.  SimHash bits of a pair of similarity 0.8 differ each with
     a probability of at most 0.1875 (texts of five shingles; 0.162 for longer ones), independently, so over 32 of 64 differ in at most 4 of 10**9 such pairs.
 
-    First every text meets three others, those that it shares most parts with among the least of each part in three random orders, and
-    components of the links that the exact check confirms are joined.  That leaves few parts with several components; there,
+    First every text meets the one that it shares most parts with among the least of each part in a random order, and where a part still has several components, the
+    same in two other orders; components of the links that the exact check confirms are joined.  That leaves few parts with several components; there,
     the texts outside a part's largest component meet all of it in tiles, and the pairs that may be alike go to the exact check.  Where these are over `dense` a text,
     whole sets of shingles are compared inside the tiles instead, which are bounded by their shingles too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = _bucket_counts(rows, shingle, buckets)
+    counts = cut_lineage(_bucket_counts(rows, shingle, buckets))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / buckets
     # of buckets that are fuller than most, how many times: a byte each
     full = counts.filter(F.col("n") > 2 * mean).toArrow()
@@ -464,36 +512,57 @@ def similar_documents(
 
     schema = f"id {kind}, text_hash bigint, key binary, fp bigint, bits array<bigint>, n int, prefix array<bigint>"
     prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
-    same = [F.any_value(c).alias(c) for c in ("fp", "bits", "n", "prefix")]
-    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), *same)
+    same = [F.any_value(c).alias(c) for c in ("fp", "bits", "n")]
+    # one row stands for all with the same shingles; copies of it, id and all, are read once more where they are
+    row = F.min(F.struct("text_hash", F.col("id").alias("row_id"))).alias("row")
+    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), row, *same).select("key", "least", "row.*", *[c for c in ("fp", "bits", "n")])
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    # most shingles are in one text only; the others are a small share, and many of those have the same members
-    members = nodes.select(F.explode("prefix").alias("part"), "node")
-    digests = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"digest_{k}") for k in (0, 1)]
-    several = members.groupBy("part").agg(F.count("*").alias("size"), *digests).filter("size > 1")
-    several = several.groupBy("size", "digest_0", "digest_1").agg(F.min("part").alias("part"))
-    parts = cut_lineage(members.join(several.select("part"), "part", "left_semi"))
     facts = nodes.select("node", "n", "fp", "bits")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Shingles(shingle)
-        for batch in batches:
-            found = [np.unique(hashes.of(t.as_py())).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "own"])
+    def at_rows(table: DataFrame, wanted: DataFrame) -> DataFrame:
+        """table (with id and text_hash) where one of the rows wanted (node, ...) stands, with its columns."""
+        wanted = cut_lineage(wanted.join(nodes.select("node", "row_id", F.col("text_hash").alias("_hash")), "node"))
+        wanted = F.broadcast(wanted) if wanted.count() * 48 <= BROADCAST_BYTES else wanted
+        return table.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("row_id"))).drop("id", "text_hash", "_hash", "row_id")
 
-    def with_sets(wanted: DataFrame) -> DataFrame:
-        """(node, own): the shingles of the nodes, each read from a text that has them."""
-        wanted = cut_lineage(wanted.distinct().join(nodes.select("node", "text_hash"), "node"))
-        wanted = F.broadcast(wanted) if wanted.count() * 32 <= BROADCAST_BYTES else wanted
-        texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash")
-        return cut_lineage(texts.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(sets, "node bigint, own array<bigint>"))
+    texts = rows.withColumn("text_hash", F.xxhash64("text"))
+    # most shingles are in one text only; the others are a small share, and many of those have the same members
+    members = at_rows(prints.select("id", "text_hash", "prefix"), nodes.select("node")).select(F.explode("prefix").alias("part"), "node")
+    size = F.count("*").over(Window.partitionBy("part"))
+    # a row that stands there more than once has its shingles more than once
+    parts = cut_lineage(members.withColumn("size", size).filter("size > 1").select("part", "node").distinct())
+    digests = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"digest_{k}") for k in (0, 1)]
+    several = parts.groupBy("part").agg(F.count("*").alias("size"), *digests).groupBy("size", "digest_0", "digest_1").agg(F.min("part").alias("part"))
+    parts = cut_lineage(parts.join(several.select("part"), "part", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are alike."""
-        own = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        two = pairs.join(own.withColumnsRenamed({"node": "b", "own": "two"}), "b").join(own.withColumnsRenamed({"node": "a", "own": "one"}), "a")
-        common = F.size(F.array_intersect("one", "two"))
-        return cut_lineage(two.filter(common >= similarity * (F.size("one") + F.size("two") - common) - 1e-9).select("a", "b"))
+        """The pairs (node, other) whose sets are alike, as (a, b); each side of a pair is read with its text, in stars of at most some hundred rays round `other`."""
+        sizes = pairs.groupBy("other").agg(F.ceil(F.count("*") / 256).cast("int").alias("k"))
+        dealt = cut_lineage(pairs.join(sizes, "other").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("k"))))
+        star = F.struct("other", "salt").alias("star")
+        rays = dealt.select(star, F.lit(False).alias("centre"), "node").unionByName(dealt.select(star, F.lit(True).alias("centre"), F.col("other").alias("node")).distinct())
+        return cut_lineage(_alike_in_stars(at_rows(texts, rays.select("star.*", "centre", "node")).select(F.concat_ws(":", "other", "salt").alias("star"), "centre", "node", "text"), shingle, similarity).distinct())
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = batch.num_rows, [batch.column(f"{side}_n").to_numpy() for side in ("node", "other")]
+            both = pa.concat_arrays([batch.column("node_bits"), batch.column("other_bits")])
+            near = _odd_bits(both, np.arange(k), np.arange(k, 2 * k)) <= (1 - similarity) / (1 + similarity) * (n[0] + n[1]) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("node", "other")], names=["node", "other"])
+
+    def may_be_alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (node, other) that sizes, fingerprints and bitmaps leave."""
+        for side in ("node", "other"):
+            pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in facts.columns]), side)
+        fits = (F.least("node_n", "other_n") >= similarity * F.greatest("node_n", "other_n") - 1e-9) & (F.bit_count(F.col("node_fp").bitwiseXOR(F.col("other_fp"))) <= radius)
+        return cut_lineage(pairs.filter(fits).select("node", "other", "node_n", "other_n", "node_bits", "other_bits").mapInArrow(weighed, "node bigint, other bigint"))
+
+    def met(members: DataFrame, orders: range) -> DataFrame:
+        """(node, other): of the members (part, node, root), each with those of other roots that are the least, in a random order, of most of its parts."""
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "root")).alias(f"p{k}") for k in orders]
+        each = members.join(members.groupBy("part").agg(*least), "part").select("node", "root", F.posexplode(F.array(*[f"p{k}" for k in orders])).alias("order", "p"))
+        times = each.filter("root != p.root").groupBy("node", "order", F.col("p.node").alias("other")).agg(F.count("*").alias("times"))
+        return times.groupBy("node", "order").agg(F.max_by("other", F.struct("times", "other")).alias("other")).select("node", "other").distinct()
 
     def with_roots(links: DataFrame) -> DataFrame:
         """(part, node, root) of the parts whose members are of several components."""
@@ -501,23 +570,18 @@ def similar_documents(
         mixed = found.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         return cut_lineage(found.join(mixed.select("part"), "part", "left_semi").select("part", "node", "root"))
 
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("node")))["node"].alias(f"p{k}") for k in range(3)]
-    met = parts.join(parts.groupBy("part").agg(*least), "part").select("node", F.posexplode(F.array("p0", "p1", "p2")).alias("order", "other")).filter("node != other")
-    most = met.groupBy("node", "order", "other").agg(F.count("*").alias("times")).groupBy("node", "order").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
-    pairs = most.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in facts.columns]), side)
-    odd = F.expr("aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    fits = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius)
-    fits = fits & (odd <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-9)
-    alike = confirmed(cut_lineage(pairs.filter(fits).select("a", "b")))
+    alike = confirmed(may_be_alike(met(parts.withColumn("root", F.col("node")), range(1))))
+    left = with_roots(alike)
+    alike = cut_lineage(alike.unionByName(confirmed(may_be_alike(met(left, range(1, 3))))))
     left = with_roots(alike)
     found = cut_lineage(_survivors(left.join(facts, "node"), radius, tile, similarity, dense))
-    alike = cut_lineage(alike.unionByName(confirmed(found.filter("part IS NULL").select("a", "b").distinct())))
+    pairs = found.filter("part IS NULL").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct()
+    alike = cut_lineage(alike.unionByName(confirmed(pairs)))
     dense_parts = cut_lineage(found.filter("part IS NOT NULL").select("part").distinct())
     if not dense_parts.isEmpty():
         left = with_roots(alike).join(dense_parts, "part", "left_semi")
-        alike = cut_lineage(alike.unionByName(_like_sets(left.join(facts.select("node", "n"), "node"), with_sets(left.select("node")), similarity)))
+        wanted = at_rows(texts, left.select("node").distinct()).dropDuplicates(["node"])
+        alike = cut_lineage(alike.unionByName(_like_sets(left.join(facts.select("node", "n"), "node"), wanted, shingle, similarity)))
     joined = nodes.select("key", "node", "least").join(component_roots(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     return prints.select("id", "key").join(joined.join(smallest, "root").select("key", "component"), "key").select("id", "component")
