@@ -15,9 +15,12 @@ from quirelight.operators.relational import latest_per
 from quirelight.sources.folders import shared_folder
 
 
-def written(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that the stream gives, with the number of its batch as `batch`."""
-    folder = shared_folder(stream.sparkSession)
+def written(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
+    """All that the stream gives, with the number of its batch as `batch`.
+
+    A job with a name keeps its state and results in the folder of that name, and goes on there when it is run again.
+    """
+    folder = shared_folder(stream.sparkSession, name)
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
