@@ -146,6 +146,91 @@ def reading_order(df: DataFrame, page: str, wide: float = 0.62, split: float = 0
     return marked.withColumn("place", place).drop("_jump", "_wide", "_centre")
 
 
+# Fixed values of pictures on pages: overlap of the smaller and growth up to which two are one, share of text at which a box is no picture.
+ONE_OVERLAP, ONE_GROWTH, TEXT_SHARE = 0.45, 1.8, 0.07
+
+
+def joined_pictures(pictures: DataFrame, words: DataFrame, page: str, order: str) -> DataFrame:
+    """(page, x0, y0, x1, y1, n): boxes that lie on one another become one, until no two do.
+
+    Two do if they share 45 % of the smaller, if the box round both is at most 1.8 times as large as what they cover, and if words fill at most 7 % of it.
+    The first pair in order that does is joined in the place of its first box, then all is looked at again; so the order is part of the result, and one task sees the boxes and words of a page.
+    """
+    size = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
+
+    def shared(a, b):
+        return size((max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])))
+
+    def fits(a, b, text):
+        both = shared(a, b)
+        if both <= 0 or both < min(size(a), size(b)) * ONE_OVERLAP:
+            return None
+        whole = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        filled = np.clip(np.minimum(text[:, 2], whole[2]) - np.maximum(text[:, 0], whole[0]), 0, None) * np.clip(np.minimum(text[:, 3], whole[3]) - np.maximum(text[:, 1], whole[1]), 0, None)
+        return None if size(whole) > (size(a) + size(b) - both) * ONE_GROWTH or filled.sum() > TEXT_SHARE * size(whole) else whole
+
+    def join(pdf: pd.DataFrame, wdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        open_, n = [tuple(b) for b in pdf[list(BOX)].to_numpy().tolist()], [1] * len(pdf)
+        text = wdf[list(BOX)].to_numpy(float).reshape(-1, 4)
+        while True:
+            found = next(((i, j, w) for i in range(len(open_)) for j in range(i + 1, len(open_)) if (w := fits(open_[i], open_[j], text))), None)
+            if not found:
+                break
+            i, j, whole = found
+            open_[i], n[i] = whole, n[i] + n.pop(j)
+            open_.pop(j)
+        return pd.DataFrame([(pdf[page].iloc[0], *b, k) for b, k in zip(open_, n, strict=True)], columns=[page, *BOX, "n"])
+
+    kind = pictures.schema[page].dataType.simpleString()
+    with_words = words.select(page, *BOX).join(pictures.select(page).distinct(), page, "left_semi")
+    return pictures.groupBy(page).cogroup(with_words.groupBy(page)).applyInPandas(join, f"{page} {kind}, x0 double, y0 double, x1 double, y1 double, n long")
+
+
+def text_in(boxes: DataFrame, words: DataFrame, page: str, key: str, cells: int = 4) -> DataFrame:
+    """boxes with `density`, the area of the words in each over its own, and `spread`, the share of its grid's cells that words touch."""
+    pairs = box_pairs(boxes, words.select(page, F.lit(None).alias(key), *BOX), page, key)
+    inner = {"x0": F.greatest("a_x0", "b_x0"), "y0": F.greatest("a_y0", "b_y0"), "x1": F.least("a_x1", "b_x1"), "y1": F.least("a_y1", "b_y1")}
+    touched = pairs.withColumns(inner).filter("x1 > x0 AND y1 > y0")
+    cell = lambda c, lo, hi: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * cells)).cast("int")
+    span = lambda k: F.sequence(cell(f"{k}0", f"a_{k}0", f"a_{k}1"), cell(f"{k}1", f"a_{k}0", f"a_{k}1"))
+    names = F.flatten(F.transform(span("x"), lambda x: F.transform(span("y"), lambda y: x * cells + y)))
+    own = touched.groupBy(page, F.col(f"a_{key}").alias(key)).agg(F.sum(box_area()).alias("_filled"), F.size(F.array_distinct(F.flatten(F.collect_set(names)))).alias("_cells"))
+    joined = boxes.join(own, [page, key], "left")
+    return joined.withColumns({"density": F.when(box_area() > 0, F.coalesce("_filled", F.lit(0.0)) / box_area()).otherwise(0.0), "spread": F.coalesce("_cells", F.lit(0)) / (cells * cells)}).drop("_filled", "_cells")
+
+
+def picture_regions(pictures: DataFrame, words: DataFrame, body: DataFrame, trim: DataFrame, page: str, key: str) -> DataFrame:
+    """(page, x0, y0, x1, y1, n): what of a page's pictures is shown, joined where they lie on one another.
+
+    pictures: page, key, box, stencil, pixels (or null); words and those in body type, and the trimmed page itself, as boxes.  Out go stencils, what is too small
+    within the trim, page-filling ones with text on them (over 58 % of the page, over 2 % text), and those over which body text is spread (3 % of the page or more, over 7 % text in over 45 % of the cells).
+    """
+    net = trim.select(page, *[F.col(c).alias(f"t_{c}") for c in BOX])
+    cut = pictures.filter("NOT stencil").join(net, page)
+    cut = cut.withColumns({"x0": F.greatest("x0", "t_x0"), "y0": F.greatest("y0", "t_y0"), "x1": F.least("x1", "t_x1"), "y1": F.least("y1", "t_y1"), "net": F.greatest(area(*(F.col(f"t_{c}") for c in BOX)), F.lit(1e-6))})
+    pixels = F.when(F.col("pixels") > 0, F.col("pixels"))
+    cut = cut.filter(~too_small(pixels, area=0.010, side=0.055, aspect=5.5, pixels=90)).select(page, key, *BOX, "net")
+    judged = text_in(cut, words, page, key).filter(~((box_area() / F.col("net") > 0.58) & (F.col("density") > 0.02))).drop("density", "spread")
+    judged = text_in(judged, body, page, key).filter(~((box_area() >= 0.03) & (F.col("density") > TEXT_SHARE) & (F.col("spread") > 0.45)))
+    joined = joined_pictures(cut_lineage(judged.select(page, key, *BOX)), body, page, key)
+    short = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    large = joined.filter((box_area() >= 0.010) & (short >= 0.055)).withColumn("_region", F.monotonically_increasing_id()).join(net, page)
+    large = cut_lineage(large.withColumn("net", F.greatest(area(*(F.col(f"t_{c}") for c in BOX)), F.lit(1e-6))))
+    shown = text_in(large, words, page, "_region").filter(~((box_area() / F.col("net") > 0.58) & (F.col("density") > 0.02)))
+    return shown.select(page, *BOX, "n")
+
+
+def reader_regions(regions: DataFrame, article: str, page: str, target: str, order: str, least: float = 0.004) -> DataFrame:
+    """(article, page, target, x0, y0, x1, y1, n): a reader's areas: sides in order and on the page, small ones out, those that lead somewhere as they are, the others of an article on a page grown together."""
+    low = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(f"{k}0", f"{k}1")))
+    high = lambda k: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.greatest(f"{k}0", f"{k}1")))
+    straight = regions.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")}).filter((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
+    leads = straight.filter(F.col(target).isNotNull()).select(article, page, target, *BOX, F.lit(1).cast("long").alias("n"))
+    grown = merged_boxes(straight.filter(F.col(target).isNull()), [article, page], order).withColumn(target, F.lit(None).cast(regions.schema[target].dataType))
+    return leads.unionByName(grown.select(*leads.columns))
+
+
 def too_small(source: Column, area: float, side: float, aspect: float, pixels: int) -> Column:
     """Whether the row's box is no picture: by area, shorter side, ratio of the sides, or a known number of pixels."""
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

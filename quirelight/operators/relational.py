@@ -194,3 +194,25 @@ def recurring(df: DataFrame, parent: str, page: str, value: str, least: int, sha
     pages = df.groupBy(parent).agg(F.count_distinct(page).alias("all_pages"))
     seen = df.groupBy(parent, value).agg(F.count_distinct(page).alias("pages"))
     return seen.join(pages, parent).filter(F.col("pages") >= F.greatest(F.lit(least), F.ceil(F.col("all_pages") * share))).drop("all_pages")
+
+
+def replaced(old: DataFrame, gone: DataFrame, new: DataFrame, ranks: DataFrame, references: dict[str, DataFrame], group: str, key: str, page: str, rank: str, status: str, done: str, waiting: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(rows, counts, references) after rows of a group have been taken out and others put in, renumbered by page and rank.
+
+    old and new have group, key, page and rank, old its status; gone has keys, ranks new ranks of rows that stay.  New rows are `done` where every old row of the group is, else
+    `waiting`.  References (each with a column of the key) to a row that went go to the first new row of its page, to nothing where there is none.
+    counts (group, n_removed, n_inserted, n_left) is read from the input alone, so a dry run tells what the real one will do.
+    """
+    removed = old.join(gone.select(key), key, "left_semi")
+    kept = old.join(gone.select(key), key, "left_anti").join(ranks.withColumnRenamed(rank, "_rank"), key, "left")
+    counted = [kept.select(group, F.lit(0).alias("r"), F.lit(0).alias("i"), F.lit(1).alias("l")), removed.select(group, F.lit(1).alias("r"), F.lit(0).alias("i"), F.lit(0).alias("l")), new.select(group, F.lit(0).alias("r"), F.lit(1).alias("i"), F.lit(1).alias("l"))]
+    counts = reduce(DataFrame.unionByName, counted).groupBy(group).agg(F.sum("r").alias("n_removed"), F.sum("i").alias("n_inserted"), F.sum("l").alias("n_left"))
+    ready = old.groupBy(group).agg(F.bool_and(F.col(status) == done).alias("_ready"))
+    put = new.join(ready, group, "left").withColumn(status, F.when(F.col("_ready"), done).otherwise(waiting))
+    columns = [group, key, page, status]
+    rows = kept.select(*columns, F.coalesce("_rank", rank).alias("_by"), F.lit(0).alias("_new")).unionByName(put.select(*columns, F.col(rank).alias("_by"), F.lit(1).alias("_new")))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(page, "_by", "_new", key))
+    successors = new.groupBy(group, page).agg(F.min_by(key, F.struct(rank, key)).alias("_successor"))
+    moves = removed.select(group, page, key).join(successors, [group, page], "left").select(key, "_successor", F.lit(True).alias("_went"))
+    pointed = {name: r.join(moves, key, "left").withColumn(key, F.when(F.col("_went"), F.col("_successor")).otherwise(F.col(key))).drop("_successor", "_went") for name, r in references.items()}
+    return rows.select(*columns, place.alias("place")), counts, pointed
