@@ -216,3 +216,22 @@ def replaced(old: DataFrame, gone: DataFrame, new: DataFrame, ranks: DataFrame,
     moves = removed.select(group, page, key).join(successors, [group, page], "left").select(key, "_successor", F.lit(True).alias("_went"))
     pointed = {name: r.join(moves, key, "left").withColumn(key, F.when(F.col("_went"), F.col("_successor")).otherwise(F.col(key))).drop("_successor", "_went") for name, r in references.items()}
     return rows.select(*columns, place.alias("place")), counts, pointed
+
+
+def best_by_rank_then_test(df: DataFrame, keys: Sequence[str], value: str, rank: Column, test: Column) -> DataFrame:
+    """(keys, value): the one value of the best positive rank; of several, the one that passes the test, null where that is not one either.
+
+    A value counts once, by its best rank.
+    """
+    each = df.groupBy(*keys, value).agg(F.max(rank).alias("_rank"), F.bool_or(F.coalesce(test, F.lit(False))).alias("_test"))
+    counts = each.filter("_rank > 0").groupBy(*keys, "_rank").agg(F.count("*").alias("n"), F.count_if("_test").alias("t"), F.min(value).alias("one"), F.min(F.when(F.col("_test"), F.col(value))).alias("tested"))
+    top = counts.groupBy(*keys).agg(F.max_by(F.struct("n", "t", "one", "tested"), "_rank").alias("b"))
+    chosen = F.when(F.col("b.n") == 1, F.col("b.one")).when(F.col("b.t") == 1, F.col("b.tested"))
+    return df.select(*keys).distinct().join(top, list(keys), "left").select(*keys, chosen.alias(value))
+
+
+def chosen_query(df: DataFrame, keys: Sequence[str], query: str, place: str, hits: str, enough: int = 3) -> DataFrame:
+    """(keys, query): the first of several words with enough hits, else the one with most hits, of equals the first; without any hit the first."""
+    several = F.contains(F.trim(query), F.lit(" ")) & (F.col(hits) >= enough)
+    most = F.max_by(query, F.struct(F.col(hits), -F.col(place)))
+    return df.groupBy(*keys).agg(F.coalesce(F.min_by(F.when(several, F.col(query)), F.when(several, F.col(place))), F.when(F.max(hits) > 0, most), F.min_by(query, place)).alias(query))

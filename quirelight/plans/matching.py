@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.functions import linkage as L
 from quirelight.functions import text as T
+from quirelight.operators import hints as H
 from quirelight.operators import relational as R
 from quirelight.plans.registry import query, read
 
@@ -73,3 +75,110 @@ def ext_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by flag and status of the lines shipped up to a day."""
     shipped = read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return shipped.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("quantity"), F.count("*").alias("n"), F.round(F.avg("l_discount"), 4).alias("mean_discount"), F.lit(0).alias("approx"))
+
+
+_HINTED = """products AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) || ', Band ' || (p_size % 12 + 1) AS name, CAST(round(p_retailprice * 100) AS BIGINT) AS price, CASE p_partkey % 3 WHEN 0 THEN 'Anna Schulz' WHEN 1 THEN 'Anna Weber/Bert Vogel' ELSE '(Hrsg.) Cora Kurz' END AS makers FROM part),
+    hints AS (SELECT p_partkey AS hint, CASE p_partkey % 2 WHEN 0 THEN 'Anna Schulz ' ELSE 'Bert Vogel und Anna Weber ' END || p_name || ' ' || p_type || '. Untertitel. Bd. ' || ['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII'][p_size % 12 + 1] || ': Schluss' AS zone,
+      ['Anna Schulz', p_name, p_type] AS lines, CASE WHEN p_partkey % 3 > 0 THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS asked FROM part WHERE p_partkey % 7 = 0)"""
+
+
+def _hints_and_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, key = read(spark, sf_dir, "part"), F.col("p_partkey")
+    cents, volume = F.round(F.col("p_retailprice") * 100).cast("long"), F.col("p_size") % 12 + 1
+    makers = F.when(key % 3 == 0, "Anna Schulz").when(key % 3 == 1, "Anna Weber/Bert Vogel").otherwise("(Hrsg.) Cora Kurz")
+    products = part.select(key.alias("id"), F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(", Band "), volume.cast("string")).alias("name"), cents.alias("price"), makers.alias("makers"))
+    roman = F.get(F.array(*[F.lit(r.upper()) for r in L.ROMAN]), volume - 1)
+    who = F.when(key % 2 == 0, "Anna Schulz ").otherwise("Bert Vogel und Anna Weber ")
+    zone = F.concat(who, "p_name", F.lit(" "), "p_type", F.lit(". Untertitel. Bd. "), roman, F.lit(": Schluss"))
+    hints = part.filter(key % 7 == 0).select(key.alias("hint"), zone.alias("zone"), F.array(F.lit("Anna Schulz"), "p_name", "p_type").alias("lines"), F.when(key % 3 > 0, cents).alias("asked"))
+    return hints, products
+
+
+@query(
+    f"""WITH {_HINTED}, w AS (SELECT hint, asked, regexp_extract_all(lower(zone), '[a-z0-9]+') AS z, list_transform(lines, lambda x: array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ')) AS l FROM hints),
+    n AS (SELECT id, price, regexp_extract_all(lower(name), '[a-z0-9]+') AS n, CASE id % 3 WHEN 0 THEN ['schulz'] WHEN 1 THEN ['weber', 'vogel'] ELSE ['kurz'] END AS who FROM products),
+    m AS (SELECT *, ' ' || array_to_string(z, ' ') || ' ' AS zs, ' ' || array_to_string(n, ' ') || ' ' AS ns, ' ' || array_to_string(n[:-3], ' ') || ' ' AS bs FROM w JOIN n ON contains(' ' || array_to_string(z, ' ') || ' ', ' ' || array_to_string(n[1:2], ' ') || ' ')),
+    f AS (SELECT *, CASE WHEN contains(zs, ns) THEN n WHEN contains(zs, bs) AND contains(zs, ' bd ' || ['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii'][CAST(n[-1] AS INTEGER)] || ' ') THEN n[:-3] END AS found FROM m),
+    s AS (SELECT hint, id, CASE WHEN asked IS NULL THEN 0 WHEN asked = price THEN 2 ELSE -1 END + CASE WHEN len(list_filter(who, lambda x: NOT list_contains(z, x))) = 0 THEN 2 ELSE 0 END + CASE WHEN list_contains(l, array_to_string(found, ' ')) OR l[1] || ' ' || l[2] = array_to_string(found, ' ') OR l[2] || ' ' || l[3] = array_to_string(found, ' ') THEN 1 ELSE 0 END + CASE WHEN len(found) >= 3 THEN 1 ELSE 0 END - CASE WHEN len(found) = 1 THEN 1 ELSE 0 END AS points FROM f WHERE found IS NOT NULL),
+    t AS (SELECT *, max(points) OVER (PARTITION BY hint) AS top FROM s WHERE points >= 3)
+    SELECT hint, max(top) AS points, CASE WHEN count(*) = 1 THEN min(id) END AS product FROM t WHERE points = top GROUP BY hint"""
+)
+def hinted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one product that each printed hint means, by points for price, makers and lines; of equals none. TXT-14, TXT-15, TXT-16, JOIN-27, ORD-02
+
+    Candidates are those whose first words stand in the zone, found by equal runs of words.
+    """
+    hints, products = _hints_and_products(spark, sf_dir)
+    looked = hints.select("*", F.explode(L.runs(F.col("zone"))).alias("begins"))
+    pairs = looked.join(products.withColumn("begins", L.first_words(F.col("name"))), "begins")
+    scored = pairs.select("hint", "id", L.title_points(F.col("name"), F.col("makers"), F.col("price"), F.col("zone"), F.col("lines"), F.col("asked")).cast("int").alias("points"))
+    best = R.best_or_null(scored.filter("points >= 3"), ["hint"], "id", "points")
+    return best.select("hint", "points", F.col("id").alias("product"))
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey, l_partkey, max(l_linenumber % 3) AS rank, bool_or(l_returnflag = 'A') AS mine FROM lineitem GROUP BY ALL), t AS (SELECT *, max(rank) OVER (PARTITION BY l_orderkey) AS top FROM e),
+    b AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (mine) AS m, min(l_partkey) AS one, min(l_partkey) FILTER (mine) AS own FROM t WHERE rank = top AND rank > 0 GROUP BY l_orderkey)
+    SELECT k.l_orderkey, CASE WHEN n = 1 THEN one WHEN m = 1 THEN own END AS l_partkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) k LEFT JOIN b USING (l_orderkey)"""
+)
+def book_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the best rank of each order, a second test deciding between several; none where that leaves more than one. AGG-25, AGG-27"""
+    return R.best_by_rank_then_test(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", F.col("l_linenumber") % 3, F.col("l_returnflag") == "A")
+
+
+@query(
+    """WITH q AS (SELECT l_orderkey, l_linenumber AS place, CASE WHEN l_linenumber % 2 = 0 THEN 'two words ' ELSE 'word' END || l_linenumber AS q, CAST(max(l_suppkey) % 6 AS BIGINT) AS hits FROM lineitem GROUP BY l_orderkey, l_linenumber)
+    SELECT l_orderkey, coalesce(arg_min(q, place) FILTER (contains(q, ' ') AND hits >= 3), CASE WHEN max(hits) > 0 THEN arg_max(q, (hits, -place)) END, arg_min(q, place)) AS q FROM q GROUP BY l_orderkey"""
+)
+def queries_to_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query that a collection of offers leads to, by the number of its hits. AGG-26"""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("place")).agg((F.max("l_suppkey") % 6).alias("hits"))
+    q = F.concat(F.when(F.col("place") % 2 == 0, "two words ").otherwise("word"), F.col("place").cast("string"))
+    return R.chosen_query(rows.withColumn("q", q), ["l_orderkey"], "q", "place", "hits")
+
+
+@query(
+    r"""WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN 'Foto: ' ELSE '' END || repeat(p_name || ' ', 1 + p_partkey % 31) || CASE WHEN p_partkey % 4 = 0 THEN 'Ende.' ELSE 'x' END AS text, CAST(6 + p_size % 15 AS DOUBLE) AS size, CAST(6 + p_size % 15 + p_partkey % 6 AS DOUBLE) AS most, p_type AS font, p_partkey % 5 = 0 AS bold FROM part),
+    w AS (SELECT size, sum(length(text)) AS n FROM b GROUP BY size), body AS (SELECT arg_max(size, (n, -size)) AS body FROM w),
+    f AS (SELECT font, sum(length(text)) AS n FROM b, body WHERE abs(size - body) < 0.2 * body GROUP BY font), g AS (SELECT arg_max(font, n) AS body_font FROM f),
+    j AS (SELECT *, length(text) AS chars, font != body_font AS foreign_font, length(trim(text)) <= 140 AND NOT (regexp_matches(trim(text), '[.:;,]$') AND length(trim(text)) > 60) AS head FROM b, body, g),
+    k AS (SELECT *, most >= body * 1.7 AND size <= body * 1.15 AND NOT bold AND NOT foreign_font AS initial FROM j)
+    SELECT id, CASE WHEN starts_with(text, 'Foto:') OR most <= body * 0.9 THEN 'caption' WHEN bold AND foreign_font AND size >= body * 1.08 AND chars <= 140 AND head THEN 'heading' WHEN foreign_font AND most <= body * 1.12 AND chars <= 400 THEN CASE WHEN chars < 200 THEN 'quote' ELSE 'caption' END
+      WHEN NOT initial AND most >= body * 1.45 AND (size >= body * 1.25 OR bold OR foreign_font) AND head THEN 'heading' WHEN NOT initial AND most >= body * 1.12 AND chars <= 260 AND head THEN CASE WHEN chars <= 120 THEN 'subheading' ELSE 'lead' END ELSE 'paragraph' END AS kind FROM k"""
+)
+def kinds_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a block is a heading, a lead, a quote, a caption or running text, by its type against that of most of the text. UDF-10, AGG-10, AGG-11"""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(F.when(key % 13 == 0, "Foto: ").otherwise(""), F.repeat(F.concat("p_name", F.lit(" ")), (1 + key % 31).cast("int")), F.when(key % 4 == 0, "Ende.").otherwise("x"))
+    blocks = read(spark, sf_dir, "part").select(key.alias("id"), text.alias("text"), (6 + size % 15).cast("double").alias("size"), (6 + size % 15 + key % 6).cast("double").alias("most"), F.col("p_type").alias("font"), (key % 5 == 0).alias("bold"))
+    blocks = blocks.withColumn("chars", F.length("text"))
+    # a size and a font, one each
+    body = blocks.groupBy("size").agg(F.sum("chars").alias("n")).agg(F.max_by("size", F.struct(F.col("n"), -F.col("size")))).first()[0]
+    near = blocks.filter(F.abs(F.col("size") - F.lit(body)) < 0.2 * F.lit(body))
+    body_font = near.groupBy("font").agg(F.sum("chars").alias("n")).agg(F.max_by("font", "n")).first()[0]
+    return blocks.select("id", H.block_kinds(F.col("text"), F.col("chars"), F.col("size"), F.col("most"), F.col("font"), F.col("bold"), F.lit(body), F.lit(body_font)).alias("kind"))
+
+
+def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles made of an order's lines, with advertisements, citations, numbers and descriptions."""
+    n, key = F.col("l_linenumber"), F.col("l_partkey")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    size = F.col("p_size").cast("string")
+    kind = key % 6
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Anna Schulz. Der "), F.col("p_name"), F.lit(". "), size, F.lit("0 S., geb., € "), size, F.lit(",90")))
+        .when(kind == 1, F.concat(F.col("p_name"), F.lit(" im Einsatz")))
+        .when(kind == 2, F.concat(F.lit("Best.-Nr. 10"), F.lpad(size, 4, "0")))
+        .when(kind == 3, F.concat(F.repeat(F.lit("lange Beschreibung "), 10), F.lit("216 S., Abb.")))
+        .when(kind == 4, F.concat(F.repeat(F.concat("p_name", F.lit(" ")), 20)))
+        .otherwise(F.lit("120 Seiten, Pb"))
+    )
+    return lines.join(part, "l_partkey").select(F.col("l_orderkey").alias("article"), n.alias("block"), text.alias("text"), F.concat(F.lit("Heft "), F.col("l_orderkey").cast("string"), F.lit(" und mehr")).alias("title"))
+
+
+@query()
+def printed_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints to products in articles: numbers that are printed, and books that are described. TXT-17, TXT-19, TXT-20, TXT-56, SET-04"""
+    found = H.find_hints(article_blocks(spark, sf_dir), "article", "title", "block", "text")
+    return found.select("article", "block", "kind", "reference", "zone", F.array_join("lines", "|").alias("lines"), F.array_join("queries", "|").alias("queries"), "cents")
