@@ -330,7 +330,7 @@ def _like_sets(members: DataFrame, texts: DataFrame, shingle: int, similarity: f
 
 
 def _alike_in_stars(rays: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs of a star's centre with its rays whose sets of shingles are alike, from (star, centre, node, text); a star's text of the centre comes once.
+    """(node, other): the rays, and the centres, whose sets of shingles are alike, from (star, centre, node, text); a star's text of the centre comes once.
 
     A star is read as a stream, its centre first.
     """
@@ -346,12 +346,12 @@ def _alike_in_stars(rays: DataFrame, shingle: int, similarity: float) -> DataFra
                     own = np.unique(hashes.of(text.as_py()))
                     common = len(own) + len(heart) - len(np.union1d(own, heart))
                     if common >= similarity * (len(own) + len(heart) - common) - 1e-9:
-                        out[0].append(min(node, middle))
-                        out[1].append(max(node, middle))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                        out[0].append(node)
+                        out[1].append(middle)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "other"])
 
     dealt = rays.repartition(shuffle_width(rays.sparkSession), "star").sortWithinPartitions("star", F.desc("centre"), "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "node bigint, other bigint")
 
 
 def _like(shingles: np.ndarray, at: np.ndarray, label: np.ndarray, rows: int, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -536,7 +536,7 @@ def similar_documents(
     parts = cut_lineage(parts.join(several.select("part"), "part", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (node, other) whose sets are alike, as (a, b); each side of a pair is read with its text, in stars of at most some hundred rays round `other`."""
+        """The pairs (node, other) whose sets are alike; each side of a pair is read with its text, in stars of at most some hundred rays round `other`."""
         sizes = pairs.groupBy("other").agg(F.ceil(F.count("*") / 256).cast("int").alias("k"))
         dealt = cut_lineage(pairs.join(sizes, "other").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("k"))))
         star = F.struct("other", "salt").alias("star")
@@ -564,24 +564,33 @@ def similar_documents(
         times = each.filter("root != p.root").groupBy("node", "order", F.col("p.node").alias("other")).agg(F.count("*").alias("times"))
         return times.groupBy("node", "order").agg(F.max_by("other", F.struct("times", "other")).alias("other")).select("node", "other").distinct()
 
-    def with_roots(links: DataFrame) -> DataFrame:
-        """(part, node, root) of the parts whose members are of several components."""
-        found = parts.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def mixed_parts(roots: DataFrame) -> DataFrame:
+        """(part, node, root) of the parts whose members have several roots."""
+        found = parts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = found.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         return cut_lineage(found.join(mixed.select("part"), "part", "left_semi").select("part", "node", "root"))
 
-    alike = confirmed(may_be_alike(met(parts.withColumn("root", F.col("node")), range(1))))
-    left = with_roots(alike)
-    alike = cut_lineage(alike.unionByName(confirmed(may_be_alike(met(left, range(1, 3))))))
-    left = with_roots(alike)
-    found = cut_lineage(_survivors(left.join(facts, "node"), radius, tile, similarity, dense))
-    pairs = found.filter("part IS NULL").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct()
-    alike = cut_lineage(alike.unionByName(confirmed(pairs)))
-    dense_parts = cut_lineage(found.filter("part IS NOT NULL").select("part").distinct())
-    if not dense_parts.isEmpty():
-        left = with_roots(alike).join(dense_parts, "part", "left_semi")
-        wanted = at_rows(texts, left.select("node").distinct()).dropDuplicates(["node"])
-        alike = cut_lineage(alike.unionByName(_like_sets(left.join(facts.select("node", "n"), "node"), wanted, shingle, similarity)))
-    joined = nodes.select("key", "node", "least").join(component_roots(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # every text is joined to one other at most, so these links are trees; some steps up bring most texts of a tree together
+    links = confirmed(may_be_alike(met(parts.withColumn("root", F.col("node")), range(1))))
+    roots = links.withColumnRenamed("other", "root")
+    for _ in range(3):
+        roots = cut_lineage(roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
+    left, done = mixed_parts(roots), False
+    if not left.isEmpty():
+        links = cut_lineage(links.unionByName(confirmed(may_be_alike(met(left, range(1, 3))))))
+        roots = component_roots(links, "node", "other")
+        left, done = mixed_parts(roots), True
+    if not left.isEmpty():
+        found = cut_lineage(_survivors(left.join(facts, "node"), radius, tile, similarity, dense))
+        more = confirmed(found.filter("part IS NULL").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct())
+        links = cut_lineage(links.unionByName(more))
+        dense_parts, done = cut_lineage(found.filter("part IS NOT NULL").select("part").distinct()), more.isEmpty()
+        if not dense_parts.isEmpty():
+            left = mixed_parts(component_roots(links, "node", "other")).join(dense_parts, "part", "left_semi")
+            wanted = at_rows(texts, left.select("node").distinct()).dropDuplicates(["node"])
+            more = _like_sets(left.join(facts.select("node", "n"), "node"), wanted, shingle, similarity).withColumnsRenamed({"a": "node", "b": "other"})
+            links, done = cut_lineage(links.unionByName(more)), False
+    roots = roots if done else component_roots(links, "node", "other")
+    joined = nodes.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
     return prints.select("id", "key").join(joined.join(smallest, "root").select("key", "component"), "key").select("id", "component")
