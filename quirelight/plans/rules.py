@@ -61,7 +61,7 @@ def own_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL), d AS (SELECT *, regexp_replace(left(line, 40), '(.)', '\1\1', 'g') AS twice FROM l)
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL), d AS (SELECT *, regexp_replace(line, '(.)', '\1\1', 'g') AS twice FROM l)
     SELECT doc_id, trim(line) != '' AND length(trim(line)) <= 140 AND NOT (length(trim(line)) > 60 AND right(trim(line), 1) IN ('.', ':', ';', ',')) AS heading,
       (len(b) >= 8 AND len(b) % 2 = 0 AND len(list_filter(range(1, len(b), 2), lambda i: b[i] != b[i + 1])) = 0) AS doubled, (len(c) >= 8 AND len(c) % 2 = 0 AND len(list_filter(range(1, len(c), 2), lambda i: c[i] != c[i + 1])) = 0) AS line_doubled
     FROM (SELECT *, regexp_extract_all(regexp_replace(twice, '\s', '', 'g'), '.') AS b, regexp_extract_all(regexp_replace(line, '\s', '', 'g'), '.') AS c FROM d)"""
@@ -70,7 +70,7 @@ def heading_and_doubled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines that may be headings, and print that came out twice. FLT-15, FLT-17"""
     docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
     lines = docs.select("doc_id", F.split("text", "\n")[0].alias("line"))
-    twice = F.regexp_replace(F.left("line", F.lit(40)), "(.)", "$1$1")
+    twice = F.regexp_replace("line", "(.)", "$1$1")
     return lines.select("doc_id", T.is_probable_heading(F.col("line")).alias("heading"), T.looks_doubled(twice).alias("doubled"), T.looks_doubled(F.col("line")).alias("line_doubled"))
 
 
@@ -102,13 +102,13 @@ def line_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE k AS MATERIALIZED (SELECT item_id, regexp_extract_all(left(text, 60), '(?s).') AS c FROM benchmark),
+    """WITH RECURSIVE k AS MATERIALIZED (SELECT item_id, regexp_extract_all(text, '(?s).') AS c FROM benchmark),
     step AS (SELECT item_id, 0 AS n, CAST(2166136261 AS HUGEINT) AS h FROM k UNION ALL SELECT k.item_id, n + 1, (xor(CAST(h AS BIGINT), unicode(c[n + 1])) * CAST(16777619 AS HUGEINT)) % 4294967296 FROM step JOIN k ON k.item_id = step.item_id WHERE n < len(c))
     SELECT step.item_id, CAST(h AS BIGINT) AS fnv FROM step JOIN k ON k.item_id = step.item_id WHERE n = len(c)"""
 )
 def item_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32-bit FNV-1a of the first 60 characters of each item. TXT-53"""
-    return read(spark, sf_dir, "benchmark").select("item_id", S.fnv1a32(F.left("text", F.lit(60))).alias("fnv"))
+    """32-bit FNV-1a of each item. TXT-53"""
+    return read(spark, sf_dir, "benchmark").select("item_id", S.fnv1a32(F.col("text")).alias("fnv"))
 
 
 @query(
@@ -287,13 +287,13 @@ def issue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH l AS (SELECT item_id, (item_id % 90) || ' ' || upper(left(text, 1)) || ' ' || lower(text[2:60]) AS line FROM benchmark)
+    r"""WITH l AS (SELECT item_id, (item_id % 90) || ' ' || upper(left(text, 1)) || ' ' || lower(text[2:]) AS line FROM benchmark)
     SELECT item_id, CASE WHEN regexp_matches(line, '^([0-9]{1,3}\s+)?[A-ZÄÖÜ]\s+[a-zäöüß]') THEN regexp_replace(line, '^([0-9]{1,3}\s+)?([A-ZÄÖÜ])\s+', '\2') ELSE line END AS glued,
       regexp_replace(strip_accents(lower(line)), '[^a-z0-9]+', '', 'g') AS compared FROM l"""
 )
 def dropcap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their initial put back to its word, and the form in which they are compared. TXT-02, TXT-04"""
-    line = F.concat((F.col("item_id") % 90).cast("string"), F.lit(" "), F.upper(F.left("text", F.lit(1))), F.lit(" "), F.lower(F.substring("text", 2, 59)))
+    line = F.concat((F.col("item_id") % 90).cast("string"), F.lit(" "), F.upper(F.left("text", F.lit(1))), F.lit(" "), F.lower(F.substring("text", F.lit(2), F.length("text"))))
     return read(spark, sf_dir, "benchmark").select("item_id", S.glue_initial(line).alias("glued"), S.comparable(line).alias("compared"))
 
 
