@@ -38,7 +38,7 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 #: Hashes whose bits are added up at once, for bounded memory on long texts.
 _BLOCK = 8192
-_MEMO = 300_000
+_MEMO = 50_000
 #: Shingles a side that a comparison of whole sets holds on average.
 _CELL = 1 << 19
 #: Words of 64 bits in the bitmap of a text's shingles, at least.
