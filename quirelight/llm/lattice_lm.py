@@ -15,7 +15,8 @@ not among them are joined with the table.
 
 Defined cases: null and empty texts are one end; characters outside the vocabulary are spelled in its
 bytes; with no training rows all counts are zero and the vocabulary's scores stay; repeated rows count
-each; ids may be null (they fall in the fold of the empty text).
+each; ids may be null (they fall in the fold of the empty text).  Texts are scored whole, however long; an empty
+table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

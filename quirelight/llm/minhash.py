@@ -9,7 +9,8 @@ the likeness takes out again.
 Defined cases: a text of fewer than five words is one shingle; one of none (null, empty, blank) has the
 empty fingerprint, alike only to another such; equal texts have equal fingerprints, and likeness 1.
 In `neighbour_likeness`, ties of the id follow in the order of the texts' hashes, null ids come
-last, and a table of one row is its own neighbour.
+last, and a table of one row is its own neighbour.  Texts are read whole, however long; an empty table gives no
+rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

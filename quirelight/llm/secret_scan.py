@@ -8,6 +8,7 @@ Base kinds are assign, access and hex (see KINDS); the method adds jwt, pem and
 
 Defined cases: null and empty texts have no spans; a null owner or repository counts as one owner or
 repository of its own; repeated rows are counted as rows but not as further owners; ids may be null.
+Texts are searched whole, however long; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

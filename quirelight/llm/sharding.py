@@ -13,7 +13,8 @@ rank the groups of a class by the digest of their text and read their shard off
 The law is `bytes`: the sizes of the shards come out near equal, as far as single groups allow.
 
 Defined cases: a null text has no bytes and is equal to the empty text; null ids are rows like any
-other; repeated rows each get a slot; an empty table gives no rows.
+other; repeated rows each get a slot; an empty table gives no rows.  A text of any length is one row of its size, and
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ prefixes cannot tell, so such runs are merged by a heap once the rest stands.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; every byte outside
 the vocabulary becomes its byte piece; repeated rows are encoded each; rows keep their id, null too.
+Texts are encoded whole, however long; an empty table gives no rows; columns that are not kept are not read, and kept
+ones must not have the name of an output.
 """
 
 from __future__ import annotations
