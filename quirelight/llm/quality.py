@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import crc_fold, cut_lineage
+from quirelight.llm.common import crc_fold, cut_lineage, freed
 
 BUCKETS = 1 << 15
 FACTORS = 8
@@ -197,7 +197,7 @@ def learn(
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *columns], names=["id", "label", "at", "weight", "stats"])
 
     joined = texts.join(F.broadcast(there), "id")  # `sample` ids and labels at most
-    made = joined.mapInArrow(run, f"id {kind}, label int, at array<int>, weight array<float>, stats array<double>").dropDuplicates(["id"])
+    made = joined.mapInArrow(freed(run), f"id {kind}, label int, at array<int>, weight array<float>, stats array<double>").dropDuplicates(["id"])
     held = made.toArrow()  # columns stay as they came; rows are views into them
     order = sorted(range(held.num_rows), key=[str(i) for i in held.column("id").to_pylist()].__getitem__)
     data = [tuple(held.column(c)[i].values.to_numpy() for c in ("at", "weight", "stats")) for i in order]
@@ -218,4 +218,4 @@ def with_scores(docs: DataFrame, machine: Machine, text_col: str = "text", score
             scores = [model.score(*model.row(*features.of(t.as_py() or ""))) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirelight.llm.common import cut_lineage, shuffle_width
+from quirelight.llm.common import cut_lineage, freed, shuffle_width
 from quirelight.llm.components import component_roots
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -298,7 +298,7 @@ def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, de
                 columns = [pa.array([*x.tolist(), *none], pa.int64()) for x in pairs] + [pa.array([None] * pairs.shape[1] + full, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "part"])
 
-    return cells.mapInArrow(run, "a bigint, b bigint, part bigint")
+    return cells.mapInArrow(freed(run), "a bigint, b bigint, part bigint")
 
 
 def _like_sets(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -351,7 +351,7 @@ def _alike_in_stars(rays: DataFrame, shingle: int, similarity: float) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "other"])
 
     dealt = rays.repartition(shuffle_width(rays.sparkSession), "star").sortWithinPartitions("star", F.desc("centre"), "node")
-    return dealt.mapInArrow(run, "node bigint, other bigint")
+    return dealt.mapInArrow(freed(run), "node bigint, other bigint")
 
 
 def _like(shingles: np.ndarray, at: np.ndarray, label: np.ndarray, rows: int, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -433,7 +433,7 @@ def _bucket_counts(texts: DataFrame, shingle: int, buckets: int) -> DataFrame:
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["bucket", "n"])
 
-    return texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(freed(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(own: np.ndarray, least: int = _BITMAP) -> np.ndarray:
@@ -511,7 +511,7 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "bits", "n", "prefix"])
 
     schema = f"id {kind}, text_hash bigint, key binary, fp bigint, bits array<bigint>, n int, prefix array<bigint>"
-    prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema))
+    prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(freed(run), schema))
     same = [F.any_value(c).alias(c) for c in ("fp", "bits", "n")]
     # one row stands for all with the same shingles; copies of it, id and all, are read once more where they are
     row = F.min(F.struct("text_hash", F.col("id").alias("row_id"))).alias("row")

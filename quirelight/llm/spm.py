@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.llm.common import freed
+
 SPACE = "▁"
 #: Words whose encoding a worker keeps, in each of two generations; the older one goes when the younger is full.
 MEMO_WORDS = 300_000
@@ -318,4 +320,4 @@ def sentencepiece_round_trip(
             columns += [_lists(made[c]) if c == "ids" else pa.array(made[c], _ARROW[_COLUMNS[c]]) for c in outputs]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *keep, *outputs])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
