@@ -126,7 +126,7 @@ def page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def article_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure an article is: less for little text, no heading in front, many pages, or a start in small letters. AGG-36"""
-    body = F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice").cast("decimal(20,0)").cast("long") % 400))
+    body = F.sum(F.when(F.col("l_returnflag") != "N", F.rint("l_extendedprice").cast("long") % 400))  # halves go to the even number, as in SQL
     first = F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     found = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("article")).agg(body.alias("body"), first.alias("first"), F.count_distinct("l_suppkey").alias("pages"))
     loss = lambda test, by: F.when(test, by).otherwise(0.0)

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quirelight import plans
 from quirelight.functions import scalars as S
 from quirelight.functions import text as T
 from quirelight.operators import geometry as G
@@ -100,3 +102,11 @@ def test_places_along_chains(spark):
     df = spark.createDataFrame(rows, "g long, id long, following long, begins boolean, pos int")
     found = chain_places(df, "g", "id", "following", F.col("begins"), ["pos"]).collect()
     assert {(r.g, r.id): r.place for r in found} == expected
+
+
+@pytest.mark.parametrize("prices", [[100.5, 179.0], [280.5], [101.5, 178.0]])
+def test_half_prices_go_to_the_even_number(spark, tmp_path, prices):
+    rows = [(1, k, k, k, "A", p) for k, p in enumerate(prices)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = plans.oracle_sql()["article_confidence"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert [tuple(r) for r in plans.queries()["article_confidence"](spark, str(tmp_path)).collect()] == duckdb.sql(sql).fetchall()
