@@ -13,7 +13,7 @@ from quirelight.streaming import jobs, state, views
 @query("SELECT user_id, make_timestamp((epoch_us(ts) // 86400000000) * 86400000000) AS day, count(*) AS n, CAST(round(sum(value)) AS BIGINT) AS total FROM events GROUP BY ALL")
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of a user by day, kept up to date as a stream comes in."""
-    found = jobs.usage(stream_of(spark, f"{sf_dir}/events.parquet"), "ts", ["user_id"], "value", "1 day", "40 days")
+    found = jobs.usage(stream_of(spark, f"{sf_dir}/events.parquet"), "ts", ["user_id"], "value", "1 day", "40 days", ["event_id"])
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("day"), "n", F.round("total").cast("long").alias("total"))
 
 

@@ -38,11 +38,17 @@ def _timed(stream: DataFrame, at: str, late: str) -> DataFrame:
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
 
 
-def usage(stream: DataFrame, at: str, keys: Sequence[str], value: str, width: str, late: str) -> DataFrame:
-    """(keys, start, n, total) by tumbling windows; the last update of a window counts."""
-    counted = _timed(stream, at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    updates = written(counted.select(*keys, F.col("window.start").alias("start"), "n", "total"), "update")
-    return latest_per(updates, [*keys, "start"], [F.desc("batch")]).drop("batch")
+def usage(stream: DataFrame, at: str, keys: Sequence[str], value: str, width: str, late: str, order: Sequence[str]) -> DataFrame:
+    """(keys, start, n, total) by tumbling windows; the last update of a window counts.
+
+    Floating sums depend on the order of their terms, and rows come in by tasks and batches.  So the state holds a window's values, and
+    total adds them in the given order, however the rows were dealt; it is null where no value is there.
+    """
+    term = F.struct(*order, F.col(value).cast("double").alias("_value"))
+    counted = _timed(stream, at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col(value).isNotNull(), term)).alias("_terms"))
+    total = F.when(F.size("_terms") > 0, F.aggregate(F.array_sort("_terms"), F.lit(0.0), lambda sum_, t: sum_ + t["_value"]))
+    updates = latest_per(written(counted.select(*keys, F.col("window.start").alias("start"), "n", "_terms"), "update"), [*keys, "start"], [F.desc("batch")])
+    return updates.select(*keys, "start", "n", total.alias("total"))
 
 
 def once(stream: DataFrame, at: str, keys: Sequence[str], late: str) -> DataFrame:

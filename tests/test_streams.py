@@ -1,5 +1,6 @@
 """Streams over several batches and restarts, against their batch forms."""
 
+import datetime
 import glob
 import os
 import random
@@ -113,3 +114,20 @@ def test_views_renew_only_what_changes_touch(spark, tmp_path):
     assert files(2) == before[2] and files(1) != before[1]
     change(2, (1, 1))  # delivered again
     assert run() == {(1, 1, "a2"), (1, 2, "b"), (2, 3, "c"), (4, 5, "e")}
+
+
+def test_sums_do_not_depend_on_how_rows_come_in(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 12)
+    rows = [(0, at, 1, 0.1), (1, at, 1, 0.2), (2, at, 1, 0.3), (3, at, 1, 1e16), (4, at, 1, -1e16), (5, at, 1, 0.5), (6, at, 2, None)]
+    expected = {1: 0.0, 2: None}
+    for *_, value in rows[:-1]:
+        expected[1] += value
+    os.makedirs(f"{tmp_path}/in")
+    for k in (3, 1, 0, 5, 4, 2, 6):
+        spark.createDataFrame([rows[k]], "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        (made,) = glob.glob(f"{tmp_path}/part{k}/*.parquet")
+        os.rename(made, f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1_700_000_000 - k, 1_700_000_000 - k))  # streams take the oldest file first
+    for per_batch in (1, 1000):
+        found = jobs.usage(stream_of(spark, f"{tmp_path}/in", per_batch), "ts", ["user_id"], "value", "1 day", "40 days", ["event_id"])
+        assert {r.user_id: (r.n, r.total) for r in found.collect()} == {1: (6, expected[1]), 2: (1, None)}
