@@ -63,6 +63,12 @@ def best_or_null(df: DataFrame, keys: Sequence[str], value: str, points: str) ->
     return at_top.groupBy(*keys).agg(F.max("_top").alias("points"), F.when(F.count("*") == 1, F.min(value)).alias(value))
 
 
+def best_of_counted(df: DataFrame, keys: Sequence[str], value: str, points: str, n: str) -> DataFrame:
+    """(keys, points, n, value): the most points, how many have them, and the least of these; each row of df stands for n values, of which it holds the least."""
+    sums = df.groupBy(*keys, points).agg(F.sum(n).alias(n), F.min(value).alias(value))
+    return sums.groupBy(*keys).agg(F.max(points).alias(points), F.max_by(n, points).alias(n), F.max_by(value, points).alias(value))
+
+
 def missing_pairs(wanted: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of wanted whose keys do not exist; missing keys are equal to each other."""
     pairs = reduce(lambda a, b: a & b, [wanted[k].eqNullSafe(existing[k]) for k in keys])

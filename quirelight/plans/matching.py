@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirelight.functions import linkage as L
 from quirelight.functions import text as T
@@ -106,13 +107,21 @@ def _hints_and_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 def hinted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one product that each printed hint means, by points for price, makers and lines; of equals none. TXT-14, TXT-15, TXT-16, JOIN-27, ORD-02
 
-    Candidates are those whose first words stand in the zone, found by equal runs of words.
+    Candidates are those whose first words stand in the zone, found by equal runs of words.  Hints that print the same, and products that are called the same,
+    made by the same and cost the same, get the same points, so one of each is compared and stands for the others.
     """
     hints, products = _hints_and_products(spark, sf_dir)
-    looked = hints.select("*", F.explode(L.runs(F.col("zone"))).alias("begins"))
-    pairs = looked.join(products.withColumn("begins", L.first_words(F.col("name"))), "begins")
-    scored = pairs.select("hint", "id", L.title_points(F.col("name"), F.col("makers"), F.col("price"), F.col("zone"), F.col("lines"), F.col("asked")).cast("int").alias("points"))
-    best = R.best_or_null(scored.filter("points >= 3"), ["hint"], "id", "points")
+    printed = ["zone", "lines", "asked"]
+    hints = hints.withColumn("one", F.min("hint").over(Window.partitionBy(*printed)))
+    looked = hints.filter("hint = one").select("one", *printed).distinct().withColumn("begins", F.explode(L.runs(F.col("zone"))))
+    alike = products.groupBy("name", "makers", "price").agg(F.count("*").alias("n"), F.min("id").alias("id")).withColumn("begins", L.first_words(F.col("name")))
+    # both sides are longer than files of few distinct strings let Spark guess, so neither is broadcast
+    pairs = looked.join(alike.hint("merge"), "begins")
+    points = L.title_points(F.col("name"), F.col("makers"), F.col("price"), F.col("zone"), F.col("lines"), F.col("asked")).cast("int")
+    scored = pairs.select("one", "id", "n", points.alias("points")).filter("points >= 3")
+    best = R.best_of_counted(scored, ["one"], "id", "points", "n")
+    best = R.best_of_counted(hints.select("hint", "one").join(best.hint("merge"), "one"), ["hint"], "id", "points", "n")
+    best = best.withColumn("id", F.when(F.col("n") == 1, F.col("id")))
     return best.select("hint", "points", F.col("id").alias("product"))
 
 

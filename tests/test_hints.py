@@ -3,12 +3,14 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quirelight import plans
 from quirelight.functions import linkage as L
 from quirelight.operators import hints as H
+from quirelight.operators import relational as R
 from quirelight.plans.matching import article_blocks
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +138,16 @@ def test_points_of_a_product(spark, name, makers, price, zone, lines, asked, poi
 def test_place_of_a_run(spark, words_, run, at):
     df = spark.createDataFrame([(words_, run)], "w array<string>, r array<string>")
     assert df.select(L.run_at(df["w"], df["r"])).first()[0] == at
+
+
+def test_copies_are_compared_once_and_counted(spark, tmp_path):
+    rows = [("h", 5, 2, 7), ("h", 5, 1, 3), ("h", 4, 9, 0), ("g", 3, 1, 4)]
+    best = R.best_of_counted(spark.createDataFrame(rows, "hint string, points int, n long, id long"), ["hint"], "id", "points", "n")
+    assert sorted((r.hint, r.points, r.n, r.id) for r in best.collect()) == [("g", 3, 1, 4), ("h", 5, 3, 3)]
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    copies = part.withColumn("p_partkey", F.explode(F.array(*[F.col("p_partkey") + k * 1000 for k in range(4)])))
+    copies.write.parquet(f"{tmp_path}/part.parquet")
+    sql = plans.oracle_sql()["hinted_products"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = plans.queries()["hinted_products"](spark, str(tmp_path))
+    expected = duckdb.sql(sql)
+    assert sorted(map(str, (tuple(r[c] for c in expected.columns) for r in found.collect()))) == sorted(map(str, expected.fetchall()))
