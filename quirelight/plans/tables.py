@@ -17,8 +17,19 @@ _LINE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_par
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their place in the order."""
-    order = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
-    return R.renumber(read(spark, sf_dir, "lineitem"), "l_orderkey", order, "place")
+    return R.renumber(_by_order(spark, sf_dir), "l_orderkey", _ORDER, "place")
+
+
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
+#: Order lines that a task sorts, on average.
+LINES_A_TASK = 1_000_000
+
+
+def _by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines, an order's in one partition; there are more partitions where there are more lines, so what a task sorts does not grow.  The count is read from the files' footers."""
+    lines = read(spark, sf_dir, "lineitem")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_A_TASK))
+    return lines.repartition(n, "l_orderkey")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +83,18 @@ def inserted_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def split_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles cut before their third part: the parts, the span of pages of each half, and the pages that it has alone. ARR-12"""
-    halves = _lines(spark, sf_dir).select("l_orderkey", F.when(F.col("place") >= 3, 2).otherwise(1).alias("half"), "l_suppkey")
-    pages = halves.groupBy("l_orderkey", "l_suppkey").agg(F.count_distinct("half").alias("halves"))
-    joined = halves.join(pages, ["l_orderkey", "l_suppkey"])
-    alone = F.count_distinct(F.when(F.col("halves") == 1, F.col("l_suppkey")))
-    return joined.groupBy("l_orderkey", "half").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("first_page"), F.max("l_suppkey").alias("last_page"), alone.alias("own_pages"))
+    halves = _lines(spark, sf_dir).select("l_orderkey", "l_suppkey", (F.col("place") < 3).cast("int").alias("first"))
+    # in numbers a page, so that no list and no second sort is needed: how many parts it has of either half
+    pages = halves.groupBy("l_orderkey", "l_suppkey").agg(F.sum("first").alias("n1"), F.sum(1 - F.col("first")).alias("n2"))
+
+    def half(k: int) -> Column:
+        own, other = F.col(f"n{k}"), F.col(f"n{3 - k}")
+        page = F.when(own > 0, F.col("l_suppkey"))
+        alone = F.count_if((own > 0) & (other == 0) & F.col("l_suppkey").isNotNull())
+        return F.struct(F.lit(k).alias("half"), F.sum(own).alias("n"), F.min(page).alias("first_page"), F.max(page).alias("last_page"), alone.alias("own_pages"))
+
+    made = pages.groupBy("l_orderkey").agg(half(1).alias("h1"), half(2).alias("h2"))
+    return made.select("l_orderkey", F.inline(F.array("h1", "h2"))).filter("n > 0")
 
 
 @query(
@@ -99,9 +117,10 @@ def merged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lists_without_some(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists after some elements are gone: those that stay in new places, which are the counts of stayers before them. SNK-20, SNK-21, WIN-04"""
-    span = Window.partitionBy("l_orderkey").orderBy("place")
-    stays = F.sum(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).over(span).cast("int")
-    kept = _lines(spark, sf_dir).withColumn("new", stays).filter("l_returnflag != 'R'")
+    # one order for both numbers, so lines are sorted once
+    span = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
+    stays = F.sum(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).over(span.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    kept = _by_order(spark, sf_dir).withColumns({"place": F.row_number().over(span), "new": stays}).filter("l_returnflag != 'R'")
     return kept.select("l_orderkey", "l_partkey", F.col("new").alias("place"), (F.col("place") - F.col("new")).cast("long").alias("gone_before"), (F.col("l_linenumber") <= 2).alias("anchored"))
 
 

@@ -12,7 +12,7 @@ from quirelight.functions import text as T
 from quirelight.operators import geometry as G
 from quirelight.operators.assignment import exclusive_choices
 from quirelight.operators.chains import chain_places
-from quirelight.plans import shelves
+from quirelight.plans import shelves, tables
 
 
 def one(spark, column):
@@ -122,3 +122,9 @@ def test_subscriptions_meet_blocks_of_issues(spark):
     # nothing is made distinct, sorted or shuffled above the pairs
     plan = plans.queries()["readable_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
+
+
+def test_tasks_do_not_grow_with_the_order_lines(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_A_TASK", 100)
+    lines = tables._by_order(spark, "/root/testdata/sf0.001")
+    assert lines.rdd.getNumPartitions() >= lines.count() / 100
