@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quirelight.sources.folders import cut_lineage
 
+#: Pairs that a task sorts, on average.
+PAIRS_A_TASK = 500_000
+
 
 def exclusive_choices(pairs: DataFrame, chooser: Sequence[str], chosen: Sequence[str], turn: Sequence[Column], preference: Sequence[Column]) -> DataFrame:
     """(chooser, chosen): what choosers get who, one by one in the order of `turn`, take what they like best of what is left.
@@ -22,12 +25,19 @@ def exclusive_choices(pairs: DataFrame, chooser: Sequence[str], chosen: Sequence
     """
     one, other = F.struct(*chooser), F.struct(*chosen)
     left = pairs.select(one.alias("one"), other.alias("other"), F.struct(*turn, *chooser).alias("turn"), F.struct(*preference, *chosen).alias("liking"))
-    left = cut_lineage(left.groupBy("one", "other").agg(F.min("turn").alias("turn"), F.min("liking").alias("liking")))
+    # there are more partitions where there are more pairs, so what a task sorts does not grow
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(left: DataFrame, size: int) -> DataFrame:
+        return left.repartition(max(width, -(-size // PAIRS_A_TASK)), "other")
+
+    left = cut_lineage(left)
+    left = cut_lineage(dealt(left, left.count()).groupBy("one", "other").agg(F.min("turn").alias("turn"), F.min("liking").alias("liking")))
     size = left.count()
     while True:
         asked = left.groupBy("one").agg(F.min(F.struct("liking", "other", "turn")).alias("best")).select("one", "best.other", "best.turn")
         held = asked.groupBy("other").agg(F.min("turn").alias("first"))
-        kept = cut_lineage(left.join(held, "other", "left").filter("first IS NULL OR turn <= first").drop("first"))
+        kept = cut_lineage(dealt(left, size).join(held, "other", "left").filter("first IS NULL OR turn <= first").drop("first"))
         before, size = size, kept.count()
         if size == before:
             return asked.select("one.*", "other.*")

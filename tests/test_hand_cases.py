@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirelight import plans
 from quirelight.functions import scalars as S
 from quirelight.functions import text as T
+from quirelight.operators import assignment
 from quirelight.operators import geometry as G
 from quirelight.operators.assignment import exclusive_choices
 from quirelight.operators.chains import chain_places
@@ -128,3 +129,14 @@ def test_tasks_do_not_grow_with_the_order_lines(spark, monkeypatch):
     monkeypatch.setattr(tables, "LINES_A_TASK", 100)
     lines = tables._by_order(spark, "/root/testdata/sf0.001")
     assert lines.rdd.getNumPartitions() >= lines.count() / 100
+
+
+def test_choices_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    pairs = spark.createDataFrame([(a, b, (a * 7 + b * 3) % 11) for a in range(12) for b in range(9)], "a long, b long, far long")
+    choose = lambda: sorted(map(tuple, exclusive_choices(pairs, ["a"], ["b"], [F.col("a").alias("turn")], [F.col("far")]).collect()))
+    expected, widths = choose(), []
+    monkeypatch.setattr(assignment, "PAIRS_A_TASK", 10)
+    cut = assignment.cut_lineage
+    monkeypatch.setattr(assignment, "cut_lineage", lambda df: widths.append(df.rdd.getNumPartitions()) or cut(df))
+    assert choose() == expected
+    assert max(widths) >= 108 // 10
