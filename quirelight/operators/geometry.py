@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirelight.functions.text import bound
 from quirelight.sources.folders import cut_lineage
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -84,17 +85,23 @@ def column_starts(df: DataFrame, page: str, size: str, width: float = 4.0, share
     median = df.filter(F.col(size) > 0).groupBy(page).agg(F.median(size).alias("_body"))
     body = df.join(median, page).filter(F.abs(F.col(size) - F.col("_body")) < 0.18 * F.col("_body"))
     counts = body.groupBy(page, F.floor(F.col("x0") / width).alias("bin")).agg(F.count("*").alias("n"))
-    bins = counts.groupBy(page).agg(F.sum("n").alias("_all"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins"))
-    peaks = F.filter("_bins", lambda b: b["n"] >= F.greatest(F.lit(float(least)), F.col("_all") * share))
-    starts = F.transform(peaks, lambda b: b["bin"] * F.lit(width))
+    bins = counts.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_bins"))
+    return bins.select(page, kept_starts(F.col("_bins"), width, share, least, gap, enough).alias("_starts")).select(page, F.explode("_starts").alias("start"))
+
+
+def kept_starts(bins: Column, width: float = 4.0, share: float = 0.03, least: int = 4, gap: float = 30.0, enough: int = 30) -> Column:
+    """The left edges of column_starts from the sorted array of (bin, n) of a page's body type, null if it has none."""
+    def starts_of(own: Column) -> Column:
+        every = F.aggregate(own, F.lit(0).cast("long"), lambda s, b: s + b["n"])
+        peaks = bound(every, lambda n: F.filter(own, lambda b: b["n"] >= F.greatest(F.lit(float(least)), n * share)))
+        kept = F.aggregate(F.transform(peaks, lambda b: b["bin"] * F.lit(width)), F.array().cast("array<double>"), keep)
+        return bound(kept, lambda k: F.when((every >= enough) & (F.size(k) >= 2), k))
 
     def keep(kept: Column, x: Column) -> Column:
         near = (F.size(kept) > 0) & (x - F.try_element_at(kept, F.lit(-1)) < gap)
         return F.when(near, kept).otherwise(F.array_append(kept, x))
 
-    kept = F.aggregate(starts, F.array().cast("array<double>"), keep)
-    found = bins.filter(F.col("_all") >= enough).select(page, kept.alias("_starts")).filter("size(_starts) >= 2")
-    return found.select(page, F.explode("_starts").alias("start"))
+    return bound(bins, starts_of)
 
 
 def grid_spread(df: DataFrame, key: str, cells: int = 4) -> DataFrame:

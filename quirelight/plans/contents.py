@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.functions.text import bound
 from quirelight.operators import contents as C
 from quirelight.operators import lines as L
 from quirelight.plans.registry import query, read
@@ -50,18 +51,34 @@ def contents_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.balance(C.placed_entries(*entries_and_items(read(spark, sf_dir, "documents"))))
 
 
+#: Words on a page, and characters of text whose words one task puts in order.
+WORDS_A_PAGE, CHARS_A_TASK = 720, 8_000_000
+
+
 def set_in_columns(docs: DataFrame) -> DataFrame:
-    """Every word of every document as an item: twelve a row in two columns, sixty rows a page, with headings, gaps between paragraphs and slanted rows."""
+    """Every word of every document as an item: twelve a row in two columns, sixty rows a page, with headings, gaps between paragraphs and slanted rows.
+
+    Pages are dealt to tasks before they become items, as runs of words, so that only the text itself is shuffled.
+    """
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    each = docs.select("doc_id", F.posexplode(words).alias("k", "text"))
-    row = F.floor(F.col("k") / 12)
-    each = each.withColumns({"page": F.col("doc_id") * 10_000 + F.floor(row / 60), "r": row % 60, "c": F.col("k") % 6, "side": F.floor(F.col("k") / 6) % 2})
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / WORDS_A_PAGE).cast("int"))), lambda n: F.struct(n.alias("n"), F.slice(w, n * WORDS_A_PAGE + 1, WORDS_A_PAGE).alias("words")))
+    pages = docs.select("doc_id", F.inline(bound(words, runs))).select((F.col("doc_id") * 10_000 + F.col("n").cast("long")).alias("page"), "n", "words")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS_A_TASK))
+    each = pages.repartition(tasks, "page").select("page", "n", F.posexplode("words").alias("at", "text"))
+    each = each.join(F.broadcast(_layout(docs.sparkSession)), "at")
+    return each.select("page", (F.col("n").cast("long") * WORDS_A_PAGE + F.col("at")).alias("id"), "text", "x0", "y0", "x1", "y1", "size")
+
+
+def _layout(spark: SparkSession) -> DataFrame:
+    """(at, x0, y0, x1, y1, size): where the words of a page stand, the same on all pages."""
+    places = spark.range(WORDS_A_PAGE).select(F.col("id").cast("int").alias("at"), F.floor(F.col("id") / 12).alias("r"), (F.col("id") % 6).alias("c"), (F.floor(F.col("id") / 6) % 2).alias("side"))
     head = F.col("r") % 20 == 0
     size = F.when(head, 16.0).otherwise(10.0)
     x0 = 0.08 + 0.07 * F.col("c") + 0.47 * F.col("side")
     y0 = 0.03 + 0.015 * F.col("r") + 0.01 * F.floor(F.col("r") / 9) + 0.0004 * F.col("c")
     high = size / 900.0
-    return each.select("page", F.col("k").cast("long").alias("id"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 0.062).alias("x1"), (y0 + high).alias("y1"), size.alias("size"))
+    return places.select("at", x0.alias("x0"), y0.alias("y0"), (x0 + 0.062).alias("x1"), (y0 + high).alias("y1"), size.alias("size"))
 
 
 @query()
