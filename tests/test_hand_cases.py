@@ -154,3 +154,20 @@ def test_an_issue_without_a_key_is_read_once(spark, tmp_path):
     expected = duckdb.sql(plans.oracle_sql()["readable_issues"]).fetchall()
     found = plans.queries()["readable_issues"](spark, str(tmp_path)).select("reader", "issue").collect()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
+def test_shelves_are_those_of_a_whole_sort(spark, monkeypatch):
+    monkeypatch.setattr(shelves, "SPAN", 4)
+    shown = spark.createDataFrame([("p", i) for i in range(1, 30) if i % 5] + [("q", 2)], "publication string, issue long")
+    titles = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(7, "again")], "issue long, title string")
+    running = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "none")], "reader long, publication string")
+    extra = spark.createDataFrame([(1, 5), (1, 35), (1, 0), (2, 10), (3, 30), (4, 8), (5, 9), (5, 3), (5, 77)], "reader long, issue long")
+    seen = spark.createDataFrame([(1, 7, 3, 1.0), (1, 35, 9, 2.0), (1, 12, None, 3.0), (2, 29, 1, 4.0), (5, 9, 2, 5.0), (3, 1, 1, 6.0)], "reader long, issue long, t long, page double")
+    seen = seen.select("reader", "issue", F.timestamp_seconds("t").alias("read_at"), "page")
+    rows = [tuple(r) for r in extra.unionByName(running.join(shown, "publication").select("reader", "issue")).join(titles, "issue").join(seen, ["reader", "issue"], "left").select("reader", "issue", "title", "read_at", "page").collect()]
+    late = lambda r: -r[3].timestamp() if r[3] else 1
+    expected = [(*r, n) for k in range(1, 6) for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (late(r), r[1], r[2])), 1)]
+    found = shelves._shelves(extra, running, shown, titles, seen)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, expected))
+    # the pairs of readers and issues are not sorted
+    assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
