@@ -221,6 +221,8 @@ def placed_entries(entries: DataFrame, items: DataFrame) -> DataFrame:
 
     entries: entry, in the order in which they hold what they find; page, label, details, printed (number or null), and the guessed x0, y0, x1, y1.
     """
+    # both are read in many steps, and what they are made from is not read again
+    entries, items = cut_lineage(entries), cut_lineage(items)
     segs = cut_lineage(segments(items))
     below = cut_lineage(lines_below(segs))
     with_text = entries.join(items.select("page").distinct(), "page", "left_semi")
@@ -253,6 +255,7 @@ def placed_entries(entries: DataFrame, items: DataFrame) -> DataFrame:
 
 def balance(placed: DataFrame) -> DataFrame:
     """(page, entries, by_title, by_number, unplaced, no_text, overlapping): overlapping counts pairs of boxes that share over a fifth of the smaller one."""
+    placed = cut_lineage(placed)
     count = lambda how: F.count_if(F.col("how") == how)
     sums = placed.groupBy("page").agg(F.count("*").alias("entries"), count("title").alias("by_title"), count("number").alias("by_number"), count("none").alias("unplaced"), count("no text").alias("no_text"))
     boxed = placed.filter("x0 IS NOT NULL")
