@@ -18,12 +18,14 @@ REACH, LONGEST_LINE, MOST_LINES, LONGEST_CITATION, SHORTEST, AFTER, MOST_QUERIES
 
 
 def references(text: Column) -> Column:
-    return T.references(text, REFERENCE)
+    # plain words first: most texts hold none, and the pattern looks back at every place
+    asked = F.contains(text, F.lit("Art")) | F.contains(text, F.lit("Best"))
+    return F.when(asked, T.references(text, REFERENCE)).otherwise(F.array().cast("array<string>"))
 
 
 def extent_at(text: Column) -> Column:
     """Where the extent of a described book stands in a text, from 0; null where none does."""
-    said = F.regexp_substr(text, F.lit(EXTENT))
+    said = F.when(F.contains(text, F.lit("S.")) | F.contains(text, F.lit("Seiten")), F.regexp_substr(text, F.lit(EXTENT)))
 
     def judge(s: Column) -> Column:
         at = F.instr(s["t"], s["e"]) - 1
@@ -40,14 +42,13 @@ def citation_parts(lead: Column) -> Column:
 
 
 def _search_query(text: Column) -> Column:
-    words = F.filter(F.split(T.search_words(text), " "), lambda w: w != "")
-    return F.array_join(F.slice(words, 1, 12), " ")
+    return F.substring_index(T.search_words(text), " ", 12)
 
 
 def unique_queries(candidates: Column) -> Column:
     """Those candidates, as queries, that are worth a search, each once, at most six."""
-    asked = F.transform(candidates, _search_query)
-    return F.slice(F.array_distinct(F.filter(asked, S.worth_searching)), 1, MOST_QUERIES)
+    asked = F.array_distinct(F.transform(F.array_distinct(candidates), _search_query))
+    return F.slice(F.filter(asked, S.worth_searching), 1, MOST_QUERIES)
 
 
 def find_hints(blocks: DataFrame, article: str, title: str, order: str, text: str) -> DataFrame:
@@ -55,47 +56,49 @@ def find_hints(blocks: DataFrame, article: str, title: str, order: str, text: st
 
     number: the first block of an article with a printed article number.  title: a block that describes a book by its extent, unless a number follows within
     six blocks and before the next description; its lines are the short ones above it, with what of the citation or the title belongs there.
-    All windows are bounded: six blocks back, and positions of the next number and the next description.
+    All windows are bounded: six blocks back and six ahead, as what stands further off decides nothing.
     """
-    along = Window.partitionBy(article).orderBy(order)
     rows = blocks.select(F.col(article).alias("article"), F.col(title).alias("title"), F.col(order).alias("block"), F.col(text).alias("text"))
     along = Window.partitionBy("article").orderBy("block")
     rows = rows.withColumns({"refs": references(F.col("text")), "at": extent_at(F.col("text")), "k": F.row_number().over(along)})
     named = F.size("refs") > 0
     numbers = rows.filter(named).select("article", "block", F.explode("refs").alias("reference")).groupBy("article", "reference").agg(F.min("block").alias("block"))
-    ahead = along.rowsBetween(0, Window.unboundedFollowing)
+    # what may stand as a line; long texts are not carried along
+    line = F.when((F.trim("text") != "") & (F.length(F.trim("text")) <= LONGEST_LINE) & F.col("at").isNull() & ~named, F.trim("text"))
+    described = F.when((F.length("text") > LONGEST_LINE) & F.col("at").isNull() & ~named, F.col("text"))
+    rows = rows.withColumns({"line": F.struct(line.alias("said")), "described": described})
     rows = rows.withColumns(
         {
-            "next_ref": F.first(F.when(named, F.col("k")), ignorenulls=True).over(ahead),
-            "next_at": F.first(F.when(F.col("at").isNotNull(), F.col("k")), ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)),
+            "next_ref": F.first(F.when(named, F.col("k")), ignorenulls=True).over(along.rowsBetween(0, REACH)),
+            "next_at": F.first(F.when(F.col("at").isNotNull(), F.col("k")), ignorenulls=True).over(along.rowsBetween(1, REACH)),
             "below": F.lead("text").over(along),
-            "above": F.collect_list(F.struct("text", F.col("at").isNotNull().alias("at"), named.alias("named"))).over(along.rowsBetween(-MOST_LINES - 1, -1)),
+            "top": F.lag("described").over(along),
+            "above": F.collect_list("line").over(along.rowsBetween(-MOST_LINES - 1, -1)),
         }
     )
     near = F.coalesce(F.col("next_ref") <= F.col("k") + REACH, F.lit(False))
     covered = near & ((F.col("next_ref") == F.col("k")) | F.coalesce(F.col("next_ref") < F.col("next_at"), F.lit(True)))
     told = rows.filter(F.col("at").isNotNull() & ~covered)
-    told = told.withColumns({"lead": F.trim(F.substring("text", F.lit(1), F.col("at"))), "top": F.try_element_at("above", F.lit(-1))})
+    told = told.withColumn("lead", F.trim(F.substring("text", F.lit(1), F.col("at"))))
     cites = F.length("lead").between(SHORTEST, LONGEST_CITATION)
     # an extent in a block of its own stands under the description
-    apart = (F.length("lead") < SHORTEST) & F.coalesce((F.length("top.text") > LONGEST_LINE) & ~F.col("top.at") & ~F.col("top.named"), F.lit(False))
+    apart = (F.length("lead") < SHORTEST) & F.col("top").isNotNull()
     told = told.withColumns(
         {
             "cents": F.coalesce(T.price_cents(F.substring("text", F.col("at") + 1, F.length("text"))), F.when(F.length("below") <= LONGEST_LINE, T.price_cents(F.col("below")))),
             "citation": F.when(cites, F.col("lead")).otherwise(""),
-            "description": F.when(apart, F.col("top.text")).when(cites, "").otherwise(F.col("text")),
+            "description": F.when(apart, F.col("top")).when(cites, "").otherwise(F.col("text")),
             "over": F.reverse(F.slice("above", 1, F.greatest(F.lit(0), F.size("above") - apart.cast("int")))),
             "left": F.col("k") - 1 - apart.cast("int"),
         }
     )
 
-    def is_line(b: Column) -> Column:
-        return (F.trim(b["text"]) != "") & (F.length(F.trim(b["text"])) <= LONGEST_LINE) & ~b["at"] & ~b["named"]
-
-    n = F.least(F.lit(MOST_LINES), F.coalesce(F.array_min(F.transform(F.filter(F.transform("over", lambda b, i: F.struct(is_line(b).alias("fine"), i.alias("i"))), lambda x: ~x["fine"]), lambda x: x["i"])), F.size("over")))
-    told = told.withColumn("n", n).withColumn("lines", F.reverse(F.transform(F.slice("over", 1, F.col("n")), lambda b: F.trim(b["text"]))))
+    # the first above that is no line ends them
+    ends = F.array_position(F.transform("over", lambda b: b["said"].isNull()), F.lit(True))
+    n = F.least(F.lit(MOST_LINES), F.when(ends > 0, ends - 1).otherwise(F.size("over"))).cast("int")
+    told = told.withColumn("n", n).withColumn("lines", F.reverse(F.transform(F.slice("over", 1, F.col("n")), lambda b: b["said"])))
     name = F.trim("title")
-    same = F.exists("lines", lambda x: F.array_join(T.plain_tokens(x), " ") == F.array_join(T.plain_tokens(name), " "))
+    same = bound(T.plain_title(name), lambda plain: F.exists("lines", lambda x: T.plain_title(x) == plain))
     asks = ((F.col("n") == F.col("left")) & (F.col("n") > 0)) | ((F.col("citation") == "") & (F.col("n") == 0))
     adds = asks & (name != "") & (F.length(name) <= LONGEST_LINE) & ~F.endswith(name, F.lit("…")) & (F.col("n") < MOST_LINES) & ~same
     told = told.withColumn("lines", F.when(adds, F.array_append("lines", name)).otherwise(F.col("lines")))

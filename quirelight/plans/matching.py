@@ -171,7 +171,9 @@ def kinds_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles made of an order's lines, with advertisements, citations, numbers and descriptions."""
     n, key = F.col("l_linenumber"), F.col("l_partkey")
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    # an article's lines are dealt before they have texts, for what goes over its blocks
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     size = F.col("p_size").cast("string")
     kind = key % 6
@@ -183,7 +185,7 @@ def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(F.repeat(F.concat("p_name", F.lit(" ")), 20)))
         .otherwise(F.lit("120 Seiten, Pb"))
     )
-    return lines.join(part, "l_partkey").select(F.col("l_orderkey").alias("article"), n.alias("block"), text.alias("text"), F.concat(F.lit("Heft "), F.col("l_orderkey").cast("string"), F.lit(" und mehr")).alias("title"))
+    return lines.join(part, "l_partkey").repartition("l_orderkey").select(F.col("l_orderkey").alias("article"), n.alias("block"), text.alias("text"), F.concat(F.lit("Heft "), F.col("l_orderkey").cast("string"), F.lit(" und mehr")).alias("title"))
 
 
 @query()

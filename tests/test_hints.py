@@ -151,3 +151,13 @@ def test_copies_are_compared_once_and_counted(spark, tmp_path):
     found = plans.queries()["hinted_products"](spark, str(tmp_path))
     expected = duckdb.sql(sql)
     assert sorted(map(str, (tuple(r[c] for c in expected.columns) for r in found.collect()))) == sorted(map(str, expected.fetchall()))
+
+
+def test_long_articles_take_bounded_windows(spark):
+    texts = ["120 S., Pb", "Zeile", "x" * 141, "Art.-Nr. 101208", "64 S., geb.", "", "Äußere Zeile – lang", "Art and Best of S. and Seiten"]
+    blocks = [(k, texts[k * k * 7 % 11 % 8]) for k in range(400)]
+    rows = spark.createDataFrame([(1, "Titel", k, t) for k, t in blocks], "a long, title string, k int, t string")
+    found = H.find_hints(rows, "a", "title", "k", "t")
+    assert told(tuple(r)[1:] for r in found.collect()) == told(hints("Titel", blocks))
+    # what looks at all that follows takes as many steps for every block of an article
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
