@@ -56,6 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that make a task worth its start and its files.
+ROWS_A_TASK = 1 << 15
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many small rows, in as many tasks as these are worth, but one for every core; where it has fewer, as it is.
+
+    Each task of a shuffle leaves some files on the disk, even without rows, until the driver lets go of the shuffle.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,13 @@
 """Fingerprints and components against plain versions over all pairs."""
 
 import random
+from pathlib import Path
 
 import pytest
 from xxhash import xxh64_intdigest
 
+from quirelight.llm.common import shared_folder
+from quirelight.llm.components import component_roots
 from quirelight.llm.simhash import near_duplicates, similar_documents
 
 
@@ -179,3 +182,20 @@ def test_population_counts_only_skip_what_cannot_link():
                 for j in range(i):
                     if (int(whole[i]) ^ int(whole[j])).bit_count() <= 3 and (b is None or (j < len(a)) != (i < len(a))):
                         assert top(i) == top(j)
+
+
+def test_rounds_over_few_links_take_few_tasks(spark):
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 160)]
+    width, merged = (spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        roots = component_roots(spark.createDataFrame(links, "a long, b long"))
+        found = sorted(map(tuple, roots.collect()))
+        folders = sorted(Path(shared_folder(spark).removeprefix("file:")).glob("rdd-*"), key=lambda f: int(f.name[4:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert found == [(k, 0) for k in range(40)] + [(k, 100) for k in range(100, 161)]
+    # every task of a shuffle leaves files, so a round's links lie in no more parts than there are cores
+    assert len(list(folders[-1].glob("part-*"))) <= spark.sparkContext.defaultParallelism
