@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,18 @@ def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
 
 
+#: Bytes of rows that go to a Python worker at once.  Worker and executor hold a batch several times over (as rows, buffers and results), for every core.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of about BATCH_BYTES at most; a smaller bound of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get(name).strip().lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit[:1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,10 +4,11 @@ import re
 from itertools import combinations
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
-from quirelight.llm import secret_scan
+from quirelight.llm import secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,6 +114,35 @@ def test_secrets_that_stay_or_go(spark):
     assert got == want
 
 
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some words ', 800) AS text")  # 26 MB
+    was = spark.conf.get(key)
+    try:
+        for stage, bound, most in (("near_duplicates", "64m", 5 << 20), ("encode", "64m", 5 << 20), ("encode", "1m", 2 << 20)):
+            spark.conf.set(key, bound)
+            dict(corpus_pipeline.STAGES)[stage](spark, docs, SF)
+            assert max(r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()) <= most, stage
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_groups_do_not_depend_on_the_batches(spark):
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    was, found = spark.conf.get(key), []
+    try:
+        for bound in ("1k", "64m"):
+            spark.conf.set(key, bound)
+            found.append(sorted(map(tuple, simhash.similar_documents(docs).collect())))
+    finally:
+        spark.conf.set(key, was)
+    assert found[0] == found[1] and any(i != c for i, c in found[0])
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
