@@ -32,7 +32,7 @@ from quirelight.llm.common import crc_fold, cut_lineage, freed
 BUCKETS = 1 << 15
 FACTORS = 8
 CUTS = 8
-_MEMO = 300_000
+_MEMO = 50_000
 
 _CLASSES = [
     [*range(65, 91)],  # upper case

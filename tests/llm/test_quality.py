@@ -49,3 +49,11 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert with_scores(docs, learn(docs, none)).first().score == 0.5
     assert with_scores(docs.limit(0), learn(docs.limit(0), none)).count() == 0
+
+
+def test_memo_of_words_stays_small():
+    features = Features()
+    texts = [" ".join(f"w{i}" for i in range(k, k + 100)) for k in range(0, 120_000, 100)]
+    found = [features.of(t)[0].tolist() for t in texts]
+    assert len(features._known) <= 50_000 + 100
+    assert found[0] == Features().of(texts[0])[0].tolist() == features.of(texts[0])[0].tolist()
