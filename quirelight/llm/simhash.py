@@ -9,8 +9,8 @@ radius are skipped, as they can't hold a link.  Each comparison returns a spanni
 nearest pairs first, never all pairs; components join the forests.
 
 near_duplicates links fingerprints within a radius; equal fingerprints are one node, so copies cost
-nothing.  similar_documents links texts by the Jaccard similarity of their distinct shingles; SimHash and bitmaps of
-the shingles screen the pairs there, and an exact check confirms them.
+nothing.  similar_documents links texts by the Jaccard similarity of their distinct shingles; sizes and bitmaps of
+the shingles, which lose no pair, screen the pairs there, and an exact check confirms them.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other (in similar_documents
 they are equal to each other and like no other text); texts are read whole, however long; rows with a null
@@ -255,15 +255,14 @@ def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition(shuffle_width(cells.sparkSession), "part", "cell").sortWithinPartitions("part", "cell", F.desc("one"))
 
 
-def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, dense: int) -> DataFrame:
-    """(a, b, part): nodes of different roots in a part, from (part, node, root, n, fp, bits), that may be alike; or only part, where a comparison has over `dense` such pairs a member."""
+def _survivors(members: DataFrame, tile: int, similarity: float, dense: int) -> DataFrame:
+    """(a, b, part): nodes of different roots in a part, from (part, node, root, n, bits), that may be alike; or only part, where a comparison has over `dense` such pairs a member."""
     cells = _dealt(_against_others(members, F.lit(1.0 / tile)))
     share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_cells(batches, ("part", "cell")):
             node, root, n, part = (table.column(c).to_numpy() for c in ("node", "root", "n", "part"))
-            fp = table.column("fp").to_numpy().view(np.uint64)
             bits = table.column("bits").combine_chunks()
             one, other = (table.column(c).to_numpy(zero_copy_only=False) for c in ("one", "other"))
             found, full = [], []
@@ -271,14 +270,14 @@ def _survivors(members: DataFrame, radius: int, tile: int, similarity: float, de
                 first, second = lo + np.flatnonzero(one[lo:hi]), lo + np.flatnonzero(other[lo:hi])
                 second = second[np.argsort(n[second], kind="stable")]
                 first, sizes, own, count = first[np.argsort(n[first], kind="stable")], n[second], [], 0
-                for at in range(0, len(first), 512):
-                    block = first[at : at + 512]
+                for at in range(0, len(first), 256):
+                    block = first[at : at + 256]
                     # sets that differ more in size are not alike
                     a, b = np.searchsorted(sizes, [math.ceil(similarity * n[block[0]] - 1e-9), math.floor(n[block[-1]] / similarity + 1e-9) + 1])
-                    i, j = np.nonzero(np.bitwise_count(fp[block][:, None] ^ fp[second[a:b]][None, :]) <= radius)
+                    row, column = block[:, None], second[None, a:b]
+                    fits = (root[row] != root[column]) & (np.minimum(n[row], n[column]) >= similarity * np.maximum(n[row], n[column]) - 1e-9)
+                    i, j = np.nonzero(fits)
                     i, j = block[i], second[a:b][j]
-                    apart = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-                    i, j = i[apart], j[apart]
                     # every shingle that only one of them has changes one bit at most
                     near = _odd_bits(bits, i, j) <= share * (n[i] + n[j]) + 1e-9
                     own.append((i[near], j[near]))
@@ -466,18 +465,24 @@ def _odd_bits(bits: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 32, tile: int = 2048, dense: int = 8, buckets: int = 1 << 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = 2048, dense: int = 8, buckets: int = 1 << 17
 ) -> DataFrame:
-    """(id, component): component is the smallest id that links reach, its own included; texts link where the Jaccard
-    similarity of their distinct shingles is `similarity` or more.
+    """(id, component): the components of similar_rows."""
+    return similar_rows(docs, id_col, text_col, shingle, similarity, tile, dense, buckets).select("id", "component")
+
+
+def similar_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = 2048, dense: int = 8, buckets: int = 1 << 17
+) -> DataFrame:
+    """(id, component, text_hash, root): component is the smallest id that links reach, its own included; texts link where the Jaccard
+    similarity of their distinct shingles is `similarity` or more.  text_hash is the XXH64 of the text, and root tells components without an id apart.
 
     Two such texts share a shingle among the first n - ceil(similarity n) + 1 of each, in any one order of all
     shingles; those that share one are a part.  The order is from rare to frequent (by counts of `buckets`
     buckets, a table of fixed size), so passages that many texts hold make no large parts; of parts with the same members, one is kept.
 
-    A pair can be alike only if its numbers of shingles differ by no more than that ratio, if the SimHashes of its distinct shingles are within the radius, and if
-    the bitmaps of their shingles differ in no more bits than shingles may be in one text only.  Size and bitmaps lose no pair.  SimHash bits of a pair of similarity 0.8 differ each with
-    a probability of at most 0.1875 (texts of five shingles; 0.162 for longer ones), independently, so over 32 of 64 differ in at most 4 of 10**9 such pairs.
+    A pair can be alike only if its numbers of shingles differ by no more than that ratio, and if the bitmaps of their shingles differ in no more bits than
+    shingles may be in one text only.  Neither loses a pair.
 
     First every text meets the one that it shares most parts with among the least of each part in a random order, and where a part still has several components, the
     same in two other orders; components of the links that the exact check confirms are joined.  That leaves few parts with several components; there,
@@ -498,26 +503,25 @@ def similar_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = _Shingles(shingle), shared.value
         for batch in batches:
-            keys, prints, bitmaps, sizes, prefixes = [], [], [], [], []
+            keys, bitmaps, sizes, prefixes = [], [], [], []
             for text in batch.column("text"):
                 own = np.unique(hashes.of(text.as_py()))
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest())
-                prints.append(_majority(own))
                 bitmaps.append(_bitmap(own))
                 sizes.append(len(own))
                 order = np.argsort(ranks[(own % np.uint64(buckets)).astype(np.int64)], kind="stable")
                 prefixes.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].view(np.int64))
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "fp", "bits", "n", "prefix"])
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "key", "bits", "n", "prefix"])
 
-    schema = f"id {kind}, text_hash bigint, key binary, fp bigint, bits array<bigint>, n int, prefix array<bigint>"
+    schema = f"id {kind}, text_hash bigint, key binary, bits array<bigint>, n int, prefix array<bigint>"
     prints = cut_lineage(rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(freed(run), schema))
-    same = [F.any_value(c).alias(c) for c in ("fp", "bits", "n")]
+    same = [F.any_value(c).alias(c) for c in ("bits", "n")]
     # one row stands for all with the same shingles; copies of it, id and all, are read once more where they are
     row = F.min(F.struct("text_hash", F.col("id").alias("row_id"))).alias("row")
-    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), row, *same).select("key", "least", "row.*", *[c for c in ("fp", "bits", "n")])
+    nodes = prints.groupBy("key").agg(F.min("id").alias("least"), row, *same).select("key", "least", "row.*", "bits", "n")
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    facts = nodes.select("node", "n", "fp", "bits")
+    facts = nodes.select("node", "n", "bits")
 
     def at_rows(table: DataFrame, wanted: DataFrame) -> DataFrame:
         """table (with id and text_hash) where one of the rows wanted (node, ...) stands, with its columns."""
@@ -551,10 +555,10 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("node", "other")], names=["node", "other"])
 
     def may_be_alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (node, other) that sizes, fingerprints and bitmaps leave."""
+        """The pairs (node, other) that sizes and bitmaps leave."""
         for side in ("node", "other"):
             pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in facts.columns]), side)
-        fits = (F.least("node_n", "other_n") >= similarity * F.greatest("node_n", "other_n") - 1e-9) & (F.bit_count(F.col("node_fp").bitwiseXOR(F.col("other_fp"))) <= radius)
+        fits = F.least("node_n", "other_n") >= similarity * F.greatest("node_n", "other_n") - 1e-9
         return cut_lineage(pairs.filter(fits).select("node", "other", "node_n", "other_n", "node_bits", "other_bits").mapInArrow(weighed, "node bigint, other bigint"))
 
     def met(members: DataFrame, orders: range) -> DataFrame:
@@ -581,7 +585,7 @@ def similar_documents(
         roots = component_roots(links, "node", "other")
         left, done = mixed_parts(roots), True
     if not left.isEmpty():
-        found = cut_lineage(_survivors(left.join(facts, "node"), radius, tile, similarity, dense))
+        found = cut_lineage(_survivors(left.join(facts, "node"), tile, similarity, dense))
         more = confirmed(found.filter("part IS NULL").select(F.col("a").alias("node"), F.col("b").alias("other")).distinct())
         links = cut_lineage(links.unionByName(more))
         dense_parts, done = cut_lineage(found.filter("part IS NOT NULL").select("part").distinct()), more.isEmpty()
@@ -593,4 +597,4 @@ def similar_documents(
     roots = roots if done else component_roots(links, "node", "other")
     joined = nodes.select("key", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.select("id", "key").join(joined.join(smallest, "root").select("key", "component"), "key").select("id", "component")
+    return prints.select("id", "text_hash", "key").join(joined.join(smallest, "root").select("key", "component", "root"), "key").select("id", "component", "text_hash", "root")

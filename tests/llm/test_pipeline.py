@@ -114,6 +114,19 @@ def test_secrets_that_stay_or_go(spark):
     assert got == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, lone = f"{base} x", "some words that nobody else has", "one more text of its own"
+    rows = [(None, base, 1), (None, near, 2), (4, near, 3), (4, base, 4), (4, base, 5), (9, base, 6), (None, other, 7), (None, other, 7), (None, lone, 8), (5, other + " yes", 9), (5, lone + " no", 10), (6, None, 11), (6, None, 12), (None, "", 13)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in kept.collect()), key=str)
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and four[0] in ((4, near, 3), (4, base, 4))
+    assert [r for r in got if r[0] != 4] == sorted([(None, other, 7), (None, lone, 8), (5, other + " yes", 9), (5, lone + " no", 10), (6, None, 11)], key=str)
+
+
 def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
     def sizes(batches):
         for batch in batches:

@@ -138,6 +138,13 @@ def test_repeated_lines_do_not_hide_similar_texts(spark):
     assert found == {0: 0, 1: 0, 2: 0} | {i: i - (i + 1) % 2 for i in range(3, 123)}
 
 
+def test_no_screen_loses_a_pair(spark):
+    """Four of five shingles are shared, while the texts' SimHashes differ in 39 of 64 bits."""
+    text = "w958 w763 w1669 w918 w1085 w808 w1319 w839"
+    docs = spark.createDataFrame([(1, text), (2, f"{text} x11022"), (3, "w958 w763 w1669")], "doc_id long, text string")
+    assert {r.id: r.component for r in similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_one_text_and_many_chains(spark):
     """Components that only a way over many links joins, in one part."""
     base = [f"w{k}" for k in range(100)]
