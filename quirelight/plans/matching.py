@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -107,18 +107,42 @@ def _hints_and_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 def hinted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one product that each printed hint means, by points for price, makers and lines; of equals none. TXT-14, TXT-15, TXT-16, JOIN-27, ORD-02
 
-    Candidates are those whose first words stand in the zone, found by equal runs of words.  Hints that print the same, and products that are called the same,
-    made by the same and cost the same, get the same points, so one of each is compared and stands for the others.
+    Candidates are those whose first words stand in the zone, found by equal runs of words.  What a name and its makers are worth for a text is told once for each two of them;
+    the price, which takes or adds points whatever the text is, comes to it by counts of who costs as much, something else or nothing known.
     """
     hints, products = _hints_and_products(spark, sf_dir)
     printed = ["zone", "lines", "asked"]
     hints = hints.withColumn("one", F.min("hint").over(Window.partitionBy(*printed)))
-    looked = hints.filter("hint = one").select("one", *printed).distinct().withColumn("begins", F.explode(L.runs(F.col("zone"))))
-    alike = products.groupBy("name", "makers", "price").agg(F.count("*").alias("n"), F.min("id").alias("id")).withColumn("begins", L.first_words(F.col("name")))
+    texts = hints.select("zone", "lines").distinct().withColumn("begins", F.explode(L.runs(F.col("zone"))))
+    # of several ids, all bits that an odd number of them has: what is left without some of them is the one id where one is left
+    tally = [F.count("*").alias("n"), F.count("id").alias("n_ids"), F.coalesce(F.bit_xor("id"), F.lit(0)).alias("ids")]
+    titles, priced = products.groupBy("name", "makers").agg(*tally), products.groupBy("name", "makers", "price").agg(*tally)
     # both sides are longer than files of few distinct strings let Spark guess, so neither is broadcast
-    pairs = looked.join(alike.hint("merge"), "begins")
-    points = L.title_points(F.col("name"), F.col("makers"), F.col("price"), F.col("zone"), F.col("lines"), F.col("asked")).cast("int")
-    scored = pairs.select("one", "id", "n", points.alias("points")).filter("points >= 3")
+    pairs = texts.join(titles.select("name", "makers", L.first_words(F.col("name")).alias("begins")).hint("merge"), "begins")
+    unknown = F.lit(None).cast("bigint")
+    worth = L.title_points(F.col("name"), F.col("makers"), unknown, F.col("zone"), F.col("lines"), unknown).cast("int")
+    # an equal price gives two points
+    worthy = pairs.select("zone", "lines", "name", "makers", worth.alias("worth")).filter("worth >= 1")
+    asked = hints.filter("hint = one").select("one", *printed).distinct()
+    met = asked.join(worthy.hint("merge"), ["zone", "lines"]).select("one", "asked", "name", "makers", "worth")
+    counts = [F.struct("n", "n_ids", "ids").alias("tally")]
+    met = met.join(titles.select("name", "makers", *counts).withColumnRenamed("tally", "all").hint("merge"), ["name", "makers"])
+    same = priced.filter("price IS NOT NULL").select("name", "makers", F.col("price").alias("asked"), *counts).withColumnRenamed("tally", "same").hint("merge")
+    none = priced.filter("price IS NULL").select("name", "makers", *counts).withColumnRenamed("tally", "none")
+    met = met.join(same, ["name", "makers", "asked"], "left").join(none, ["name", "makers"], "left")
+    number = lambda of, c: F.coalesce(F.col(f"{of}.{c}"), F.lit(0))
+    rest = lambda c: F.col(f"all.{c}") - number("same", c) - number("none", c)
+
+    def kind(points: Column, n: Column, n_ids: Column, ids: Column) -> Column:
+        return F.struct(points.cast("int").alias("points"), n.alias("n"), F.when((n == 1) & (n_ids == 1), ids).alias("id"))
+
+    other_ids = F.col("all.ids").bitwiseXOR(number("same", "ids")).bitwiseXOR(number("none", "ids"))
+    kinds = [
+        kind(F.col("worth") + 2, *[number("same", c) for c in ("n", "n_ids", "ids")]),
+        kind(F.col("worth"), *[F.when(F.col("asked").isNull(), F.col(f"all.{c}")).otherwise(number("none", c)) for c in ("n", "n_ids", "ids")]),
+        kind(F.col("worth") - 1, F.when(F.col("asked").isNotNull(), rest("n")).otherwise(0), rest("n_ids"), other_ids),
+    ]
+    scored = met.select("one", F.inline(F.array(*kinds))).filter("n > 0 AND points >= 3")
     best = R.best_of_counted(scored, ["one"], "id", "points", "n")
     best = R.best_of_counted(hints.select("hint", "one").join(best.hint("merge"), "one"), ["hint"], "id", "points", "n")
     best = best.withColumn("id", F.when(F.col("n") == 1, F.col("id")))

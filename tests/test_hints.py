@@ -11,7 +11,7 @@ from quirelight import plans
 from quirelight.functions import linkage as L
 from quirelight.operators import hints as H
 from quirelight.operators import relational as R
-from quirelight.plans.matching import article_blocks
+from quirelight.plans.matching import _hints_and_products, article_blocks
 
 SF = "/root/testdata/sf0.001"
 PRICE = (r"(?:€|EUR|(?<![A-Za-zÄÖÜäöüß])t)\s?(\d{1,3}(?:\.\d{3})*),(\d{2}|[–—-])", r"(\d{1,3}(?:\.\d{3})*),(\d{2}|[–—-])\s?(?:€|EUR)")
@@ -153,6 +153,27 @@ def test_copies_are_compared_once_and_counted(spark, tmp_path):
     assert sorted(map(str, (tuple(r[c] for c in expected.columns) for r in found.collect()))) == sorted(map(str, expected.fetchall()))
 
 
+def test_prices_are_weighed_apart_from_names(spark, tmp_path):
+    """Few names with many prices, some unknown: the result is that of all pairs, while names meet texts without their prices."""
+    key, rows = F.col("p_partkey"), spark.read.parquet(f"{SF}/part.parquet")
+    few = rows.withColumns({"p_name": F.when(key % 5 > 0, F.lit("large ring")).otherwise(F.col("p_name")), "p_type": F.when(key % 3 > 0, F.lit("SMALL")).otherwise(F.col("p_type")), "p_size": (key % 4).cast("int")})
+    few = few.withColumn("p_retailprice", F.when(key % 11 == 0, F.lit(None)).otherwise(F.lit(900.0) + key % 37))
+    few.write.parquet(f"{tmp_path}/part.parquet")
+    found = plans.queries()["hinted_products"](spark, str(tmp_path))
+    hints, products = _hints_and_products(spark, str(tmp_path))
+    pairs = hints.crossJoin(products).select("hint", "id", L.title_points(*[F.col(c) for c in ("name", "makers", "price", "zone", "lines", "asked")]).alias("points"))
+    best = defaultdict(list)
+    for r in pairs.filter("points >= 3").collect():
+        best[r.hint].append((r.points, r.id))
+    wanted = []
+    for hint, own in best.items():
+        top = [i for p, i in own if p == max(own)[0]]
+        wanted.append((hint, max(own)[0], top[0] if len(top) == 1 else None))
+    assert told(tuple(r) for r in found.collect()) == told(wanted) and {p for _, p, _ in wanted} >= {4, 6}
+    makers = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "makers#" in line and "\\([^)]*\\)" in line]
+    assert makers and not any("price#" in line for line in makers)
+
+
 def test_long_articles_take_bounded_windows(spark):
     texts = ["120 S., Pb", "Zeile", "x" * 141, "Art.-Nr. 101208", "64 S., geb.", "", "Äußere Zeile – lang", "Art and Best of S. and Seiten"]
     blocks = [(k, texts[k * k * 7 % 11 % 8]) for k in range(400)]
