@@ -44,11 +44,13 @@ def with_pieces(words: DataFrame) -> DataFrame:
 
 def _most_frequent(values: Column) -> Column:
     """The most frequent one of an array, of equals the one that comes first."""
-    def count(own: Column) -> Column:
-        counts = F.transform(F.array_distinct(own), lambda v, i: F.struct(F.size(F.filter(own, lambda x: x.eqNullSafe(v))).alias("n"), (-i).alias("i"), v.alias("v")))
-        return F.array_max(counts)["v"]
+    def count(s: Column) -> Column:
+        own, kinds = s["own"], s["kinds"]
+        counts = F.transform(kinds, lambda v, i: F.struct(F.size(F.filter(own, lambda x: x.eqNullSafe(v))).alias("n"), (-i).alias("i"), v.alias("v")))
+        # most often all are the same
+        return F.when(F.size(kinds) <= 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(counts)["v"])
 
-    return bound(values, count)
+    return bound(F.struct(values.alias("own"), F.array_distinct(values).alias("kinds")), count)
 
 
 def lines_of(words: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -111,8 +113,10 @@ def blocks_of(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce(F.median(F.when(F.col("size") != 0, F.col("size"))), F.lit(0.0)).alias("size"), (F.sum(F.when(F.col("bold"), chars).otherwise(0)) > 0.6 * F.greatest(F.lit(1), F.sum(chars))).alias("bold"), *[F.first(c).alias(c) for c in carried],
     )
     made = made.withColumns({"_raw": F.array_join(F.col("_lines.text"), "\n"), "font": _most_frequent(F.col("_lines.font"))})
-    made = made.withColumns({"text": glue_initial(clean_print_text(F.col("_raw"))), "continues_word": F.endswith(F.rtrim("_raw"), F.lit(SOFT_HYPHEN))})
-    return made.filter("text != ''").select(*keys, "text", "n_lines", "x0", "x1", "top", "bottom", "size", "max_size", "font", "bold", "continues_word", *carried)
+    # a filter on the text would clean it once more, below the column; a list of one text or none does not
+    cleaned = F.filter(F.array(F.struct(glue_initial(clean_print_text(F.col("_raw"))).alias("text"))), lambda s: s["text"] != "")
+    made = made.select("*", F.endswith(F.rtrim("_raw"), F.lit(SOFT_HYPHEN)).alias("continues_word"), F.inline(cleaned))
+    return made.select(*keys, "text", "n_lines", "x0", "x1", "top", "bottom", "size", "max_size", "font", "bold", "continues_word", *carried)
 
 
 def points(items: DataFrame, aspect: float = 1 / 1.4142) -> tuple[DataFrame, DataFrame]:
